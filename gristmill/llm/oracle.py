@@ -19,5 +19,31 @@ FROM m GROUP BY doc_id
 """
 
 
+OP8 = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS sh
+  FROM w, generate_series(1, greatest(len(ws) - 4, 1)) g(i) WHERE len(ws) > 0
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS MATERIALIZED (
+  SELECT p.a, p.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (sh) WHERE x.doc_id < y.doc_id GROUP BY ALL
+  ) p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)
+), e AS MATERIALIZED (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), r AS (
+  SELECT a AS node, least(a, b) AS reach FROM e
+  UNION
+  SELECT e.b, r.reach FROM r JOIN e ON e.a = r.node
+), c AS (
+  SELECT node, min(reach) AS comp FROM r GROUP BY node
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.comp, w.doc_id)::BIGINT AS component_id, coalesce(c.comp, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9}
+    return {"op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9}
