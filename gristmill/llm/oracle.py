@@ -19,6 +19,29 @@ FROM m GROUP BY doc_id
 """
 
 
+OP3 = r"""
+WITH dw AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), win AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS m, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS k
+  FROM iw, generate_series(1, greatest(len(ws) - 9, 1)) g(i) WHERE len(ws) > 0
+), dwin AS MATERIALIZED (
+  SELECT doc_id, i AS pos, m, array_to_string(ws[i : i + m - 1], ' ') AS k
+  FROM dw, (SELECT DISTINCT m FROM win) ms, generate_series(1, greatest(len(ws) - m + 1, 0)) g(i)
+), occ AS MATERIALIZED (
+  SELECT DISTINCT doc_id, pos, m, item_id FROM dwin JOIN win USING (m, k)
+), h AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(pos, pos + m - 1)) AS p FROM occ) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM occ) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
 OP8 = r"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -46,4 +69,4 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9}
+    return {"op3_decontamination": OP3, "op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9}
