@@ -42,6 +42,24 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP5 = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS MATERIALIZED (
+  SELECT doc_id, i AS pos, md5(array_to_string(ws[i : i + 49], ' ')) AS k FROM w, generate_series(1, greatest(len(ws) - 49, 0)) g(i)
+), own AS (
+  SELECT k, min(doc_id) AS owner FROM win GROUP BY k HAVING count(DISTINCT doc_id) > 1
+), gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 49)) AS p FROM win JOIN own USING (k) WHERE doc_id > owner
+), each_word AS (
+  SELECT doc_id, i AS p, ws[i] AS word FROM w, generate_series(1, len(ws)) g(i)
+), kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS t, count(*) AS n FROM each_word e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
 OP8 = r"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -69,4 +87,4 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9}
+    return {"op5_substring_dedup": OP5, "op3_decontamination": OP3, "op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.llm import decontaminate as decon_op
 from gristmill.llm import line_dedup as lines_op
 from gristmill.llm import near_dedup as near_op
+from gristmill.llm import substring_dedup as substring_op
 from gristmill.llm.common import table
 
 
@@ -22,6 +23,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_op.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_op.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,4 +38,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op8_minhash_near_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op3_decontamination, op5_substring_dedup, op8_minhash_near_dedup, op9_line_dedup)}
