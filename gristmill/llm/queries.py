@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm import bpe as bpe_op
 from gristmill.llm import decontaminate as decon_op
 from gristmill.llm import line_dedup as lines_op
 from gristmill.llm import near_dedup as near_op
@@ -28,6 +29,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_op.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_op.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,4 +45,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op5_substring_dedup, op8_minhash_near_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op3_decontamination, op5_substring_dedup, op7_bpe, op8_minhash_near_dedup, op9_line_dedup)}
