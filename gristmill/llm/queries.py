@@ -11,10 +11,16 @@ from gristmill.llm import bpe as bpe_op
 from gristmill.llm import decontaminate as decon_op
 from gristmill.llm import line_dedup as lines_op
 from gristmill.llm import near_dedup as near_op
+from gristmill.llm import quality_classifier as quality_op
+from gristmill.llm import quality_rules as rules_op
 from gristmill.llm import substring_dedup as substring_op
 from gristmill.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_op.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decon_op.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hits").cast("long")
@@ -44,5 +50,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_op.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op5_substring_dedup, op7_bpe, op8_minhash_near_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_decontamination, op5_substring_dedup, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules)}
