@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import bpe as bpe_op
 from gristmill.llm import decontaminate as decon_op
+from gristmill.llm import language_id as lang_op
 from gristmill.llm import line_dedup as lines_op
 from gristmill.llm import near_dedup as near_op
 from gristmill.llm import quality_classifier as quality_op
@@ -21,6 +22,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_op.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_op.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decon_op.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hits").cast("long")
@@ -55,4 +60,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_decontamination, op5_substring_dedup, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op5_substring_dedup, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules)}
