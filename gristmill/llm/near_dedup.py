@@ -37,6 +37,8 @@ from gristmill.llm.common import durable
 from gristmill.llm.graph import components
 from gristmill.llm.shingles import band_keys, shingle_sets, sketches
 
+#: Stars laid over an unresolved bucket in a round.
+DRAWS = 3
 FEATURES = "doc_id long, n long, d1 long, d2 long, bands array<long>"
 
 
@@ -109,11 +111,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _new_stars(members: DataFrame, comps: DataFrame, salt: int) -> DataFrame:
-    """Pairs ``u < v`` of a star over one delegate of each component, for the buckets that hold several components."""
+    """Pairs ``u < v`` of new stars, for the buckets that hold several components.
+
+    The centre is drawn from all members of the bucket, so a component is met as
+    often as its size says, and joined to one delegate of every other component.
+    Draws hang on the bucket: a document meets other centres in each of its bands.
+    DRAWS such stars are laid over each bucket.
+    """
     placed = members.join(comps, members.rep == comps.node, "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    draw = lambda c: F.xxhash64(F.lit(salt), c)
-    delegates = placed.groupBy("key", "comp").agg(F.min_by("rep", draw(F.col("rep"))).alias("rep"))
-    centres = delegates.groupBy("key").agg(F.min_by("rep", draw(F.col("rep"))).alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
+    several = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
+    placed = placed.join(several, "key", "left_semi").select(F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).alias("star"), "*").withColumn("key", F.xxhash64("key", "star"))
+    draw = F.xxhash64(F.lit(salt), F.col("key"), F.col("rep"))
+    delegates = placed.groupBy("key", "comp").agg(F.min_by("rep", draw).alias("rep"), F.min(draw).alias("draw"))
+    # The least draw of all members is the least of the components' least draws.
+    centres = delegates.groupBy("key").agg(F.min_by("rep", "draw").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
     return delegates.join(centres, "key").where("rep <> centre").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
 
 
