@@ -15,6 +15,7 @@ from gristmill.llm import near_dedup as near_op
 from gristmill.llm import quality_classifier as quality_op
 from gristmill.llm import quality_rules as rules_op
 from gristmill.llm import substring_dedup as substring_op
+from gristmill.llm import warc as warc_op
 from gristmill.llm.common import table
 
 
@@ -35,6 +36,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_op.archive_and_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_op.substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,4 +65,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op5_substring_dedup, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op4_warc, op5_substring_dedup, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules)}
