@@ -26,13 +26,14 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gristmill.llm.words import runs
 
@@ -192,7 +193,7 @@ def load(path: str) -> Tokenizer:
     return _loaded[path]
 
 
-def _encode(path: str, digests: bool):
+def _encode(path: str, digests: bool, keep: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
@@ -204,14 +205,16 @@ def _encode(path: str, digests: bool):
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(map(sha, ids), pa.string()), pa.array(map(sha, decoded), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     numbers = pa.array([list(map(int, t.split())) for t in ids], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, numbers, pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, numbers, pa.array(decoded, pa.string()), *(part.column(c) for c in keep)], ["doc_id", "n_tokens", "ids", "decoded", *keep])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, ids, decoded``. ``path`` must be readable on every executor."""
-    return _texts(docs, id_col, text_col).mapInArrow(_encode(path, False), "doc_id long, n_tokens long, ids array<int>, decoded string")
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: ``doc_id, n_tokens, ids, decoded`` and the columns to ``keep``, which must have other names. ``path`` must be readable on every executor."""
+    rows = _texts(docs, id_col, text_col, keep)
+    schema = StructType.fromDDL("doc_id long, n_tokens long, ids array<int>, decoded string")
+    return rows.mapInArrow(_encode(path, False, tuple(keep)), StructType([*schema, *(rows.schema[c] for c in keep)]))
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,5 +222,5 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return _texts(docs, id_col, text_col).mapInArrow(_encode(path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)

@@ -15,6 +15,7 @@ from gristmill.llm import near_dedup as near_op
 from gristmill.llm import quality_classifier as quality_op
 from gristmill.llm import quality_rules as rules_op
 from gristmill.llm import substring_dedup as substring_op
+from gristmill.llm import token_file as token_op
 from gristmill.llm import warc as warc_op
 from gristmill.llm.common import table
 
@@ -45,6 +46,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_op.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,4 +72,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op4_warc, op5_substring_dedup, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op4_warc, op5_substring_dedup, op6_token_file, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules)}
