@@ -19,6 +19,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _own_folder: list[str] = []
 
@@ -80,6 +81,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame) -> list[Column]:
+    """All columns under names of their places, which clash with nothing, to ride along through ``mapInArrow``."""
+    return [F.col(f"`{c}`").alias(f"_gm_{i}") for i, c in enumerate(docs.columns)]
+
+
+def with_carried(ddl: str, rows: DataFrame) -> StructType:
+    """The schema of ``rows``' carried columns and then those of ``ddl``."""
+    return StructType([*(f for f in rows.schema if f.name.startswith("_gm_")), *StructType.fromDDL(ddl)])
+
+
+def restored(out: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None) -> DataFrame:
+    """The carried columns under their own names again; those in ``changed`` get a new value."""
+    changed = changed or {}
+    return out.select(*[changed.get(c, F.col(f"_gm_{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
+
 def set_worker_threads() -> None:
     """One native thread a task: Spark already runs a task per core."""
     for name in ("RAYON_NUM_THREADS", "OMP_NUM_THREADS"):

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
-from gristmill.llm.common import durable
+from gristmill.llm.common import carried, durable, restored, with_carried
 from gristmill.llm.wu_manber import Table, blocks, tables
 
-SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>"
+SCHEMA = "n_words long, hits array<int>, items array<string>"
 
 
 def _scan(built: Broadcast, keep_text: bool):
@@ -70,28 +70,35 @@ def _scan_run(part: pa.RecordBatch, found: list[Table], keep_text: bool) -> pa.R
                 owners.update(str(x) for x in own if x is not None)
         hits.append(np.unique(np.concatenate(covered)) if covered else [])
         items.append(sorted(owners))
-    columns = {"doc_id": part.column("doc_id"), "n_words": pa.array(np.diff(words.bounds), pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
+    columns = {c: part.column(c) for c in part.schema.names if c.startswith("_gm_")}
+    columns |= {"n_words": pa.array(np.diff(words.bounds), pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
     if keep_text:
         columns["text"] = part.column("text")
     return pa.RecordBatch.from_pydict(columns)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document row: ``doc_id, n_words, hits`` (positions of the words inside an occurrence) and ``items`` (ids, as sorted strings)."""
-    spark = docs.sparkSession
+def _scanned(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """``rows`` (a column ``text`` and carried ones) with SCHEMA in place of the text."""
+    spark = rows.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n_blocks = max(1, -(-size // block_bytes))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k)
         built = spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in block.collect()], window))
         if k == n_blocks - 1:
-            return texts.mapInArrow(_scan(built, False), SCHEMA)
-        texts = durable(texts.mapInArrow(_scan(built, True), SCHEMA + ", text string"), "scanned")
+            return rows.mapInArrow(_scan(built, False), with_carried(SCHEMA, rows))
+        rows = durable(rows.mapInArrow(_scan(built, True), with_carried(SCHEMA + ", text string", rows)), "scanned")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """One row per document row: ``doc_id, n_words, hits`` (positions of the words inside an occurrence) and ``items`` (ids, as sorted strings)."""
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("_gm_0"))
+    return _scanned(rows, benchmark, item_col, item_text_col, window, block_bytes).withColumnRenamed("_gm_0", "doc_id")
 
 
-def apply_decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The documents that hold no window of the benchmark; all columns stay."""
-    bad = contamination(docs, benchmark, id_col, text_col, **parameters).where(F.size("hits") > 0).select(F.col("doc_id").alias("_gm_id")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_gm_id"), "left_anti")
+def apply_decontamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """The documents that hold no window of the benchmark; all columns stay. The columns ride along with the scan, so nothing is shuffled."""
+    rows = docs.select(F.col(text_col).alias("text"), *carried(docs))
+    out = _scanned(rows, benchmark, item_col, item_text_col, window, block_bytes)
+    return restored(out.where(F.size("hits") == 0), docs)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
-from gristmill.llm.common import fold
+from gristmill.llm.common import carried, fold, restored, with_carried
 from gristmill.llm.suffix_automaton import SuffixAutomaton
 
 HELD_OUT_FOLD = 2
@@ -136,22 +136,37 @@ def _predict(model: Broadcast):
                     lang.append(languages[best])
                     score.append(float(1 / lead.sum()))
                     entropy.append(float(p[best] / n))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64())], ["doc_id", "lang_pred", "score", "entropy"])
+                kept = [c for c in part.schema.names if c != "text"]
+                found = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "entropy": pa.array(entropy, pa.float64())}
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | found)
 
     return run
 
 
+PREDICTED = "lang_pred string, score double, entropy double"
+
+
+def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Broadcast:
+    """The word lists, at most LIST_CHARS characters a language."""
+    lists = word_lists(learning_texts(docs, id_col, text_col, lang_col))
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, lists))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: ``doc_id, held_out, lang_pred, score, entropy``. Learned from rows outside the held-out fold."""
-    lists = word_lists(learning_texts(docs, id_col, text_col, lang_col))
-    model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, lists))
+    model = _model(docs, id_col, text_col, lang_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, entropy double")
+    out = texts.mapInArrow(_predict(model), "doc_id long, " + PREDICTED)
     return out.withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)))
 
 
 def apply_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_score: float = 0.3) -> DataFrame:
-    """The documents whose language is told with at least ``min_score``, with ``lang`` set to it; all columns stay. Those with no letter go."""
-    found = identify(docs, id_col, text_col, lang_col).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    found = found.select(F.col("doc_id").alias("_gm_id"), F.col("lang_pred").alias("_gm_lang")).dropDuplicates(["_gm_id"])
-    return docs.join(found, docs[id_col] == F.col("_gm_id")).select(*[(F.col("_gm_lang") if c == lang_col else docs[c]).alias(c) for c in docs.columns])
+    """The documents whose language is told with at least ``min_score``, with ``lang`` set to it; all columns stay. Those with no letter go.
+
+    The columns ride along with the prediction, so nothing is shuffled.
+    """
+    model = _model(docs, id_col, text_col, lang_col)
+    rows = docs.select(F.col(text_col).alias("text"), *carried(docs))
+    out = rows.mapInArrow(_predict(model), with_carried(PREDICTED, rows))
+    told = out.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return restored(told, docs, {lang_col: F.col("lang_pred")})
