@@ -122,6 +122,7 @@ class Tokenizer:
         self.special = added
         self.cut = re.compile("|".join(map(re.escape, added))) if added else None
         self.token = {i: t for t, i in (model["vocab"] | added).items()}
+        self.path, self.library, self.byte_of = path, None, {c: b for b, c in enumerate(byte_symbols())}
         self.known: dict[str, tuple[int, str, str]] = {}
         # Pieces hold no white space, so a space before a special token's text tells it from a piece that reads the same.
         for text, i in added.items():
@@ -150,6 +151,21 @@ class Tokenizer:
         text = self.normalised(text)
         return [p for p in _SPACES.split(text) if p] if _ONLY_PYTHON_SPACE.search(text) else text.split()
 
+    def words(self, piece: str) -> list[bytes]:
+        """The words of a normalised piece.
+
+        Characters that Python's tables do not know (assigned since, or never)
+        are normalised and split as the tokenizers library's tables say.
+        """
+        if piece.isascii() or not any(unicodedata.category(c) == "Cn" for c in piece):
+            return [w.encode() for w in self.pattern.findall(piece)]
+        from tokenizers import Tokenizer as Library
+
+        if self.library is None:
+            self.library = Library.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in found]
+
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces: (token count, decimal ids joined by spaces, decoded tokens joined by spaces)."""
         new = [p for p in pieces if p not in self.known]
@@ -160,9 +176,9 @@ class Tokenizer:
             return
         words, counts = [], []
         for p in new:
-            own = self.pattern.findall(p)
+            own = self.words(p)
             counts.append(len(own))
-            words += [w.encode() for w in own]
+            words += own
         if words:
             ids, bounds = self.merges.encode(words)
         at = 0

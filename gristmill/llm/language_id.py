@@ -97,7 +97,7 @@ class Parser:
                 letters = "".join(filter(str.isalpha, w))
                 place[w] = len(self.rows)
                 self.rows.append([*(a.phrases(f" {letters} ") for a in self.automata), len(letters) + 1] if letters else [0] * (len(self.automata) + 1))
-        table = np.array(self.rows, np.int64).reshape(len(self.rows), -1)
+        table = np.array(self.rows, np.int64).reshape(len(self.rows), len(self.automata) + 1)
         out = np.zeros((len(texts), len(self.automata) + 1), np.int64)
         for i, own in enumerate(found):
             if own:
