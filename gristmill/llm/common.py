@@ -1,4 +1,4 @@
-"""What the operators share: durable intermediate tables, reproducible splits, fresh column names.
+"""What the operators share: durable tables, reproducible splits, carried columns.
 
 Row rules that hold for every operator unless its docstring says otherwise:
 
@@ -12,58 +12,15 @@ Row rules that hold for every operator unless its docstring says otherwise:
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_own_folder: list[str] = []
+from gristmill.storage import durable, scratch_path
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="gristmill-"))
-    return _own_folder[0]
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_folder(spark)}/gristmill-{what}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone; the folder is scratch space
-        return
-
-
-def durable(df: DataFrame, what: str = "step") -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor costs only a reread."""
-    spark = df.sparkSession
-    path = scratch_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, with underscores added until the input has no such column (case aside)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+__all__ = ["ascii_lower", "carried", "durable", "fold", "restored", "scratch_path", "set_worker_threads", "table", "with_carried"]
 
 
 def fold(id_col: Column, folds: int = 4) -> Column:
