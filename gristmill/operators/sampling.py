@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.storage import durable
+
+
+def global_rank(rows: DataFrame, *order: Column) -> DataFrame:
+    """Each row's place (``rank``, from 1) in a total order, without one task that sees all rows.
+
+    Rows are dealt by ranges of the order; a place is the sizes of the ranges
+    before, one number a range, plus the place in the range.
+    """
+    dealt = durable(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before, at = [F.lit(-1), F.lit(0).cast("long")], 0
+    for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+        before += [F.lit(r["_range"]), F.lit(at).cast("long")]
+        at += r["n"]
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("rank", place + F.create_map(*before)[F.col("_range")]).drop("_range")
+
 
 def strata(spark, bounds: list[tuple[str, int, int | None]], last: int) -> DataFrame:
     """``stratum, lo, hi`` of a few ranges; an open end is the population's greatest rank."""

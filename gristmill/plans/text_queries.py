@@ -205,9 +205,7 @@ s AS (SELECT stratum, lo, coalesce(hi0, (SELECT max(rank) FROM r)) AS hi FROM st
 
 
 def _domains(t):
-    from pyspark.sql import Window
-
-    ranked = t.customer.select(F.col("c_custkey").alias("domain"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("rank"))
+    ranked = sampling.global_rank(t.customer.select(F.col("c_custkey").alias("domain"), "c_acctbal"), F.desc("c_acctbal"), F.asc("domain"))
     last = t.customer.count()
     return sampling.systematic(ranked, sampling.strata(t.spark, [("head", 1, 100), ("middle", 101, 600), ("tail", 601, None)], last), "rank", 40).select("domain", "rank", "stratum")
 

@@ -19,7 +19,9 @@ FETCHES_SQL = """SELECT event_id AS fetch_id, user_id AS host_id, event_type AS
 
 
 def millis(ts: Column) -> Column:
-    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+    local = ts.cast("timestamp_ntz")  # read by its parts, so the session's zone has no say
+    days = F.datediff(local.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86_400_000 + F.hour(local) * 3_600_000 + F.minute(local) * 60_000 + F.floor(F.extract(F.lit("SECOND"), local) * 1000).cast("long")
 
 
 def ledger(orders: DataFrame) -> DataFrame:
