@@ -24,7 +24,7 @@ from gristmill.llm.common import durable, fold
 from gristmill.llm.rules import Condition, Rule, compiled, cuts, holds, simplified
 from gristmill.llm.statistics import features, labelled, statistics
 
-#: Rows to learn from, at most.
+#: Rows to learn from, about.
 MAX_ROWS = 20_000
 HELD_OUT_FOLD = 2
 
@@ -126,7 +126,7 @@ def fit(x: dict[str, np.ndarray], y: np.ndarray, *, penalty: float = 1e-3, **tre
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_col: str = "quality", max_rows: int = MAX_ROWS, threshold: float = 0.7) -> DataFrame:
-    """One row per input row: ``doc_id, held_out, score, predicted``. Learned from rows outside the held-out fold, at most ``max_rows`` of them."""
+    """One row per input row: ``doc_id, held_out, score, predicted``. Learned from rows outside the held-out fold, about ``max_rows`` of them."""
     stats = durable(statistics(docs, id_col, text_col), "statistics")
     held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False))
     sample = labelled(stats, labels, label_col, max_rows, held_out)

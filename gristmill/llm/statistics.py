@@ -128,12 +128,17 @@ def features() -> dict[str, Column]:
 
 
 def labelled(stats: DataFrame, labels: DataFrame, label_col: str, max_rows: int, held_out: Column):
-    """Features and label of at most ``max_rows`` rows that are not held out, as a pandas frame ordered by a hash of the id.
+    """Features and label of about ``max_rows`` rows that are not held out, as a pandas frame ordered by a hash of the id.
 
-    The bound is the learners' documented sample size; a label given more than
+    The bound is the learners' documented sample size: a row is drawn by a hash
+    of its id, at the rate that makes so many, and only drawn rows reach the
+    driver. All rows are taken where there are no more. A label given more than
     once counts as its least value.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_gm_id")).agg(F.min(label_col).alias("label"))
     rows = stats.where(F.col("doc_id").isNotNull() & ~held_out).join(known, F.col("doc_id") == F.col("_gm_id"))
-    chosen = rows.select(F.xxhash64("doc_id").alias("_order"), *[e.alias(n) for n, e in features().items()], F.col("label").cast("int").alias("label"))
-    return chosen.orderBy(*chosen.columns).limit(max_rows).drop("_order").toPandas()
+    draw = F.xxhash64("doc_id")
+    rate = max_rows / max(1, rows.count())
+    drawn = rows.where(F.pmod(draw, F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))) if rate < 1 else rows
+    chosen = drawn.select(draw.alias("_order"), *[e.alias(n) for n, e in features().items()], F.col("label").cast("int").alias("label")).toPandas()
+    return chosen.sort_values(list(chosen.columns)).drop(columns="_order").reset_index(drop=True)
