@@ -79,25 +79,25 @@ def manifest_chain(t):
 
 
 @query(f"""WITH {_ENTRIES}, {_DAYS.format('entries')}, after AS (SELECT day, sha256(string_agg(path || ' ' || rows || ' ' || bytes, chr(10) ORDER BY path || ' ' || rows || ' ' || bytes)) AS digest
-  FROM entries WHERE NOT (rows % 5 = 0) GROUP BY day) SELECT coalesce(d.day, a.day) AS day, CASE WHEN a.digest IS NULL THEN 'removed' WHEN d.digest IS NULL THEN 'added' ELSE 'changed' END AS status
+  FROM entries WHERE bytes <= 500000 GROUP BY day) SELECT coalesce(d.day, a.day) AS day, CASE WHEN a.digest IS NULL THEN 'removed' WHEN d.digest IS NULL THEN 'added' ELSE 'changed' END AS status
 FROM days d FULL JOIN after a ON d.day = a.day WHERE d.digest IS DISTINCT FROM a.digest""")
 def retraction_changes(t):
     entries = _entries(t)
-    return publish.changed_days(publish.manifests(entries), publish.manifests(publish.retract(entries, entries.where("rows % 5 = 0"))))
+    return publish.changed_days(publish.manifests(entries), publish.manifests(publish.retract(entries, entries.where("bytes > 500000"))))
 
 
-@query(f"""WITH {_ENTRIES}, held AS (SELECT path, bytes + CASE WHEN rows % 7 = 0 THEN 1 ELSE 0 END AS bytes FROM entries WHERE rows % 11 <> 0 UNION ALL SELECT 'extra/' || path, bytes FROM entries WHERE rows % 13 = 0)
+@query(f"""WITH {_ENTRIES}, held AS (SELECT path, bytes + CASE WHEN rows = 7 THEN 1 ELSE 0 END AS bytes FROM entries WHERE rows <> 11 UNION ALL SELECT 'extra/' || path, bytes FROM entries WHERE rows = 13)
 SELECT coalesce(e.path, h.path) AS path, CASE WHEN h.bytes IS NULL THEN 'missing' WHEN e.bytes IS NULL THEN 'unnamed' WHEN h.bytes <> e.bytes THEN 'size' ELSE 'ok' END AS status FROM entries e FULL JOIN held h ON e.path = h.path""")
 def hub_full_outer(t):
     entries = _entries(t)
-    held = entries.where("rows % 11 <> 0").select("path", (F.col("bytes") + F.when(F.col("rows") % 7 == 0, 1).otherwise(0)).alias("bytes"))
-    return publish.compare_listing(entries, held.union(entries.where("rows % 13 = 0").select(F.concat(F.lit("extra/"), "path"), "bytes")))
+    held = entries.where("rows <> 11").select("path", (F.col("bytes") + F.when(F.col("rows") == 7, 1).otherwise(0)).alias("bytes"))
+    return publish.compare_listing(entries, held.union(entries.where("rows = 13").select(F.concat(F.lit("extra/"), "path"), "bytes")))
 
 
-@query(f"""WITH {_ENTRIES} SELECT path, CASE WHEN rows % 2 = 1 THEN 'not recorded' WHEN bytes % 3 = 0 THEN 'not listed' WHEN bytes % 5 = 0 THEN 'not same_size' WHEN bytes % 7 = 0 THEN 'not chained' END AS reason,
-  NOT (rows % 2 = 1 OR bytes % 3 = 0 OR bytes % 5 = 0 OR bytes % 7 = 0) AS clear FROM entries""")
+@query(f"""WITH {_ENTRIES} SELECT path, CASE WHEN rows = 3 THEN 'not recorded' WHEN rows = 5 THEN 'not listed' WHEN bytes > 600000 THEN 'not same_size' WHEN bytes > 400000 THEN 'not chained' END AS reason,
+  NOT (rows = 3 OR rows = 5 OR bytes > 600000 OR bytes > 400000) AS clear FROM entries""")
 def gc_evidence(t):
-    e = _entries(t).selectExpr("path", "rows % 2 = 0 AS recorded", "bytes % 3 <> 0 AS listed", "bytes % 5 <> 0 AS same_size", "bytes % 7 <> 0 AS chained")
+    e = _entries(t).selectExpr("path", "rows <> 3 AS recorded", "rows <> 5 AS listed", "bytes <= 600000 AS same_size", "bytes <= 400000 AS chained")
     return publish.deletable(e).select("path", "reason", "clear")
 
 

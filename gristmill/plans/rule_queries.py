@@ -12,7 +12,6 @@ from gristmill.plans.text_queries import _HOST, _PLD
 from gristmill.sources import feeds
 from gristmill.sources.crawl_tables import fetches, ledger, millis
 
-_TEXT_OF = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE event_id % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' ELSE '-0530' END"
 _ZONE_MS = "CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 7200000 ELSE -19800000 END"
 
 

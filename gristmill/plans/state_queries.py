@@ -26,11 +26,11 @@ def host_counts(t):
     return ledger(t.orders).groupBy("host_id").agg(F.count("*").alias("urls"), F.count_if(F.col("state") == 0).alias("pending"), F.max("priority").alias("top"))
 
 
-@query(WITH + """, c AS (SELECT host_id AS k, count(*) AS counted FROM ledger GROUP BY host_id), m AS (SELECT c_custkey AS k, c_custkey % 20 AS kept FROM customer)
+@query(WITH + """, c AS (SELECT host_id AS k, count(*) AS counted FROM ledger GROUP BY host_id), m AS (SELECT c_custkey AS k, c_nationkey AS kept FROM customer)
 SELECT k, coalesce(counted, 0)::BIGINT AS counted, coalesce(kept, 0)::BIGINT AS kept FROM c FULL JOIN m USING (k) WHERE coalesce(counted, 0) <> coalesce(kept, 0)""")
 def counters_reconciled(t):
     counted = ledger(t.orders).groupBy(F.col("host_id").alias("k")).agg(F.count("*").alias("n"))
-    return state.reconcile(counted, t.customer.select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 20).alias("n")), "k")
+    return state.reconcile(counted, t.customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("n")), "k")
 
 
 @query(WITH + f" SELECT url_key, host_id, pld_id, priority, next_due_ms, delay_ms FROM ({_LEASABLE})")
@@ -79,12 +79,12 @@ def fresher_anti(t):
     return state.fresher_than(all_.where("outcome = 'view'"), all_.where("outcome = 'click'")).select("fetch_id", "host_id", "at_ms")
 
 
-@query(WITH + """, a AS (SELECT * FROM ledger WHERE url_key % 3 <> 0), b AS (SELECT url_key, host_id, 2 AS state, 0::BIGINT AS priority, next_due_ms, refresh_class FROM ledger WHERE url_key % 2 = 0)
+@query(WITH + """, a AS (SELECT * FROM ledger WHERE state <> 2), b AS (SELECT url_key, host_id, 2 AS state, 0::BIGINT AS priority, next_due_ms, refresh_class FROM ledger WHERE priority > 100)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE url_key NOT IN (SELECT url_key FROM a)""")
 def restore_if_absent(t):
     rows = ledger(t.orders)
-    spilled = rows.where("url_key % 2 = 0").withColumns({"state": F.lit(2), "priority": F.lit(0).cast("long")})
-    return state.restore(rows.where("url_key % 3 <> 0"), spilled, "url_key")
+    spilled = rows.where("priority > 100").withColumns({"state": F.lit(2), "priority": F.lit(0).cast("long")})
+    return state.restore(rows.where("state <> 2"), spilled, "url_key")
 
 
 @query(WITH + " SELECT url_key, host_id FROM ledger WHERE url_key > 5000 ORDER BY url_key LIMIT 200")
@@ -145,9 +145,9 @@ def first_fetch_join(t):
     return rows.where("outcome = 'signup'").join(first, "host_id", "left").select("fetch_id", verdict.alias("verdict"), F.when(late, F.col("first_ms") - F.col("at_ms")).alias("wait_ms"))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k FROM orders), l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45) SELECT k FROM o WHERE k % 2 = 0 UNION SELECT k FROM l""")
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O'), l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45) SELECT k FROM o UNION SELECT k FROM l""")
 def set_union(t):
-    return t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k")).union(t.lineitem.where("l_quantity > 45").select("l_orderkey")).distinct()
+    return t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k")).union(t.lineitem.where("l_quantity > 45").select("l_orderkey")).distinct()
 
 
 @query("SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45")

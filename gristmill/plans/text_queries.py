@@ -192,7 +192,7 @@ def gate_gcra(t):
 @query(WITH + " SELECT host_id, arg_max(outcome, (at_ms, fetch_id)) AS outcome, max(at_ms)::BIGINT AS at_ms FROM fetches GROUP BY host_id")
 def latest_wins(t):
     rows = fetches(t.events).select("host_id", "at_ms", "fetch_id", "outcome")
-    return folds.latest_wins(rows.where("fetch_id % 2 = 0"), rows.where("fetch_id % 2 = 1"), "host_id", "at_ms", "fetch_id").select("host_id", "outcome", "at_ms")
+    return folds.latest_wins(rows.where("outcome in ('view', 'click')"), rows.where("outcome not in ('view', 'click')"), "host_id", "at_ms", "fetch_id").select("host_id", "outcome", "at_ms")
 
 
 @query(WITH + """ SELECT fetch_id, CASE WHEN s > 0 THEN round((latency - m) / s, 4) ELSE 0.0 END AS z FROM fetches JOIN (SELECT host_id, avg(latency) AS m, stddev_pop(latency) AS s FROM fetches GROUP BY host_id) USING (host_id) WHERE abs((latency - m) / s) > 2.5""")
