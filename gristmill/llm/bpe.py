@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gristmill.llm.common import worker_state
 from gristmill.llm.words import runs
 
 #: Pieces a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Characters that Python's str.split cuts at and the White_Space property does not hold.
 _ONLY_PYTHON_SPACE = re.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(r"\p{White_Space}+")
@@ -200,13 +201,8 @@ class Tokenizer:
         return out
 
 
-_loaded: dict[str, Tokenizer] = {}
-
-
 def load(path: str) -> Tokenizer:
-    if path not in _loaded:
-        _loaded[path] = Tokenizer(path)
-    return _loaded[path]
+    return worker_state(("bpe", path), lambda: Tokenizer(path))
 
 
 def _encode(path: str, digests: bool, keep: tuple[str, ...] = ()):

@@ -12,7 +12,10 @@ Row rules that hold for every operator unless its docstring says otherwise:
 
 from __future__ import annotations
 
+import gc
 import os
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +23,9 @@ from pyspark.sql.types import StructType
 
 from gristmill.storage import durable, scratch_path
 
-__all__ = ["ascii_lower", "carried", "durable", "fold", "restored", "scratch_path", "set_worker_threads", "table", "with_carried"]
+__all__ = ["ascii_lower", "carried", "durable", "fold", "restored", "scratch_path", "set_worker_threads", "table", "with_carried", "worker_state"]
+
+T = TypeVar("T")
 
 
 def fold(id_col: Column, folds: int = 4) -> Column:
@@ -54,6 +59,18 @@ def restored(out: DataFrame, docs: DataFrame, changed: dict[str, Column] | None
     return out.select(*[changed.get(c, F.col(f"_gm_{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
+_held: dict[object, object] = {}
+
+
+def worker_state(key: object, build: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one object at a time, so that the operators of a pipeline do not add up in a reused worker."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = build()
+    return _held[key]
+
+
 def set_worker_threads() -> None:
     """One native thread a task: Spark already runs a task per core."""
     for name in ("RAYON_NUM_THREADS", "OMP_NUM_THREADS"):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
-from gristmill.llm.common import carried, durable, restored, with_carried
+from gristmill.llm.common import carried, durable, restored, with_carried, worker_state
 from gristmill.llm.wu_manber import Table, blocks, tables
 
 SCHEMA = "n_words long, hits array<int>, items array<string>"
@@ -40,16 +40,10 @@ def _scan(built: Broadcast, keep_text: bool):
     return run
 
 
-_built: dict[str, list[Table]] = {}
-
-
 def _tables(built: Broadcast) -> list[Table]:
     """The block's tables, built once in each worker process."""
     name, items, window = built.value
-    if name not in _built:
-        _built.clear()
-        _built[name] = tables(items, window)
-    return _built[name]
+    return worker_state(name, lambda: tables(items, window))
 
 
 def _scan_run(part: pa.RecordBatch, found: list[Table], keep_text: bool) -> pa.RecordBatch:

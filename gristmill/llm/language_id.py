@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
-from gristmill.llm.common import carried, fold, restored, with_carried
+from gristmill.llm.common import carried, fold, restored, with_carried, worker_state
 from gristmill.llm.suffix_automaton import SuffixAutomaton
 
 HELD_OUT_FOLD = 2
 #: The learning sample of a language: about so many documents, at most so many characters of each, and of its word list.
-SAMPLE_DOCS, SAMPLE_CHARS, LIST_CHARS = 400, 20_000, 120_000
+SAMPLE_DOCS, SAMPLE_CHARS, LIST_CHARS = 400, 20_000, 60_000
 #: Words a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -84,20 +84,22 @@ class Parser:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows: list[list[int]] = []
+        self.table = np.zeros((0, len(self.automata) + 1), np.int32)
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: the phrases that each language needs, and letters plus words."""
         found = [_WORD.findall(t.lower()) for t in texts]
         if len(self.place) > REMEMBERED:
             self.forget()
-        place = self.place
+        place, new = self.place, []
         for w in {w for own in found for w in own}:
             if w not in place:
                 letters = "".join(filter(str.isalpha, w))
-                place[w] = len(self.rows)
-                self.rows.append([*(a.phrases(f" {letters} ") for a in self.automata), len(letters) + 1] if letters else [0] * (len(self.automata) + 1))
-        table = np.array(self.rows, np.int64).reshape(len(self.rows), len(self.automata) + 1)
+                place[w] = len(place)
+                new.append([*(a.phrases(f" {letters} ") for a in self.automata), len(letters) + 1] if letters else [0] * (len(self.automata) + 1))
+        if new:
+            self.table = np.concatenate([self.table, np.array(new, np.int32)])
+        table = self.table
         out = np.zeros((len(texts), len(self.automata) + 1), np.int64)
         for i, own in enumerate(found):
             if own:
@@ -105,15 +107,9 @@ class Parser:
         return out[:, :-1], out[:, -1]
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def _parser(model: Broadcast) -> Parser:
     name, lists = model.value
-    if name not in _parsers:
-        _parsers.clear()
-        _parsers[name] = Parser(lists)
-    return _parsers[name]
+    return worker_state(name, lambda: Parser(lists))
 
 
 def _predict(model: Broadcast):
