@@ -32,3 +32,19 @@ def doubled(rows: DataFrame, key: str, week: str, value: str, least: int) -> Dat
 def replayed(key: Column, probability: Column) -> Column:
     """Whether a row is drawn for replay: its hash as a fraction is under the probability, so a row is always judged alike."""
     return F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("double") / 4294967296.0 < probability
+
+
+def quorum_size(rank: Column, is_seed: Column, top: int = 100_000) -> Column:
+    """Independent fetches that a URL needs: three for seeds, two for the highest ranks, else one."""
+    return F.when(is_seed, 3).when(rank <= top, 2).otherwise(1)
+
+
+def quorum(rows: DataFrame, key: str, digest: str, network: str, size: Column) -> DataFrame:
+    """``key, networks, verdict``: ``replay`` where digests differ, ``quorum`` where enough networks agree, else ``waiting``.
+
+    ``size`` must be the same in all rows of a key. Distinct networks are counted in two steps, so a hot key is summed before it moves.
+    """
+    seen = rows.groupBy(key, network).agg(F.min(digest).alias("_lo"), F.max(digest).alias("_hi"), F.max(size).alias("_size"))
+    per = seen.groupBy(key).agg(F.count(network).alias("networks"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_size").alias("_size"))
+    verdict = F.when(F.col("_lo") != F.col("_hi"), "replay").when(F.col("networks") >= F.col("_size"), "quorum").otherwise("waiting")
+    return per.select(key, "networks", verdict.alias("verdict"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.functions import dates, merkle, urls
+from gristmill.functions import dates, merkle, names, robots, urls
 from gristmill.operators import scope, trust
 from gristmill.plans.registry import query
 from gristmill.plans.state_queries import WITH
@@ -138,3 +138,33 @@ def as_of_order(t):
     past = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("host_id"), millis(F.col("o_orderdate")).alias("at_ms"), F.lit(None).cast("long").alias("fetch_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
     w = Window.partitionBy("host_id").orderBy("at_ms", F.col("fetch_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     return rows.unionByName(past).withColumn("before", F.last("at", ignorenulls=True).over(w)).where("fetch_id is not null and before is not null").select("fetch_id", "before")
+
+
+_BASE32 = "'0123456789ABCDEFGHJKMNPQRSTVWXYZ'"
+
+
+def _base32_sql(value: str, n: int) -> str:
+    return " || ".join(f"substring({_BASE32}, ((({value}) >> {5 * i}) & 31)::INTEGER + 1, 1)" for i in reversed(range(n)))
+
+
+@query(f"""WITH e AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, sha256(event_id::VARCHAR) AS h FROM events),
+v AS (SELECT *, ('0x' || substring(h, 1, 10))::BIGINT AS a, ('0x' || substring(h, 11, 10))::BIGINT AS b FROM e)
+SELECT event_id, {_base32_sql("ms", 10)} || {_base32_sql("a", 8)} || {_base32_sql("b", 8)} AS name, ms AS at_ms FROM v""")
+def sortable_names(t):
+    name = names.ulid(F.col("at_ms"), F.sha2(F.col("event_id").cast("string"), 256))
+    return t.events.select("event_id", millis(F.col("ts")).alias("at_ms")).select("event_id", name.alias("name")).withColumn("at_ms", names.ulid_millis(F.lower("name")))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'n' WHEN 'view' THEN 'n' WHEN 'purchase' THEN 'y' END AS train_ai, CASE event_type WHEN 'click' THEN 'y' WHEN 'view' THEN 'n' END AS search,
+  CASE event_type WHEN 'error' THEN 'foo=1|train-ai' WHEN 'purchase' THEN 'search=maybe' ELSE '' END AS unreadable FROM events""")
+def usage_preferences(t):
+    kind = F.col("event_type")
+    line = F.when(kind == "click", "train-ai=n, search=y").when(kind == "view", "search=N,,train-ai=y,train-ai = n").when(kind == "error", "foo=1, train-ai").when(kind == "purchase", " Train-AI = Y ,search=maybe").otherwise("")
+    return t.events.select("event_id", robots.usage(line).alias("u")).select("event_id", "u.train_ai", "u.search", F.array_join("u.unreadable", "|").alias("unreadable"))
+
+
+@query("""SELECT l_orderkey AS url_key, count(DISTINCT l_suppkey)::BIGINT AS networks, CASE WHEN min(l_returnflag) <> max(l_returnflag) THEN 'replay'
+  WHEN count(DISTINCT l_suppkey) >= CASE WHEN l_orderkey % 10 = 0 THEN 3 WHEN l_orderkey * 100 <= 100000 THEN 2 ELSE 1 END THEN 'quorum' ELSE 'waiting' END AS verdict FROM lineitem GROUP BY l_orderkey""")
+def quorum_verdicts(t):
+    size = trust.quorum_size(F.col("url_key") * 100, F.col("url_key") % 10 == 0)
+    return trust.quorum(t.lineitem.withColumnRenamed("l_orderkey", "url_key"), "url_key", "l_returnflag", "l_suppkey", size)
