@@ -65,7 +65,7 @@ def sitemaps(text: Column) -> Column:
 
 
 def usage(value: Column) -> Column:
-    """``struct(train_ai, search, unreadable)`` of a usage preference line: ``y``, ``n`` or null, of several the stricter; items that say neither stay as written."""
+    """``struct(train_ai, search, unreadable)`` of a usage preference line: ``y``, ``n`` or null, of several the stricter; of items that say neither the first eight stay, as written."""
     items = F.filter(F.transform(F.split(value, ","), lambda x: F.btrim(x)), lambda x: x != "")
     name = lambda x: F.lower(F.btrim(F.substring_index(x, "=", 1)))
     says = lambda x: F.when(F.contains(x, F.lit("=")), F.lower(F.btrim(F.regexp_replace(x, "^[^=]*=", "")))).otherwise("")
@@ -75,4 +75,4 @@ def usage(value: Column) -> Column:
         return F.when(has("n"), "n").when(has("y"), "y")
 
     unread = F.filter(items, lambda x: ~(name(x).isin("train-ai", "search") & says(x).isin("y", "n")))
-    return F.struct(of("train-ai").alias("train_ai"), of("search").alias("search"), F.array_distinct(unread).alias("unreadable"))
+    return F.struct(of("train-ai").alias("train_ai"), of("search").alias("search"), F.slice(F.array_distinct(unread), 1, 8).alias("unreadable"))

@@ -1,7 +1,7 @@
 """Scalar functions on small tables of cases."""
 
 import pytest
-from gristmill.functions import classify, html, robots, schedule, urls
+from gristmill.functions import classify, html, names, robots, schedule, urls
 from pyspark.sql import functions as F
 
 
@@ -119,3 +119,22 @@ def test_html_in_spark(spark):
     df = spark.createDataFrame([(PAGE, "http://h.org/q"), (None, None)], "h string, u string").repartition(1)
     got = df.select(html.extract(F.col("h"), F.col("u")).alias("x")).select("x.title", F.size("x.links")).collect()
     assert sorted(map(tuple, got), key=str) == [("A page", 2), (None, 0)]
+
+
+def test_usage_preferences(spark):
+    cases = {"train-ai=n": ("n", None, []), "search=Y , train-ai=y,train-ai=n": ("n", "y", []), "a=b=c, a=b=c,search": (None, None, ["a=b=c", "search"]), "": (None, None, []), ",".join(f"k{i}" for i in range(10)): (None, None, [f"k{i}" for i in range(8)])}
+    got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", robots.usage(F.col("c")).alias("u")).collect()
+    assert {r["c"]: (r["u"]["train_ai"], r["u"]["search"], r["u"]["unreadable"]) for r in got} == cases
+
+
+def test_names(spark):
+    rows = [(0, "0" * 20), (1_700_000_000_123, "0123456789abcdef0123"), ((1 << 48) - 1, "f" * 20)]
+    got = spark.createDataFrame(rows, "ms long, h string").select("ms", "h", names.ulid(F.col("ms"), F.col("h")).alias("t")).withColumn("back", names.ulid_millis(F.lower("t"))).collect()
+    for r in got:
+        number, text = r["ms"] << 80 | int(r["h"], 16), ""
+        for _ in range(26):
+            number, digit = divmod(number, 32)
+            text = names.ALPHABET[digit] + text
+        assert (r["t"], r["back"]) == (text, r["ms"])
+    bad = spark.createDataFrame([("8" + "0" * 25,), ("0" * 25,), ("0" * 25 + "I",), (None,)], "t string")
+    assert [r[0] for r in bad.select(names.ulid_millis(F.col("t"))).collect()] == [None] * 4
