@@ -36,13 +36,15 @@ def near_clusters(docs: DataFrame, least: float = 0.8) -> DataFrame:
 def host_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Mirror hosts: ``a, b, common, smaller``, pairs of hosts that share at least this share of the smaller one's distinct contents.
 
-    Each content gives a star of pairs around the first host that has it, so a
-    content that all hosts have gives one pair a host.
+    Contents that the same hosts have are counted together, so each distinct set
+    of hosts is expanded into its pairs once, whatever the number of contents.
     """
     has = durable(docs.select(F.col("source").alias("host"), text_digest(F.col("text")).alias("digest")).distinct(), "host-contents")
     sizes = has.groupBy("host").agg(F.count("*").alias("n"))
-    stars = has.groupBy("digest").agg(F.min("host").alias("a"), F.max("host").alias("_last")).where("a < _last").select("digest", "a")
-    pairs = has.join(stars, "digest").where("host > a").groupBy("a", F.col("host").alias("b")).agg(F.count("*").alias("common"))
+    held = has.where("host is not null and digest is not null").groupBy("digest").agg(F.sort_array(F.collect_set("host")).alias("hosts")).where(F.size("hosts") > 1)
+    sets = held.groupBy("hosts").agg(F.count("*").alias("n"))
+    firsts = sets.select("n", "hosts", F.posexplode("hosts").alias("at", "a"))
+    pairs = firsts.select("n", "a", F.explode(F.slice("hosts", F.col("at") + 2, F.size("hosts"))).alias("b")).groupBy("a", "b").agg(F.sum("n").alias("common"))
     of = lambda side: sizes.select(F.col("host").alias(side), F.col("n").alias(f"n_{side}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "common", F.least("n_a", "n_b").alias("smaller")).where(F.col("common") >= least * F.col("smaller"))
 
