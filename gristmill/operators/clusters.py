@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.fingerprint import SLOTS, agreement, band_keys, sketches, text_digest
-from gristmill.operators.graph import components
+from gristmill.functions.fingerprint import SLOTS, TOKENS, agreement, band_keys, sketches, text_digest
+from gristmill.functions.urls import collapse
+from gristmill.operators.overlap import prefix_keys, shared_buckets, similar_components
 from gristmill.storage import durable
 
 
@@ -27,10 +28,33 @@ def near_candidates(docs: DataFrame) -> DataFrame:
     return both.select("a", "b", agreement([F.col(f"a_{s}") for s in slots], [F.col(f"b_{s}") for s in slots]).alias("shared"))
 
 
-def near_clusters(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """``doc_id, cluster`` for documents near another one, by estimated similarity; the cluster is its smallest doc_id."""
-    links = near_candidates(docs).where(F.col("shared") >= least * SLOTS).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return components(links).select(F.col("node").alias("doc_id"), F.col("comp").alias("cluster"))
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """``doc_id, shingles``: 64-bit hashes of the distinct runs of TOKENS tokens of the collapsed ``_text``; a shorter text is one run."""
+    tokens = docs.select("doc_id", F.split("_text", " ").alias("t"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - TOKENS + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, TOKENS), " ")))
+    return tokens.select("doc_id", F.array_distinct(runs).alias("shingles"))
+
+
+def near_classes(docs: DataFrame, *keep: str, percent: int = 75) -> DataFrame:
+    """The columns ``keep``, ``doc_id`` and ``cluster`` of every document: the smallest doc_id of its near-duplicate class, its own where there is none.
+
+    Classes are the components of all pairs whose full shingle sets have this
+    percentage in common. Texts that are equal but for white space are in one
+    class, null as empty; a text of fewer than TOKENS tokens is its only shingle.
+    """
+    rows = docs.select(*keep, "doc_id", collapse(F.coalesce("text", F.lit(""))).alias("_text"))
+    named = rows.select(*keep, "doc_id", F.sha2("_text", 256).alias("_digest"))
+    classes = durable(named.groupBy("_digest").agg(F.min("doc_id").alias("_rep")), "classes")
+    first = rows.join(classes.select(F.col("_rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = durable(shingle_sets(first), "sets")
+    comps = similar_components(shared_buckets(prefix_keys(sets, percent)), sets, percent)
+    placed = named.join(classes, "_digest").join(comps, F.col("_rep") == F.col("node"), "left")
+    return placed.select(*keep, "doc_id", F.coalesce("comp", "_rep", "doc_id").alias("cluster"))
+
+
+def near_clusters(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``doc_id, cluster`` of every document, see ``near_classes``."""
+    return near_classes(docs, percent=percent)
 
 
 def host_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -1,6 +1,6 @@
 """Mirrors, near duplicates and soft 404 hosts against brute force."""
 
-from collections import defaultdict
+import random
 from itertools import combinations
 
 from gristmill.operators import clusters
@@ -16,3 +16,44 @@ def test_mirrors_that_share_without_the_smallest_host(spark):
             want.add((x, y, common, smaller))
     assert ("b", "c", 10, 10) in want
     assert set(map(tuple, clusters.host_pairs(docs).collect())) == want
+
+
+def similar(a: str, b: str) -> bool:
+    x, y = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in (a.split(), b.split())]
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
+def classes_by_hand(texts: dict[int, str]) -> dict[int, int]:
+    comp = {i: i for i in texts}
+    for i, j in combinations(sorted(texts), 2):
+        if comp[i] != comp[j] and similar(texts[i], texts[j]):
+            low, high = sorted((comp[i], comp[j]))
+            comp = {k: low if c == high else c for k, c in comp.items()}
+    return comp
+
+
+def near_texts() -> dict[int, str]:
+    """Unlike texts with a common opening, copies, and changed copies around the threshold; short texts."""
+    r = random.Random(5)
+    words = lambda k: [f"w{r.randrange(5000)}" for _ in range(k)]
+    opening, texts = words(30), []
+    for _ in range(40):
+        base = opening + words(r.choice([20, 60, 90]))
+        texts.append(base)
+        for changes in r.sample([0, 1, 1, 2, 2, 3], 2):
+            changed = list(base)
+            for _ in range(changes):
+                changed[r.randrange(len(changed))] = f"x{r.randrange(10**6)}"
+            texts.append(changed)
+    out = [" ".join(t) for t in texts] + ["not found", "not  found ", "gone", ""]
+    r.shuffle(out)
+    return dict(enumerate(out))
+
+
+def test_near_classes_are_those_of_all_pairs(spark):
+    texts = near_texts()
+    want = classes_by_hand(texts)
+    assert 20 < len(set(want.values())) < len(texts) - 20
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = clusters.near_clusters(docs).collect()
+    assert len(got) == len(texts) and {r["doc_id"]: r["cluster"] for r in got} == want
