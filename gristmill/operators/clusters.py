@@ -17,15 +17,25 @@ def exact_clusters(docs: DataFrame) -> DataFrame:
 
 
 def near_candidates(docs: DataFrame) -> DataFrame:
-    """``a, b, shared``: pairs of documents in a band bucket, as stars around its smallest member, with the number of slots they share."""
-    made = durable(sketches(docs), "sketches")
+    """``a, b, shared``: all pairs of documents that share a band bucket, with the number of slots they share.
+
+    Documents with equal sketches share all buckets and agree alike with any
+    other, so buckets are joined with themselves, and sketches compared, for one
+    of each; their pairs are then given to all that have the sketch.
+    """
     slots = [f"m{i}" for i in range(SLOTS)]
-    buckets = made.select("doc_id", F.explode(F.array(*band_keys([F.col(s) for s in slots]))).alias("band"))
-    centres = buckets.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_last")).where("a < _last").select("band", "a")
-    pairs = buckets.join(centres, "band").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    of = lambda side: made.select(F.col("doc_id").alias(side), *[F.col(s).alias(f"{side}_{s}") for s in slots])
+    made = durable(sketches(docs).withColumn("sketch", F.sha2(F.concat_ws(",", *[F.col(s).cast("string") for s in slots]), 256)), "sketches")
+    members = durable(made.groupBy("sketch").agg(F.min("doc_id").alias("rep")).join(made.select("sketch", "doc_id"), "sketch").select("rep", "doc_id"), "members")
+    reps = made.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    buckets = reps.select("doc_id", F.explode(F.array(*band_keys([F.col(s) for s in slots]))).alias("band"))
+    pairs = buckets.withColumnRenamed("doc_id", "a").join(buckets.withColumnRenamed("doc_id", "b"), "band").where("a < b").select("a", "b").distinct()
+    of = lambda side: reps.select(F.col("doc_id").alias(side), *[F.col(s).alias(f"{side}_{s}") for s in slots])
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.select("a", "b", agreement([F.col(f"a_{s}") for s in slots], [F.col(f"b_{s}") for s in slots]).alias("shared"))
+    unlike = both.select("a", "b", agreement([F.col(f"a_{s}") for s in slots], [F.col(f"b_{s}") for s in slots]).alias("shared"))
+    has = lambda side: members.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_doc"))
+    spread = unlike.join(has("a"), "a").join(has("b"), "b").select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), "shared")
+    alike = members.join(members.select("rep", F.col("doc_id").alias("b")), "rep").where("doc_id < b").select(F.col("doc_id").alias("a"), "b", F.lit(SLOTS).alias("shared"))
+    return spread.union(alike)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+from gristmill.functions.fingerprint import sketches
 from gristmill.operators import clusters
 
 
@@ -57,3 +58,17 @@ def test_near_classes_are_those_of_all_pairs(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = clusters.near_clusters(docs).collect()
     assert len(got) == len(texts) and {r["doc_id"]: r["cluster"] for r in got} == want
+
+
+def test_candidates_are_all_pairs_of_a_bucket(spark):
+    texts = near_texts() | {1000 + i: " ".join(f"c{k}" for k in range(40)) for i in range(4)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    slots = {r["doc_id"]: [r[f"m{i}"] for i in range(64)] for r in sketches(docs).collect()}
+    want = set()
+    for a, b in combinations(sorted(slots), 2):
+        same = [x == y for x, y in zip(slots[a], slots[b])]
+        if any(all(same[k : k + 8]) for k in range(0, 64, 8)):
+            want.add((a, b, sum(same)))
+    assert {(1001, 1002, 64), (1002, 1003, 64)} <= want
+    got = [tuple(r) for r in clusters.near_candidates(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
