@@ -84,7 +84,6 @@ def host_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def top_share(docs: DataFrame) -> DataFrame:
-    """Per host: documents, those of its commonest content, for the soft 404 rule (over 60 percent)."""
-    per = docs.groupBy("source", text_digest(F.col("text")).alias("digest")).agg(F.count("*").alias("n"))
+    """Per host: documents, those of its commonest near-duplicate class, for the soft 404 rule (over 60 percent)."""
+    per = near_classes(docs, "source").groupBy("source", "cluster").agg(F.count("*").alias("n"))
     return per.groupBy("source").agg(F.sum("n").alias("docs"), F.max("n").alias("commonest")).withColumn("soft_404", F.col("commonest") * 10 > F.col("docs") * 6)
-

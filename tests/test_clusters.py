@@ -72,3 +72,10 @@ def test_candidates_are_all_pairs_of_a_bucket(spark):
     assert {(1001, 1002, 64), (1002, 1003, 64)} <= want
     got = [tuple(r) for r in clusters.near_candidates(docs).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_error_pages_that_differ_in_a_word(spark):
+    page = " ".join(f"e{k}" for k in range(60))
+    rows = [(i, "s", f"{page} /path{i}") for i in range(7)] + [(10 + i, "s", f"own text {i} of this page {i}") for i in range(3)] + [(20 + i, "t", f"another text {i} of page {i}") for i in range(4)]
+    got = clusters.top_share(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {tuple(r) for r in got} == {("s", 10, 7, True), ("t", 4, 1, False)}
