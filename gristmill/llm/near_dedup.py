@@ -13,6 +13,9 @@
    one delegate of each component drawn by a new hash, until a round of stars
    confirms no further link. So a member that is unlike the first centre meets
    other members of its bucket in later rounds.
+6. Pairs that still share a bucket and no component are then all compared, found
+   by a prefix filter over the full sets (``operators.overlap``), so none is lost
+   to the draw of the stars.
 
 With 32 bands of 4 of 128 bins a pair at similarity 0.75 shares no bucket with
 probability (1 - 0.75**4)**32, about 5e-6, and about ten buckets on average.
@@ -35,10 +38,8 @@ from pyspark.sql import functions as F
 from gristmill.llm import words as W
 from gristmill.llm.common import durable
 from gristmill.llm.shingles import band_keys, shingle_sets, sketches
-from gristmill.operators.graph import components
+from gristmill.operators.overlap import shared_buckets, similar_components
 
-#: Stars laid over an unresolved bucket in a round.
-DRAWS = 3
 FEATURES = "doc_id long, n long, d1 long, d2 long, bands array<long>"
 
 
@@ -73,15 +74,6 @@ def sets_of(size: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose full sets have 100 * intersection >= percent * union."""
-    of_v = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
-    both = of_v.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u")
-    small, large = F.least(F.size("su"), F.size("sv")), F.greatest(F.size("su"), F.size("sv"))
-    shared = F.size(F.array_intersect("su", "sv"))
-    return both.where(100 * small >= percent * large).where((100 + percent) * shared >= percent * (small + large)).select("u", "v")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 75, bins: int = 128, bands: int = 32) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -90,44 +82,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A class is told apart by its digest, so a repeated id with another text stays out.
     reps = features.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n", "doc_id"], "left_semi")
     buckets = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_last")).where("centre < _last").select("key", "centre")
-    members = durable(buckets.join(shared, "key"), "members")
-    tested = durable(members.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
+    members = shared_buckets(buckets)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = durable(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets_of(shingle), "doc_id long, shingles array<long>"), "sets")
-    links = durable(_confirmed(tested, sets, percent), "links")
-    rounds = 0
-    while True:
-        rounds += 1
-        comps = components(links)
-        pairs = durable(_new_stars(members, comps, rounds).join(tested, ["u", "v"], "left_anti"), "pairs")
-        more = durable(_confirmed(pairs, sets, percent), "links")
-        if more.isEmpty():
-            break
-        links, tested = links.union(more), tested.union(pairs)
+    comps = similar_components(members, sets, percent)
     named = features.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
     return named.join(comps, named.rep == comps.node, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _new_stars(members: DataFrame, comps: DataFrame, salt: int) -> DataFrame:
-    """Pairs ``u < v`` of new stars, for the buckets that hold several components.
-
-    The centre is drawn from all members of the bucket, so a component is met as
-    often as its size says, and joined to one delegate of every other component.
-    Draws hang on the bucket: a document meets other centres in each of its bands.
-    DRAWS such stars are laid over each bucket.
-    """
-    placed = members.join(comps, members.rep == comps.node, "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
-    placed = placed.join(several, "key", "left_semi").select(F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).alias("star"), "*").withColumn("key", F.xxhash64("key", "star"))
-    draw = F.xxhash64(F.lit(salt), F.col("key"), F.col("rep"))
-    delegates = placed.groupBy("key", "comp").agg(F.min_by("rep", draw).alias("rep"), F.min(draw).alias("draw"))
-    # The least draw of all members is the least of the components' least draws.
-    centres = delegates.groupBy("key").agg(F.min_by("rep", "draw").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    return delegates.join(centres, "key").where("rep <> centre").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
-
-
 def apply_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The documents without those that a smaller doc_id of their component stands for; all columns stay."""
     gone = near_duplicates(docs, id_col, text_col, **parameters).where("not kept").select(F.col("doc_id").alias("_gm_id")).distinct()

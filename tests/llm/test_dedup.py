@@ -145,3 +145,13 @@ def test_a_large_group_of_copies(spark):
     rows = [(i, "the same few words in all of them again") for i in range(500)] + [(1000, "other")]
     got = near_duplicates(frame(spark, rows)).collect()
     assert {r["component_id"] for r in got} == {0, 1000}
+
+
+def test_a_pair_that_no_star_tests(spark):
+    """One bucket of a hundred unlike sets with one pair in it: stars hardly ever meet it."""
+    from gristmill.operators.overlap import shared_buckets, similar_components
+
+    sets = [(i, [1, 2, 3] + [1000 * i + k for k in range(9)]) for i in range(100)] + [(200, [1, 2, 3] + [60_000 + k for k in range(8)])]
+    members = shared_buckets(spark.createDataFrame([(7, i) for i, _ in sets], "key long, rep long"))
+    got = similar_components(members, spark.createDataFrame(sets, "doc_id long, shingles array<long>"), 75)
+    assert {r["node"]: r["comp"] for r in got.collect()} == {60: 60, 200: 60}
