@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.fingerprint import SLOTS, TOKENS, agreement, band_keys, sketches, text_digest
 from gristmill.functions.urls import collapse
-from gristmill.operators.overlap import prefix_keys, shared_buckets, similar_components
+from gristmill.operators.overlap import prefix_keys, similar_components, stars
 from gristmill.storage import durable
 
 
@@ -39,10 +39,10 @@ def near_candidates(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, shingles``: 64-bit hashes of the distinct runs of TOKENS tokens of the collapsed ``_text``; a shorter text is one run."""
+    """``rep, shingles``: 64-bit hashes of the distinct runs of TOKENS tokens of the collapsed ``_text``; a shorter text is one run."""
     tokens = docs.select("doc_id", F.split("_text", " ").alias("t"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - TOKENS + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, TOKENS), " ")))
-    return tokens.select("doc_id", F.array_distinct(runs).alias("shingles"))
+    return tokens.select(F.col("doc_id").alias("rep"), F.array_distinct(runs).alias("shingles"))
 
 
 def near_classes(docs: DataFrame, *keep: str, percent: int = 75) -> DataFrame:
@@ -57,7 +57,7 @@ def near_classes(docs: DataFrame, *keep: str, percent: int = 75) -> DataFrame:
     classes = durable(named.groupBy("_digest").agg(F.min("doc_id").alias("_rep")), "classes")
     first = rows.join(classes.select(F.col("_rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = durable(shingle_sets(first), "sets")
-    comps = similar_components(shared_buckets(prefix_keys(sets, percent)), sets, percent)
+    comps = similar_components(durable(stars(prefix_keys(sets, percent)), "stars"), sets, percent)
     placed = named.join(classes, "_digest").join(comps, F.col("_rep") == F.col("node"), "left")
     return placed.select(*keep, "doc_id", F.coalesce("comp", "_rep", "doc_id").alias("cluster"))
 

@@ -1,108 +1,130 @@
-"""Components of sets at a Jaccard similarity: stars over buckets first, then exactly what the stars leave open.
-
-Stars link large groups at a row a member. What they leave open, pairs of
-different components that share a bucket, is finished by a prefix filter: with
-all elements in one order, rarest first, two sets of similarity percent / 100
-share an element among the first n - ceil(percent * n / 100) + 1 of each. So
-every such pair is compared, however large the bucket.
+"""Components of sets at a Jaccard similarity: stars over buckets, then exactly what the stars leave open.
+
+A rep names a set. Reps that share a bucket are candidates.
+
+1. A bucket gives one star, from its hub to its other reps. The hub is the rep
+   that meets most others over all its buckets, so in a group of near copies,
+   which may be unlike each other, it is the text they all stem from or come
+   closest to. Stars with the same hub are one.
+2. Full sets are compared along the stars, and components made of the links.
+3. Two reps x, y of a hub c in different components are still open. Let D(x) be
+   the symmetric difference of x and c. The size of the intersection of x and y
+   is |c| - |c \\ x| - |c \\ y| + |D(x) & D(y)|, so a similarity is a least size of
+   D(x) & D(y), and as x or y is not linked to c, that size is 1 or more. Copies
+   with changes of their own share little of their differences, however many
+   they are, where their full sets share most.
+4. So open pairs are found by a prefix filter over the differences: with the
+   elements of all differences from a hub in one order, rarest first, two that
+   share k elements share one that has k - 1 or more after it in both.
+
+Every pair of reps that shares a bucket is thus linked, or in one component, or
+shown to be unlike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.graph import components
+from gristmill.operators.hot import join_by_share
 from gristmill.storage import durable
 
-#: Stars laid over an unresolved bucket in a round.
-DRAWS = 3
-
-
-def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """The rows ``key, rep`` of buckets that more than one rep is in, with the smallest rep as ``centre``."""
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_last")).where("centre < _last").select("key", "centre")
-    return durable(buckets.select("key", "rep").join(shared, "key"), "members")
-
-
-def similar_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``node, comp`` of the links at percent among reps that share a bucket; sets: ``doc_id, shingles``, distinct within a row."""
-    tested = durable(members.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
-    links = durable(confirmed(tested, sets, percent), "links")
-    rounds = 0
-    while True:
-        rounds += 1
-        comps = components(links)
-        pairs = durable(_new_stars(members, comps, rounds).join(tested, ["u", "v"], "left_anti"), "pairs")
-        more = durable(confirmed(pairs, sets, percent), "links")
-        tested = tested.union(pairs)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-    unresolved = _several(_placed(members, comps)).select(F.col("rep").alias("doc_id")).distinct()
-    keys = durable(prefix_keys(sets.join(unresolved, "doc_id", "left_semi"), percent), "prefixes")
-    pairs = durable(_open_pairs(keys, comps, percent).join(tested, ["u", "v"], "left_anti"), "pairs")
-    more = durable(confirmed(pairs, sets, percent), "links")
-    return comps if more.isEmpty() else components(links.union(more))
+#: Reps of a hub that meet one copy of its set; a larger star gets more copies.
+FAN = 256
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose full sets have 100 * intersection >= percent * union."""
-    of_v = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
-    both = of_v.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u")
-    small, large = F.least(F.size("su"), F.size("sv")), F.greatest(F.size("su"), F.size("sv"))
-    shared = F.size(F.array_intersect("su", "sv"))
-    return both.where(100 * small >= percent * large).where((100 + percent) * shared >= percent * (small + large)).select("u", "v")
+def stars(buckets: DataFrame) -> DataFrame:
+    """``hub, rep``: the stars of the buckets ``key, rep``, without repeats."""
+    buckets = durable(buckets.select("key", "rep"), "buckets")
+    held = durable(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "held")
+    members = durable(join_by_share(buckets, held, ["key"]), "members")
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    first = durable(members.join(met, "rep").groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("met"), "rep")).alias("first"), F.count("*").alias("n")).select("key", "n", F.col("first.rep").alias("hub")), "hubs")
+    return join_by_share(members.drop("n"), first, ["key"]).where("rep <> hub").select("hub", "rep").distinct()
 
 
-def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """``key, rep, n``: of each set, the elements of its prefix that another set has too, and its size.
+def similar_components(star: DataFrame, sets: DataFrame, percent: int, node: Callable[[Column], Column] = lambda rep: rep, known: DataFrame | None = None) -> DataFrame:
+    """``node, comp`` of the links at percent among reps that share a bucket, and of the links ``known`` (``u, v``).
 
-    Elements that only one set has come first in the order; they take places of
-    the prefix but make no key.
+    star: what ``stars`` gives, written; sets: ``rep, shingles``, written, distinct within a row. A rep
+    is of any type that has an order; ``node`` gives the number of its node.
     """
-    each = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
-    ranked = each.join(often, "key").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("common"))
-    places = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - size(common))").cast("int")
-    return ranked.where(places > 0).select(F.col("doc_id").alias("rep"), "n", F.explode(F.slice("common", F.lit(1), places)).alias("c")).select("c.key", "rep", "n")
-
-
-def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
-    return members.join(comps, members.rep == comps.node, "left").drop("node").withColumn("comp", F.coalesce("comp", "rep"))
+    missing, n = F.size(F.array_except("hub_set", "rep_set")), F.size("rep_set")
+    scored = _meet(star, sets).select("hub", "rep", F.size("hub_set").alias("size"), n.alias("n"), (n - F.size("hub_set") + 2 * missing).alias("d"), (percent * n + (100 + percent) * missing).cast("long").alias("away"))
+    scored = durable(scored.withColumn("linked", F.expr("away <= 100L * size")), "scored")
+    links = scored.where("linked").select(node(F.col("hub")).alias("u"), node(F.col("rep")).alias("v"))
+    links = links if known is None else links.union(known.select("u", "v"))
+    comps = components(links)
+    pairs = durable(open_pairs(scored, comps, sets, percent, node), "pairs")
+    more = durable(confirmed(pairs, sets, percent).select(node(F.col("u")).alias("u"), node(F.col("v")).alias("v")), "links")
+    return comps if more.isEmpty() else components(links.union(more))
 
 
-def _several(placed: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    several = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
-    return placed.join(several, "key", "left_semi")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``u, v`` whose full sets have 100 * intersection >= percent * union."""
+    both = _meet(pairs.select(F.col("u").alias("hub"), F.col("v").alias("rep")), sets)
+    a, b = F.size("hub_set"), F.size("rep_set")
+    return both.where((100 + percent) * F.size(F.array_intersect("hub_set", "rep_set")).cast("long") >= percent * (a + b)).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
 
 
-def _open_pairs(keys: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u < v`` of different components that share a key and have sizes that allow the similarity.
+def open_pairs(scored: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, node: Callable[[Column], Column]) -> DataFrame:
+    """``u, v``: the reps of a hub that are in different components and may be similar yet.
 
-    Components are paired first, so members of one component never meet.
+    ``away`` is percent * |x| + (100 + percent) * |c \\ x|: x is linked to c if
+    that is at most 100 * |c|, and x and y are similar if and only if D(x) & D(y)
+    has at least (away(x) + away(y) - (100 + percent) * |c|) / (100 + percent)
+    elements.
     """
-    placed = durable(_several(_placed(keys, comps)), "placed")
-    groups = placed.select("key", "comp").distinct()
-    crossed = groups.withColumnRenamed("comp", "cu").join(groups.withColumnRenamed("comp", "cv"), "key").where("cu < cv")
-    of = lambda side: placed.select("key", F.col("comp").alias(f"c{side}"), F.col("rep").alias(f"r{side}"), F.col("n").alias(f"n{side}"))
-    both = crossed.join(of("u"), ["key", "cu"]).join(of("v"), ["key", "cv"]).where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    return both.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
+    placed = scored.join(comps.select(F.col("node").alias("_node"), "comp"), node(F.col("rep")) == F.col("_node"), "left").withColumn("comp", F.coalesce("comp", node(F.col("rep")))).drop("_node")
+    placed = durable(placed, "placed")
+    out_least = F.min(F.when(~F.col("linked"), F.col("away"))).alias("out_least")
+    hubs = placed.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), out_least, F.min("away").alias("least"), F.count("*").alias("reps"))
+    hubs = durable(hubs.where("low < high").drop("low", "high"), "hubs")
+    # The fewest shared elements that a partner could ask for: one that is not linked to the hub, or any.
+    need = lambda least: F.expr(f"cast(ceil((away + {least} - {100 + percent}L * size) / {100 + percent}) as int)")
+    wide = join_by_share(placed, hubs, ["hub"], "reps").withColumn("need_out", need("out_least")).withColumn("need", F.when(F.col("linked"), F.col("need_out")).otherwise(need("least")))
+    wide = durable(wide.where("need <= d").drop("least", "out_least", "reps"), "open")
+    differ = F.concat(F.array_except("hub_set", "rep_set"), F.array_except("rep_set", "hub_set"))
+    apart = durable(_meet(wide.select("hub", "rep"), sets).select("hub", "rep", F.explode(differ).alias("key")), "differences")
+    often = durable(apart.groupBy("hub", "key").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    common = join_by_share(apart, often, ["hub", "key"], "often").groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("common"))
+    # What only one rep has comes first in the order, so ``left`` is right though it is not listed.
+    places = wide.join(common, ["hub", "rep"]).select("*", F.posexplode("common").alias("at", "found")).withColumn("left", F.size("common") - F.col("at"))
+    keys = durable(places.where("left >= need").select("hub", F.col("found.key").alias("key"), "rep", "comp", "size", "n", "away", "left", "linked", (F.col("left") >= F.col("need_out")).alias("early")), "keys")
+    side = lambda t, s, *own: t.select("hub", "key", *own, *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "away", "left")])
+    out = keys.where("not linked")
+    fit = F.expr(
+        f"comp_u <> comp_v AND 100L * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)"
+        f" AND {100 + percent}L * (least(left_u, left_v) + size) >= away_u + away_v"
+    )
+    early = out.where("early")
+    unlinked = side(early, "u", "size").join(side(early, "v"), ["hub", "key"]).where(F.expr("rep_u < rep_v") & fit)
+    mixed = side(out, "u", "size").join(side(keys.where("linked"), "v"), ["hub", "key"]).where(fit)
+    return unlinked.select("rep_u", "rep_v").union(mixed.select("rep_u", "rep_v")).select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v")).distinct()
 
 
-def _new_stars(members: DataFrame, comps: DataFrame, salt: int) -> DataFrame:
-    """Pairs ``u < v`` of new stars, for the buckets that hold several components.
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """``key, rep``: of each set, the elements of its prefix that another set has too.
 
-    The centre is drawn from all members of the bucket, so a component is met as
-    often as its size says, and joined to one delegate of every other component.
-    Draws hang on the bucket: a document meets other centres in each of its bands.
-    DRAWS such stars are laid over each bucket.
+    With all elements in one order, rarest first, two sets at the percentage
+    share an element among the first n - ceil(percent * n / 100) + 1 of each.
+    Elements that only one set has take places of the prefix but make no key.
     """
-    placed = _several(_placed(members.select("key", "rep"), comps))
-    placed = placed.select(F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).alias("star"), "*").withColumn("key", F.xxhash64("key", "star"))
-    draw = F.xxhash64(F.lit(salt), F.col("key"), F.col("rep"))
-    delegates = placed.groupBy("key", "comp").agg(F.min_by("rep", draw).alias("rep"), F.min(draw).alias("draw"))
-    # The least draw of all members is the least of the components' least draws.
-    centres = delegates.groupBy("key").agg(F.min_by("rep", "draw").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    return delegates.join(centres, "key").where("rep <> centre").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
+    each = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    often = durable(each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    ranked = join_by_share(each, often, ["key"], "often", total).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("common"))
+    places = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - size(common))").cast("int")
+    return ranked.where(places > 0).select("rep", F.explode(F.slice("common", F.lit(1), places)).alias("c")).select("c.key", "rep")
+
+
+def _meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The written pairs ``hub, rep`` with ``hub_set`` and ``rep_set``; the reps of a large star are dealt over copies of the hub's set."""
+    fans = durable(pairs.groupBy("hub").agg(F.count("*").alias("n"), F.expr(f"cast(1 + count(*) div {FAN} as int)").alias("fan")), "fans")
+    dealt = join_by_share(pairs, fans, ["hub"]).select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("fan")).cast("int").alias("slot"))
+    with_rep = dealt.join(sets.select("rep", F.col("shingles").alias("rep_set")), "rep")
+    hubs = fans.join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_set")), "hub").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan", "n")
+    return with_rep.join(hubs, ["hub", "slot"]).drop("slot")
