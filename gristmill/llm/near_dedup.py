@@ -5,25 +5,22 @@
 2. Documents with equal sets form a class, of which the smallest doc_id goes on,
    so thousands of copies cost one row each.
 3. Representatives that share a bucket are candidates. A bucket of m members
-   gives m - 1 edges, from its smallest member to the others; edges that several
-   bands give are one. No bucket is cut, however large.
+   gives m - 1 edges, from the member that meets most others over all its
+   buckets to the rest; edges that several bands give are one. No bucket is cut.
 4. The edges' documents' full sets are joined to them and links confirmed by
    exact intersection.
-5. Buckets whose members are still in several components get another star, over
-   one delegate of each component drawn by a new hash, until a round of stars
-   confirms no further link. So a member that is unlike the first centre meets
-   other members of its bucket in later rounds.
-6. Pairs that still share a bucket and no component are then all compared, found
-   by a prefix filter over the full sets (``operators.overlap``), so none is lost
-   to the draw of the stars.
+5. What the stars leave open, members of a bucket in different components, is
+   settled by an exact filter over their differences from the star's centre
+   (``operators.overlap``). So every pair that shares a bucket is linked, or in
+   one component, or shown to be unlike, at far fewer rows than pairs.
 
 With 32 bands of 4 of 128 bins a pair at similarity 0.75 shares no bucket with
 probability (1 - 0.75**4)**32, about 5e-6, and about ten buckets on average.
 
 Rules: null and empty texts have no shingles and are linked with nothing. Rows
 with a null doc_id are returned with a null component and are kept. Rows that
-repeat a doc_id are one node, which has the links of any of them. The smallest
-doc_id of a component is kept, so there are no ties.
+repeat a doc_id are one node, which has the links of each of their texts. The
+smallest doc_id of a component is kept, so there are no ties.
 """
 
 from __future__ import annotations
@@ -36,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
-from gristmill.llm.common import durable
+from gristmill.llm.common import carried, durable, restored
 from gristmill.llm.shingles import band_keys, shingle_sets, sketches
-from gristmill.operators.overlap import shared_buckets, similar_components
+from gristmill.operators.overlap import similar_components, stars
 
-FEATURES = "doc_id long, n long, d1 long, d2 long, bands array<long>"
+FEATURES = "doc_id long, version long, n long, d1 long, d2 long, bands array<long>"
 
 
 def features_of(size: int, bins: int, bands: int):
@@ -53,12 +50,13 @@ def features_of(size: int, bins: int, bands: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("version"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(W.signed(np.array([W.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64))),
                         pa.array(W.signed(np.array([W.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) for s in sets], np.uint64))),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(keys[some]).ravel())),
                     ],
-                    ["doc_id", "n", "d1", "d2", "bands"],
+                    ["doc_id", "version", "n", "d1", "d2", "bands"],
                 )
 
     return run
@@ -69,29 +67,34 @@ def sets_of(size: int):
         for batch in batches:
             for part, sets in shingle_sets(batch, "text", size):
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(W.signed(np.concatenate(sets))))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(W.signed(np.concatenate(sets))))], ["doc_id", "version", "shingles"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 75, bins: int = 128, bands: int = 32) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     features = durable(texts.mapInArrow(features_of(shingle, bins, bands), FEATURES), "features")
-    classes = durable(features.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    # A class is told apart by its digest, so a repeated id with another text stays out.
-    reps = features.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n", "doc_id"], "left_semi")
-    buckets = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    members = shared_buckets(buckets)
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = durable(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets_of(shingle), "doc_id long, shingles array<long>"), "sets")
-    comps = similar_components(members, sets, percent)
-    named = features.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
-    return named.join(comps, named.rep == comps.node, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    rep = F.struct("doc_id", "version").alias("rep")
+    classes = durable(features.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min(rep).alias("rep")), "classes")
+    one = features.withColumn("rep", rep).join(classes, ["d1", "d2", "n", "rep"], "left_semi").dropDuplicates(["rep"])
+    star = durable(stars(one.select("rep", F.explode("bands").alias("key"))), "stars")
+    wanted = star.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct().select("rep.*")
+    sets = texts.join(wanted, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]).mapInArrow(sets_of(shingle), "doc_id long, version long, shingles array<long>")
+    named = durable(features.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.col("rep.doc_id").alias("node")), "named")
+    # A repeated id stands for the classes of all its texts.
+    several = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("doc_id", "u")
+    same_id = named.join(several, "doc_id").where("u < node").select("u", F.col("node").alias("v")).distinct()
+    comps = similar_components(star, durable(sets.select(rep, "shingles"), "sets"), percent, lambda rep: rep["doc_id"], same_id)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))
+    placed = named.join(comps.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def apply_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The documents without those that a smaller doc_id of their component stands for; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col, **parameters).where("not kept").select(F.col("doc_id").alias("_gm_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gm_id"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **parameters).where("not kept").select(F.col("doc_id").alias("_gm_gone")).distinct()
+    rows = docs.select(*carried(docs))
+    own = F.col(f"_gm_{docs.columns.index(id_col)}").cast("long")
+    return restored(rows.join(gone, own == F.col("_gm_gone"), "left_anti"), docs)

@@ -1,5 +1,6 @@
 """Line, substring and near deduplication against brute force."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -148,10 +149,58 @@ def test_a_large_group_of_copies(spark):
 
 
 def test_a_pair_that_no_star_tests(spark):
-    """One bucket of a hundred unlike sets with one pair in it: stars hardly ever meet it."""
-    from gristmill.operators.overlap import shared_buckets, similar_components
+    """One bucket of a hundred unlike sets with one pair in it, of which neither is the star's centre."""
+    from gristmill.operators.overlap import similar_components, stars
 
     sets = [(i, [1, 2, 3] + [1000 * i + k for k in range(9)]) for i in range(100)] + [(200, [1, 2, 3] + [60_000 + k for k in range(8)])]
-    members = shared_buckets(spark.createDataFrame([(7, i) for i, _ in sets], "key long, rep long"))
-    got = similar_components(members, spark.createDataFrame(sets, "doc_id long, shingles array<long>"), 75)
+    star = stars(spark.createDataFrame([(7, i) for i, _ in sets], "key long, rep long"))
+    got = similar_components(star, spark.createDataFrame(sets, "rep long, shingles array<long>"), 75)
     assert {r["node"]: r["comp"] for r in got.collect()} == {60: 60, 200: 60}
+
+
+@pytest.mark.parametrize("percent", [50, 75, 90])
+def test_all_pairs_of_a_bucket_are_settled(spark, percent):
+    """Changed copies of one set in a bucket, at similarities on both sides of the threshold to the star's centre and to each other."""
+    r = random.Random(percent)
+    base = list(range(60))
+    sets = {0: base}
+    for i in range(1, 90):
+        own = list(sets[r.randrange(max(1, i // 2))] if r.random() < 0.5 else base)
+        for _ in range(r.randint(1, 30)):
+            own[r.randrange(len(own))] = r.choice([r.randrange(10**6), 100 + r.randrange(20)])
+        sets[i] = own[: r.randint(40, 60)]
+    sets = {i: sorted(set(s)) for i, s in sets.items()}
+    comp = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            a, b = set(sets[i]), set(sets[j])
+            if 100 * len(a & b) >= percent * len(a | b) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = {k: low if c == high else c for k, c in comp.items()}
+    from gristmill.operators.overlap import similar_components, stars
+
+    star = stars(spark.createDataFrame([(7, i) for i in sets], "key long, rep long"))
+    got = similar_components(star, spark.createDataFrame(list(sets.items()), "rep long, shingles array<long>"), percent)
+    found = {r["node"]: r["comp"] for r in got.collect()}
+    assert {i: found.get(i, i) for i in sets} == comp
+
+
+def test_near_duplicates_of_each_text_of_a_repeated_id(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, words("a") + " x"), (2, words("a")), (2, words("b")), (3, words("b") + " y"), (4, words("c")), (5, words("c")), (5, words("d"))]
+    assert order(near_duplicates(frame(spark, rows)).collect()) == order(near_by_hand(rows))
+    assert {r["doc_id"] for r in apply_near_dedup(frame(spark, rows)).collect()} == {1, 4}
+
+
+def test_names_that_the_stages_use_themselves(spark):
+    rows = [(i, "the same line in three documents\nline " + str(i), "a", "b", i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gm_id string, _gm_text string, _gm_gone int")
+    assert {r["text"] for r in apply_line_dedup(docs).collect()} == {"line 0", "line 1", rows[2][1]}
+    assert apply_near_dedup(docs).columns == apply_line_dedup(docs).columns == docs.columns
+
+
+def test_lines_of_repeated_ids_with_other_texts(spark):
+    line = "a line that three documents have"
+    rows = [(1, line), (2, f"alpha\n{line}"), (2, "beta"), (2, f"{line}\ngamma"), (3, line), (None, line)]
+    assert order(line_dedup(frame(spark, rows)).collect()) == order(lines_by_hand(rows))
+    assert order((r["doc_id"], r["text"]) for r in apply_line_dedup(frame(spark, rows)).collect()) == order((i, t) for i, _, _, t in lines_by_hand(rows))
