@@ -15,9 +15,11 @@ def join_by_share(rows: DataFrame, found: DataFrame, keys: list[str], held: str
     Keys that hold more than one in PARTS of all rows meet their rows where these
     lie, by a broadcast of fewer than PARTS rows; the others are shuffled. So no
     task reads a key's rows alone, whatever the key's share. Both inputs are read
-    twice and should be written tables.
+    more than once and should be written tables.
     """
     least = (rows.count() if rows_in_all is None else rows_in_all) // PARTS
+    if (found.agg(F.max(held)).first()[0] or 0) <= least:
+        return rows.join(found, keys)
     hot = F.broadcast(found.where(F.col(held) > least))
     cold = found.where(F.col(held) <= least)
     columns = [*rows.columns, *(c for c in found.columns if c not in keys)]
