@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from gristmill.storage import durable, scratch_path
 
-__all__ = ["ascii_lower", "carried", "durable", "fold", "restored", "scratch_path", "set_worker_threads", "table", "with_carried", "worker_state"]
+__all__ = ["ascii_lower", "carried", "durable", "fold", "fresh_worker", "restored", "scratch_path", "set_worker_threads", "table", "with_carried", "worker_state"]
 
 T = TypeVar("T")
 
@@ -71,6 +71,11 @@ def worker_state(key: object, build: Callable[[], T]) -> T:
     return _held[key]
 
 
+def fresh_worker() -> None:
+    """Drops what an earlier operator left in a reused worker."""
+    worker_state(None, lambda: None)
+
+
 def set_worker_threads() -> None:
     """One native thread a task: Spark already runs a task per core."""
     for name in ("RAYON_NUM_THREADS", "OMP_NUM_THREADS"):

@@ -1,26 +1,27 @@
 """Language identification by cross-parsing entropy.
 
-Learning: a bounded sample of labelled documents per language gives its word
-list (a word goes to the languages in which it makes up at least half of its
-relative frequency over all languages, so that foreign passages in the sample do not count),
-and the list a suffix automaton. Prediction: each word of a text, with its
-borders, is parsed against each language's automaton into longest matches; the
-language that needs fewest phrases for the text wins, and phrases per letter
-and border are its cross-parsing entropy. Words are parsed once per batch and
-remembered by the worker within a bound, whole texts are counted.
+Learning: a bounded sample of whole labelled documents per language is written
+as letters with single borders between words, and gives a suffix automaton.
+Prediction: every text is written likewise and parsed against each language's
+automaton into longest matches, which run across words; the language that needs
+fewest phrases wins, and phrases per symbol are its cross-parsing entropy. Whole
+texts are parsed, in segments of SEGMENT symbols side by side.
+
+The sample is about ``sample_docs`` documents a language, each of ``max_chars``
+code points at most; longer ones are not drawn, none is cut.
 
 Rules: null texts and texts without a letter are ``und`` with score 0. Of equal
 languages the first in order wins. Where nothing can be learned every text is
 ``und``. Rows that repeat an id or have a null id are predicted like any other;
-those with a null id are never learned from.
+those with a null id are never learned from. More than MOST_LANGUAGES labels
+raise an error.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import sys
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,90 +32,88 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
 from gristmill.llm.common import carried, fold, restored, with_carried, worker_state
-from gristmill.llm.suffix_automaton import SuffixAutomaton
+from gristmill.llm.suffix_automaton import Parser, SuffixAutomaton
 
 HELD_OUT_FOLD = 2
-#: The learning sample of a language: about so many documents, at most so many characters of each, and of its word list.
-SAMPLE_DOCS, SAMPLE_CHARS, LIST_CHARS = 400, 20_000, 60_000
-#: Words a worker remembers.
-REMEMBERED = 300_000
-
-_WORD = re.compile(r"[^\W\d_]+")
+#: Symbols parsed in one go.
+SEGMENT = 256
+MOST_LANGUAGES = 500
+#: Symbols: a border, the end of a learned document, a letter that no language has; the known letters follow.
+BORDER, END, UNKNOWN, KNOWN = range(4)
 
 
-def learning_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """Sampled texts per language. A row is drawn by a hash of its id, at the rate that makes about SAMPLE_DOCS of its language."""
+def learning_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, max_chars: int) -> dict[str, list[str]]:
+    """Whole texts per language, drawn by a hash of id and text at the rate that makes about ``sample_docs`` of each language."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.char_length("text") <= max_chars) & (fold(F.col("doc_id")) != HELD_OUT_FOLD))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return {}
     scale = 1 << 30
-    limit = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(scale, math.ceil(scale * SAMPLE_DOCS / n)))])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < limit[F.col("lang")])
+    limit = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(scale, math.ceil(scale * sample_docs / n)))])
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < limit[F.col("lang")]).select("lang", "text").distinct()
     texts: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
-    for r in drawn.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
+    for r in drawn.collect():
         texts[r["lang"]].append(r["text"])
-    return texts
-
-
-def word_lists(texts: dict[str, list[str]]) -> dict[str, str]:
-    """Per language its words, the frequent first, each between spaces."""
-    seen = {lang: Counter(w for t in own for w in _WORD.findall(t.lower())) for lang, own in texts.items()}
-    total = {lang: max(1, c.total()) for lang, c in seen.items()}
-    share: Counter = Counter()
-    for lang, c in seen.items():
-        for w, n in c.items():
-            share[w] += n / total[lang]
-    out = {}
-    for lang, c in seen.items():
-        own = sorted((w for w, n in c.items() if n / total[lang] >= 0.5 * share[w]), key=lambda w: (-c[w], w))
-        size = np.cumsum([len(w) + 1 for w in own])
-        out[lang] = " " + " ".join(own[: int(np.searchsorted(size, LIST_CHARS, "right"))]) + " "
-    return out
-
-
-class Parser:
-    """The automata of all languages, and the phrase counts of words met."""
-
-    def __init__(self, lists: dict[str, str]):
-        self.languages = list(lists)
-        self.automata = [SuffixAutomaton(text) for text in lists.values()]
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.automata) + 1), np.int32)
+    return {lang: sorted(own) for lang, own in texts.items()}
+
+
+class Languages:
+    """The automata of all languages over one alphabet."""
+
+    def __init__(self, texts: dict[str, list[str]]):
+        self.languages = list(texts)
+        points = range(sys.maxunicode + 1)
+        #: The symbol of each code point.
+        self.symbol = np.fromiter((UNKNOWN if chr(p).isalpha() else BORDER for p in points), np.int32, len(points))
+        seen = sorted({c for own in texts.values() for t in own for c in t.lower() if c.isalpha()})
+        self.symbol[[ord(c) for c in seen]] = np.arange(KNOWN, KNOWN + len(seen))
+        self.parsers = []
+        for own in texts.values():
+            symbols, bounds = self.written(own)
+            learned = [s for a, b in zip(bounds, bounds[1:]) for s in (*symbols[a:b].tolist(), END)]
+            self.parsers.append(Parser(SuffixAutomaton(learned), KNOWN + len(seen)))
+
+    def written(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all texts, letters with one border before, between and after words, and the bounds of each text in them."""
+        points = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        lengths = np.array([len(p) for p in points], np.int64)
+        symbols = self.symbol[np.concatenate(points)] if texts else np.zeros(0, np.int32)
+        keep = symbols != BORDER
+        keep[1:] |= symbols[:-1] != BORDER
+        keep[np.cumsum(lengths) - lengths] = True
+        counts = np.concatenate([[0], np.cumsum(keep)])
+        return symbols[keep], counts[np.concatenate([[0], np.cumsum(lengths)])]
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: the phrases that each language needs, and letters plus words."""
-        found = [_WORD.findall(t.lower()) for t in texts]
-        if len(self.place) > REMEMBERED:
-            self.forget()
-        place, new = self.place, []
-        for w in {w for own in found for w in own}:
-            if w not in place:
-                letters = "".join(filter(str.isalpha, w))
-                place[w] = len(place)
-                new.append([*(a.phrases(f" {letters} ") for a in self.automata), len(letters) + 1] if letters else [0] * (len(self.automata) + 1))
-        if new:
-            self.table = np.concatenate([self.table, np.array(new, np.int32)])
-        table = self.table
-        out = np.zeros((len(texts), len(self.automata) + 1), np.int64)
-        for i, own in enumerate(found):
-            if own:
-                out[i] = table[list(map(place.__getitem__, own))].sum(0)
-        return out[:, :-1], out[:, -1]
-
-
-def _parser(model: Broadcast) -> Parser:
-    name, lists = model.value
-    return worker_state(name, lambda: Parser(lists))
-
-
-def _predict(model: Broadcast):
+        """Per text: the phrases that each language needs, and its symbols; 0 for a text without a letter."""
+        symbols, bounds = self.written(texts)
+        size = np.diff(bounds)
+        pieces = -(-size // SEGMENT)
+        owner = np.repeat(np.arange(len(texts)), pieces)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        length = np.minimum(size[owner] - within * SEGMENT, SEGMENT)
+        order = np.argsort(-length, kind="stable")
+        owner, start, length = owner[order], (bounds[owner] + within * SEGMENT)[order], length[order]
+        longest = int(length.max(initial=0))
+        active = np.searchsorted(-length, -np.arange(longest), "left").tolist()
+        place = np.minimum(start + np.arange(longest)[:, None], max(len(symbols) - 1, 0))
+        steps = symbols[place] if longest else np.zeros((0, len(owner)), np.int32)
+        found = [np.bincount(owner, p.phrases(steps, active), len(texts)) for p in self.parsers]
+        # A text of borders alone is a single one.
+        return np.array(found, np.float64).reshape(len(found), len(texts)).T, np.where(size > 1, size, 0)
+
+
+def _languages(model: Broadcast) -> Languages:
+    name, texts = model.value
+    return worker_state(name, lambda: Languages(texts))
+
+
+def _predict(model: Broadcast, keep_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(model)
+        parser = _languages(model)
         languages = parser.languages
         for batch in batches:
             for part in W.runs(batch, "text"):
@@ -134,7 +133,7 @@ def _predict(model: Broadcast):
                     entropy.append(float(p[best] / n))
                 kept = [c for c in part.schema.names if c != "text"]
                 found = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "entropy": pa.array(entropy, pa.float64())}
-                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | found)
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | found | ({"text": part.column("text")} if keep_text else {}))
 
     return run
 
@@ -142,27 +141,27 @@ def _predict(model: Broadcast):
 PREDICTED = "lang_pred string, score double, entropy double"
 
 
-def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Broadcast:
-    """The word lists, at most LIST_CHARS characters a language."""
-    lists = word_lists(learning_texts(docs, id_col, text_col, lang_col))
-    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, lists))
+def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, max_chars: int) -> Broadcast:
+    """The learning texts: at most about sample_docs * max_chars code points a language."""
+    texts = learning_texts(docs, id_col, text_col, lang_col, sample_docs, max_chars)
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, texts))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_docs: int = 24, max_chars: int = 20_000) -> DataFrame:
     """One row per input row: ``doc_id, held_out, lang_pred, score, entropy``. Learned from rows outside the held-out fold."""
-    model = _model(docs, id_col, text_col, lang_col)
+    model = _model(docs, id_col, text_col, lang_col, sample_docs, max_chars)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = texts.mapInArrow(_predict(model), "doc_id long, " + PREDICTED)
     return out.withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)))
 
 
-def apply_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_score: float = 0.3) -> DataFrame:
+def apply_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_score: float = 0.3, sample_docs: int = 24, max_chars: int = 20_000) -> DataFrame:
     """The documents whose language is told with at least ``min_score``, with ``lang`` set to it; all columns stay. Those with no letter go.
 
     The columns ride along with the prediction, so nothing is shuffled.
     """
-    model = _model(docs, id_col, text_col, lang_col)
-    rows = docs.select(F.col(text_col).alias("text"), *carried(docs))
-    out = rows.mapInArrow(_predict(model), with_carried(PREDICTED, rows))
+    model = _model(docs, id_col, text_col, lang_col, sample_docs, max_chars)
+    rows = docs.select(F.col(text_col).alias("text"), *[c for c, name in zip(carried(docs), docs.columns) if name != text_col])
+    out = rows.mapInArrow(_predict(model, True), with_carried(PREDICTED + ", text string", rows))
     told = out.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return restored(told, docs, {lang_col: F.col("lang_pred")})
+    return restored(told, docs, {lang_col: F.col("lang_pred"), text_col: F.col("text")})

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
-from gristmill.llm.common import carried, durable, restored
+from gristmill.llm.common import carried, durable, fresh_worker, restored
 from gristmill.llm.shingles import band_keys, shingle_sets, sketches
 from gristmill.operators.overlap import similar_components, stars
 
@@ -42,6 +42,7 @@ FEATURES = "doc_id long, version long, n long, d1 long, d2 long, bands array<lon
 
 def features_of(size: int, bins: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             for part, sets in shingle_sets(batch, "text", size):
                 keys = W.signed(band_keys(sketches(sets, bins), bands))
@@ -64,6 +65,7 @@ def features_of(size: int, bins: int, bands: int):
 
 def sets_of(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             for part, sets in shingle_sets(batch, "text", size):
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)

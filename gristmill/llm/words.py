@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes whose eight-byte terms are held at once.
-PIECE = 1 << 22
+PIECE = 1 << 19
 #: Texts of an Arrow batch are handled in runs of about so many bytes.
-RUN = 1 << 22
+RUN = 1 << 21
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(0, 2**64, (2, 256), np.uint64)

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 from cases import ODD, corpus
-from gristmill.llm.language_id import apply_language_id, identify
+from gristmill.llm.language_id import SEGMENT, Languages, apply_language_id, identify
 from gristmill.llm.quality_classifier import fit, lasso_logistic, quality_scores
 from gristmill.llm.quality_rules import decision_list, quality_rules
 from gristmill.llm.rules import Condition, simplified
@@ -111,6 +111,30 @@ def test_suffix_automaton():
         assert automaton.phrases(s) == count
 
 
+def test_cross_parsing_of_whole_texts():
+    """Phrases against a greedy parse by substring search, segment by segment."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 5))) for _ in range(30)]
+    text = lambda k: "".join(r.choice(words) + r.choice([" ", ", ", "\n", " 12 "]) for _ in range(k))
+    learned = {"xx": [text(40), text(5)], "yy": [text(60)]}
+    written = lambda t: " " + "".join(w + " " for w in re.findall(r"[^\W\d_]+", t.lower()))
+    texts = ["", "12 !", "Éa", "日本 abc", text(20), text(300), "abcd" * 200, "..." + text(3)]
+    phrases, size = Languages(learned).parse(texts)
+    for t, row, n in zip(texts, phrases, size):
+        w = written(t)
+        assert n == (len(w) if len(w) > 1 else 0)
+        if n:
+            for own, got in zip(learned.values(), row):
+                known, count = "\n".join(map(written, own)), 0
+                for rest in (w[k : k + SEGMENT] for k in range(0, len(w), SEGMENT)):
+                    while rest:
+                        k = 1
+                        while k < len(rest) and rest[: k + 1] in known:
+                            k += 1
+                        count, rest = count + 1, rest[k:]
+                assert got == count
+
+
 def language_docs(spark):
     r = random.Random(4)
     stems = {"xx": "ka to mi re".split(), "yy": "sch ung ein tz".split(), "zz": "eau ou ique re".split()}
