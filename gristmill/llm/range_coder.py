@@ -1,16 +1,19 @@
 """Adaptive context-mixing range coder for token ids, many blocks at once.
 
-Blocks are coded independently, each from a fresh model, so any block can be
-read alone. numpy codes the same position of all blocks of a batch in one step.
-
-Model. Per block, tables predict the next id: order 2 by a hash of the last two
-ids, order 1 by a hash of the last one (each slot holds the id that followed
-last and a confidence of 0 to 3), and order 0 is the RING last ids. An id is
-coded as a choice (order 2 predicted it; else order 1; else it is in the ring;
-else it is new), then, if asked for, as its ring place or as itself. Choices are
-coded by the sum of two adaptive frequency tables, one chosen by the confidence
-of order 2, the other by that of order 1. A table's four 16-bit frequencies are
-one 64-bit integer, of which one multiplication gives the running sums.
+A batch of blocks has one table of order 0, its ids' frequencies, and is coded
+in blocks that each start from a fresh model, so any block can be read with the
+table alone. numpy codes the same position of all blocks in one step.
+
+Model. Per block, adaptive tables predict the next id from the ids before it:
+order 2 by a hash of the last two gives one candidate, order 1 by a hash of the
+last one two, with a confidence of 0 to 3 for the foremost. An id is a choice
+(the candidate of order 2; the first or second of order 1; none of them) and,
+where none is right, an id by order 0. Choices are coded by the mix, a sum, of
+two adaptive frequency tables, one chosen by the confidence of order 2, the
+other by that of order 1 and whether the orders agree. A table's four 16-bit
+frequencies are one 64-bit integer, of which one multiplication gives the
+running sums. The share of the last choice is divided by order 0, so an id is
+coded in one step.
 
 Coder. Range coding with 48-bit low and range that settles 16 bits at a time,
 carry-free: where the range gets too small before the top bits of low and of
@@ -23,16 +26,17 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-RING = 32
-_SLOTS1, _SLOTS2 = 256, 1024
-#: Frequencies start at 1 and grow by STEP a use; every CARE steps those that sum to over LIMIT are halved.
-STEP, LIMIT, CARE = 24, 12_000, 64
-#: Ids of up to so many kinds are coded in one part, more in two.
-ONE_PART = 1 << 16
+BLOCK = 1 << 12
+_SLOTS1, _SLOTS2 = 1024, 2048
+#: Frequencies of choices start at 1 and grow by STEP a use; every CARE steps those that sum to over LIMIT are halved.
+STEP, LIMIT, CARE = 24, 2_000, 64
+#: Order 0 has a place for the MOST commonest ids, each with a frequency of 1 at least, together ORDER0 or little more.
+#: Any others share a place and follow as they are. Frequencies of choices times those of order 0 stay under _LEAST.
+ORDER0, MOST = 1 << 16, 1 << 17
+OTHER = -1
 
 _U = np.uint64
-_TOP, _LEAST, _MASK, _16, _32 = _U(1 << 32), _U(1 << 16), _U((1 << 48) - 1), _U(16), _U(32)
+_TOP, _LEAST, _MASK, _16, _32 = _U(1 << 32), _U(1 << 31), _U((1 << 48) - 1), _U(16), _U(32)
 _ONES, _HALF = _U(0x0001000100010001), _U(0x7FFF7FFF7FFF7FFF)
 _PART = [_U(0), _U(16), _U(32), _U(48)]
 _STEPS = np.array([STEP << 16 * k for k in range(4)], np.uint64)
@@ -42,15 +46,18 @@ def _part(sums: np.ndarray, k: int) -> np.ndarray:
     return sums >> _PART[k] & _U(0xFFFF)
 
 
-class _Model:
+class _Contexts:
+    """Orders 1 and 2 of n blocks."""
+
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.base1, self.base2, self.base4 = self.lane * _SLOTS1, self.lane * _SLOTS2, self.lane * 4
+        lane = np.arange(n)
+        self.base1, self.base2 = lane * _SLOTS1, lane * _SLOTS2
+        self.table1, self.table2 = lane * 8, lane * 4
         # A slot holds id * 4 + confidence; -4 is no id.
         self.pred1, self.pred2 = np.full(n * _SLOTS1, -4, np.int64), np.full(n * _SLOTS2, -4, np.int64)
-        self.ring = np.full((RING, n), -1, np.int32)
+        self.other1 = np.full(n * _SLOTS1, -1, np.int64)
         self.last1, self.last2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.by1, self.by2 = np.full(n * 4, _ONES), np.full(n * 4, _ONES)
+        self.by1, self.by2 = np.full(n * 8, _ONES), np.full(n * 4, _ONES)
 
     def predict(self, a: int) -> np.ndarray:
         """Running sums of the four choices' frequencies, packed, for the first a blocks."""
@@ -60,17 +67,20 @@ class _Model:
         slot1, slot2 = self.pred1[self.at1], self.pred2[self.at2]
         self.conf1, self.conf2 = slot1 & 3, slot2 & 3
         self.guess1, self.guess2 = slot1 >> 2, slot2 >> 2
-        self.row1, self.row2 = self.base4[:a] + self.conf1, self.base4[:a] + self.conf2
+        self.second = self.other1[self.at1]
+        self.row1 = self.table1[:a] + self.conf1 + 4 * (self.guess1 == self.guess2)
+        self.row2 = self.table2[:a] + self.conf2
         return (self.by1[self.row1] + self.by2[self.row2]) * _ONES
 
     def learn(self, a: int, ids: np.ndarray, choice: np.ndarray, step: int) -> None:
         more = _STEPS[choice]
         self.by1[self.row1] += more
         self.by2[self.row2] += more
-        for pred, at, guess, conf in ((self.pred1, self.at1, self.guess1, self.conf1), (self.pred2, self.at2, self.guess2, self.conf2)):
-            right = guess == ids
-            pred[at] = np.where(right, ids * 4 + np.minimum(conf + 1, 3), np.where(conf < 2, ids, guess) * 4 + (conf >> 1))
-        self.ring[step % RING, :a] = ids
+        right, weak = self.guess2 == ids, self.conf2 < 2
+        self.pred2[self.at2] = np.where(right, ids * 4 + np.minimum(self.conf2 + 1, 3), np.where(weak, ids, self.guess2) * 4 + (self.conf2 >> 1))
+        right, weak = self.guess1 == ids, self.conf1 < 2
+        self.pred1[self.at1] = np.where(right, ids * 4 + np.minimum(self.conf1 + 1, 3), np.where(weak, ids, self.guess1) * 4 + (self.conf1 >> 1))
+        self.other1[self.at1] = np.where(right, self.second, np.where(weak, self.guess1, ids))
         self.last2[:a] = self.last1[:a]
         self.last1[:a] = ids
         if step % CARE == CARE - 1:
@@ -79,6 +89,38 @@ class _Model:
                 table[heavy] -= table[heavy] >> _U(1) & _HALF
 
 
+class Order0:
+    """Frequencies of the distinct ids of a batch, in order; OTHER comes first."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        if len(ids) > MOST:
+            rare = np.sort(np.argsort(counts, kind="stable")[: len(ids) - MOST])
+            ids, counts = np.concatenate([[OTHER], np.delete(ids, rare)]), np.concatenate([[counts[rare].sum()], np.delete(counts, rare)])
+        self.ids = ids
+        self.sums = np.concatenate([[0], np.cumsum(np.maximum(1, counts * ORDER0 // max(1, int(counts.sum()))))]).astype(np.uint64)
+        self.total = self.sums[-1]
+
+    @property
+    def others(self) -> bool:
+        return len(self.ids) > 0 and int(self.ids[0]) == OTHER
+
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, ids)
+        return np.where(self.ids[np.minimum(at, len(self.ids) - 1)] == ids, at, 0) if self.others else at
+
+    def packed(self) -> bytes:
+        return zlib.compress(np.concatenate([np.diff(self.ids, prepend=OTHER), np.diff(self.sums.astype(np.int64))]).astype("<u4").tobytes(), 6)
+
+    @staticmethod
+    def unpacked(packed: bytes) -> Order0:
+        both = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+        found = Order0.__new__(Order0)
+        found.ids = np.cumsum(both[: len(both) // 2]) + OTHER
+        found.sums = np.concatenate([[0], np.cumsum(both[len(both) // 2 :])]).astype(np.uint64)
+        found.total = found.sums[-1]
+        return found
+
+
 def _span(sums: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the choice's share of the frequencies starts, and its size."""
     shift = choice.astype(np.uint64) * _16
@@ -161,76 +203,72 @@ def _by_length(lengths: np.ndarray):
     return order, steps, np.searchsorted(-lengths[order], -np.arange(steps), "left").tolist()
 
 
-def _parts(kinds: int) -> list[tuple[int, int]]:
-    """Shift and number of values of each part in which a new id is coded, the high part first."""
-    return [(0, max(kinds, 1))] if kinds <= ONE_PART else [(16, (kinds - 1 >> 16) + 1), (0, ONE_PART)]
-
-
-def encode_blocks(blocks: list[np.ndarray], kinds: int) -> list[bytes]:
-    """The code of each block of ids, which are under ``kinds`` (at most 2**31)."""
+def encode_blocks(blocks: list[np.ndarray]) -> tuple[bytes, list[bytes]]:
+    """The batch's table of order 0, and the code of each block of ids (under 2**31)."""
     n = len(blocks)
     lengths = np.array([len(b) for b in blocks], np.int64)
     order, steps, active = _by_length(lengths)
-    ids = np.zeros((max(steps, 1), n), np.int64)
+    order0 = Order0(*np.unique(np.concatenate(blocks).astype(np.int64) if blocks else np.zeros(0, np.int64), return_counts=True))
+    ids = np.zeros((max(steps, 1), n), np.int32)
     for p, b in enumerate(order.tolist()):
         ids[: lengths[b], p] = blocks[b]
-    model, out, one = _Model(n), _Encoder(n, steps), _U(1)
+    contexts, out, total = _Contexts(n), _Encoder(n, steps), order0.total
     for t in range(steps):
         a = active[t]
-        x = ids[t, :a]
-        sums = model.predict(a)
-        in_ring = model.ring[:, :a] == x.astype(np.int32)
-        place = in_ring.argmax(0)
-        choice = np.where(model.guess2 == x, 0, np.where(model.guess1 == x, 1, 3 - in_ring[place, model.lane[:a]]))
-        out.put(slice(0, a), *_span(sums, choice), sums >> _PART[3])
-        more = np.flatnonzero(choice >= 2)
-        if len(more):
-            new = choice[more] == 3
-            (shift, most), *rest = _parts(kinds)
-            value = np.where(new, x[more] >> shift, place[more]).astype(np.uint64)
-            out.put(more, value, one, np.where(new, _U(most), _U(RING)))
-            for shift, most in rest:
-                deep = more[new]
-                out.put(deep, (x[deep] >> shift & most - 1).astype(np.uint64), one, _U(most))
-        model.learn(a, x, choice, t)
+        x = ids[t, :a].astype(np.int64)
+        at = order0.place(x)
+        sums = contexts.predict(a)
+        choice = np.where(contexts.guess2 == x, 0, np.where(contexts.guess1 == x, 1, np.where(contexts.second == x, 2, 3)))
+        start, share = _span(sums, choice)
+        new, first = choice == 3, order0.sums[at]
+        out.put(slice(0, a), start * total + np.where(new, share * first, _U(0)), share * np.where(new, order0.sums[at + 1] - first, total), (sums >> _PART[3]) * total)
+        if order0.others:
+            rest = np.flatnonzero(new & (order0.ids[at] == OTHER))
+            for shift in (16, 0):
+                out.put(rest, (x[rest] >> shift & 0xFFFF).astype(np.uint64), _U(1), _U(1 << 16))
+        contexts.learn(a, x, choice, t)
     coded, result = out.finish(), [b""] * n
     for p, b in enumerate(order.tolist()):
         result[b] = coded[p]
-    return result
+    return order0.packed(), result
 
 
-def decode_blocks(coded: list[bytes], lengths: list[int], kinds: int) -> list[np.ndarray]:
-    """The ids of each block, given its code and its number of ids."""
+def decode_blocks(table: bytes, coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+    """The ids of each block, given the batch's table, their codes and numbers of ids."""
     n = len(coded)
     if not n:
         return []
-    sizes = np.array(lengths, np.int64)
+    order0, sizes = Order0.unpacked(table), np.array(lengths, np.int64)
     order, steps, active = _by_length(sizes)
-    ids = np.zeros((max(steps, 1), n), np.int64)
-    model, src, one = _Model(n), _Decoder([coded[b] for b in order.tolist()]), _U(1)
+    ids = np.zeros((max(steps, 1), n), np.int32)
+    contexts, src, total = _Contexts(n), _Decoder([coded[b] for b in order.tolist()]), order0.total
     for t in range(steps):
         a = active[t]
         lanes = slice(0, a)
-        sums = model.predict(a)
-        target = src.target(lanes, sums >> _PART[3])
-        choice = (_part(sums, 0) <= target).astype(np.int64) + (_part(sums, 1) <= target) + (_part(sums, 2) <= target)
-        src.take(lanes, *_span(sums, choice))
-        x = np.where(choice == 0, model.guess2, model.guess1)
-        more = np.flatnonzero(choice >= 2)
-        if len(more):
-            new = choice[more] == 3
-            (shift, most), *rest = _parts(kinds)
-            got = src.target(more, np.where(new, _U(most), _U(RING)))
-            src.take(more, got, one)
-            got = got.astype(np.int64)
-            x[more] = np.where(new, got << shift, model.ring[np.where(new, 0, got), more])
-            for shift, most in rest:
-                deep = more[new]
-                low = src.target(deep, _U(most))
-                src.take(deep, low, one)
-                x[deep] |= low.astype(np.int64) << shift
+        sums = contexts.predict(a)
+        target = src.target(lanes, (sums >> _PART[3]) * total)
+        part = target // total
+        choice = (_part(sums, 0) <= part).astype(np.int64) + (_part(sums, 1) <= part) + (_part(sums, 2) <= part)
+        start, share = _span(sums, choice)
+        x = np.where(choice == 0, contexts.guess2, np.where(choice == 1, contexts.guess1, contexts.second))
+        start, count = start * total, share * total
+        new = np.flatnonzero(choice == 3)
+        if len(new):
+            own = share[new]
+            at = np.searchsorted(order0.sums, (target[new] - start[new]) // own, "right") - 1
+            start[new] += own * order0.sums[at]
+            count[new] = own * (order0.sums[at + 1] - order0.sums[at])
+            x[new] = order0.ids[at]
+        src.take(lanes, start, count)
+        if order0.others:
+            rest = np.flatnonzero((choice == 3) & (x == OTHER))
+            x[rest] = 0
+            for shift in (16, 0):
+                low = src.target(rest, _U(1 << 16))
+                src.take(rest, low, _U(1))
+                x[rest] |= low.astype(np.int64) << shift
         ids[t, :a] = x
-        model.learn(a, x, choice, t)
+        contexts.learn(a, x, choice, t)
     result: list[np.ndarray] = [ids[:0, 0]] * n
     for place, b in enumerate(order.tolist()):
         result[b] = ids[: sizes[b], place]

@@ -9,7 +9,7 @@ compression off. A row is a segment: whole documents, together at least
     first        ids of the part before this segment
     doc_ids      the segment's documents, in order
     counts       ids of each, end id included
-    kinds        ids are under this
+    table        the segment's frequencies of order 0
     sizes        ids of each block: BLOCK, but for the last
     bytes        coded bytes of each block
     checksums    crc32 of each block's ids as little-endian unsigned 32-bit integers
@@ -31,33 +31,33 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
 from gristmill.llm.common import scratch_path, set_worker_threads
 from gristmill.llm.range_coder import BLOCK, checksum, decode_blocks, encode_blocks
 
-#: Ids coded in one numpy pass.
-PASS_IDS = 1 << 23
 #: Pieces a worker remembers.
-REMEMBERED = 600_000
-SEGMENTS = "part int, first long, doc_ids array<long>, counts array<long>, kinds long, sizes array<int>, bytes array<int>, checksums array<long>, payload binary"
+REMEMBERED = 400_000
+SEGMENTS = "part int, first long, doc_ids array<long>, counts array<long>, table binary, sizes array<int>, bytes array<int>, checksums array<long>, payload binary"
 
 #: The characters of the Unicode property White_Space (fixed values).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_PIECE = re.compile(f" ?[A-Za-z]++(?=[!-@\\[-`{{-~{_SPACE}]|\\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 class Encoder:
     """A tokenizers-library file, asked for each distinct piece once.
 
     A byte-level model with its usual word pattern never makes a token across
-    the pieces of _PIECE (white space with the text that follows one space), so
-    the ids of a text are those of its pieces. Texts with a special token's
+    the pieces of _PIECE (an ASCII word before an ASCII character that is no
+    letter, or what white space bounds, with one space before it), so the ids of
+    a text are those of its pieces. Texts with a special token's
     string, and files of another kind, are encoded whole.
     """
 
@@ -72,12 +72,13 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.kinds = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+        self.line_ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = self.line_ids[0] if self.line_ids else -1
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.place) > REMEMBERED:
@@ -85,95 +86,98 @@ class Encoder:
         new = [p for p in pieces if p not in self.place]
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        count = np.array([len(x) for x in found], np.int64)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        # Words are given to the library in lines, whose ends are tokens of their own; white space by itself.
+        lines, rest = [p for p in new if not p.isspace()], [p for p in new if p.isspace()]
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+        if len(self.line_ids) != 1 or len(ends) != max(1, len(lines)):
+            lines, rest, ids, ends = [], new, ids[:0], ends[:0]
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        count = np.concatenate([np.diff(ends, prepend=-1)[: len(lines)] - 1, np.array([len(x) for x in found], np.int64)]).astype(np.int64)
+        self.place.update(zip(lines + rest, range(len(self.place), len(self.place) + len(new))))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int64, int(count.sum()))])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [not self.by_piece or bool(self.special and self.special.search(t)) for t in texts]
-        cut = [[] if w else _PIECE.findall(t) for t, w in zip(texts, whole)]
-        self._learn({p for c in cut for p in c})
-        out = []
-        for t, w, c in zip(texts, whole, cut):
-            if w:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int64))
-                continue
-            at = np.fromiter(map(self.place.__getitem__, c), np.int64, len(c))
-            n = self.count[at]
-            ends = np.cumsum(n)
-            out.append(self.ids[np.arange(ends[-1] if len(c) else 0) + np.repeat(self.start[at] - ends + n, n)])
-        return out
+        self.ids = np.concatenate([self.ids, ids[ids != self.line_end] if lines else ids[:0], *found])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        whole = [i for i, t in enumerate(texts) if not self.by_piece or self.special and self.special.search(t)]
+        cut = [_PIECE.findall(t) for t in texts]
+        for i in whole:
+            cut[i] = []
+        self._learn(set().union(*cut))
+        pieces = np.array([len(c) for c in cut], np.int64)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, int(pieces.sum()))
+        n = self.count[at]
+        ends = np.cumsum(n)
+        ids = self.ids[np.arange(ends[-1] if len(at) else 0) + np.repeat(self.start[at] - ends + n, n)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces)])]
+        if not whole:
+            return ids, np.diff(bounds)
+        apart = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in whole:
+            apart[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        return np.concatenate(apart), np.array([len(x) for x in apart], np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def _segments(docs: list[tuple[int | None, np.ndarray]], least: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
-    held, n = [], 0
-    for doc in docs:
-        held.append(doc)
-        n += len(doc[1])
-        if n >= least:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def _segment(doc_ids: list, counts: np.ndarray, ids: np.ndarray, part: int, first: int) -> pa.RecordBatch:
+    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    table, out = encode_blocks(blocks)
+    columns = {
+        "part": pa.array([part], pa.int32()),
+        "first": pa.array([first], pa.int64()),
+        "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
+        "counts": pa.array([counts], pa.list_(pa.int64())),
+        "table": pa.array([table], pa.binary()),
+        "sizes": pa.array([[len(b) for b in blocks]], pa.list_(pa.int32())),
+        "bytes": pa.array([[len(b) for b in out]], pa.list_(pa.int32())),
+        "checksums": pa.array([[checksum(b) for b in blocks]], pa.list_(pa.int64())),
+        "payload": pa.array([b"".join(out)], pa.binary()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _write(path: str, end_id: int, segment_ids: int):
-    def coded(docs: list[tuple[int | None, np.ndarray]], part: int, first: int, kinds: int) -> pa.RecordBatch:
-        """The segments of documents that follow one another in a part."""
-        rows, blocks, cuts = list(_segments(docs, segment_ids)), [], [0]
-        for row in rows:
-            ids = np.concatenate([x for _, x in row])
-            blocks += [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-            cuts.append(len(blocks))
-        out = encode_blocks(blocks, kinds)
-        sums = [checksum(b) for b in blocks]
-        totals = [sum(len(x) for _, x in row) for row in rows]
-        own = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
-        columns = {
-            "part": pa.array([part] * len(rows), pa.int32()),
-            "first": pa.array(first + np.cumsum([0, *totals[:-1]]), pa.int64()),
-            "doc_ids": pa.array([[d for d, _ in row] for row in rows], pa.list_(pa.int64())),
-            "counts": pa.array([[len(x) for _, x in row] for row in rows], pa.list_(pa.int64())),
-            "kinds": pa.array([kinds] * len(rows), pa.int64()),
-            "sizes": pa.array([[len(b) for b in blocks[s]] for s in own], pa.list_(pa.int32())),
-            "bytes": pa.array([[len(b) for b in out[s]] for s in own], pa.list_(pa.int32())),
-            "checksums": pa.array([sums[s] for s in own], pa.list_(pa.int64())),
-            "payload": pa.array([b"".join(out[s]) for s in own], pa.binary()),
-        }
-        return pa.RecordBatch.from_pydict(columns)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
-        kinds = max(encoder.kinds, end_id + 1)
-        held, n, first, part = [], 0, 0, 0
+        doc_ids, counts, held, n, first, part = [], [], [], 0, 0, 0
+
+        def segment() -> pa.RecordBatch:
+            return _segment(doc_ids, np.concatenate(counts), np.concatenate(held), part, first)
+
         for batch in batches:
             for piece in W.runs(batch, "text"):
                 part = piece.column("part")[0].as_py()
-                found = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
-                for doc, ids in zip(piece.column("doc_id").to_pylist(), found):
-                    held.append((doc, np.append(ids, end_id).astype(np.int32)))
-                    n += len(ids) + 1
-                if n >= PASS_IDS:
-                    yield coded(held, part, first, kinds)
-                    held, n, first = [], 0, first + n
+                ids, count = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
+                ids = np.insert(ids, np.cumsum(count), end_id).astype(np.int32, copy=False)
+                doc_ids += piece.column("doc_id").to_pylist()
+                counts.append(count + 1)
+                held.append(ids)
+                n += len(ids)
+                if n >= segment_ids:
+                    yield segment()
+                    doc_ids, counts, held, n, first = [], [], [], 0, first + n
         if held:
-            yield coded(held, part, first, kinds)
+            yield segment()
 
     return run
 
 
-def write_token_file(docs: DataFrame, to: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", *, segment_ids: int = 1 << 18, part_bytes: int = 64 << 20) -> None:
-    """Writes the documents to a new token file. ``tokenizer`` must be readable on every executor; a part holds about ``part_bytes`` of text."""
+def write_token_file(docs: DataFrame, to: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", *, segment_ids: int = 1 << 22, part_bytes: int | None = None) -> None:
+    """Writes the documents to a new token file. ``tokenizer`` must be readable on every executor.
+
+    A part holds about ``part_bytes`` of text: as much as gives each core eight
+    parts, 8 MiB at least and 256 MiB at most, where that is not given.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    part_bytes = part_bytes or min(256 << 20, max(8 << 20, total // (8 * cores)))
     order = ["doc_id", "_order"]
     dealt = texts.withColumn("_order", F.xxhash64("text")).repartitionByRange(int(1 + total // part_bytes), *order)
     dealt = dealt.sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
@@ -183,51 +187,34 @@ def write_token_file(docs: DataFrame, to: str, tokenizer: str, end_id: int, id_c
 def _read(digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, n = [], 0
             for i in range(batch.num_rows):
-                held.append({c: batch.column(c)[i].as_py() for c in batch.schema.names})
-                n += sum(held[-1]["sizes"])
-                if n >= PASS_IDS:
-                    yield _documents(held, digests)
-                    held, n = [], 0
-            if held:
-                yield _documents(held, digests)
+                yield _documents({c: batch.column(c)[i].as_py() for c in batch.schema.names}, digests)
 
     return run
 
 
-def _documents(rows: list[dict], digests: bool) -> pa.RecordBatch:
-    coded, sizes = [], []
-    for row in rows:
-        ends = np.cumsum([0, *row["bytes"]]).tolist()
-        coded += [row["payload"][a:b] for a, b in zip(ends, ends[1:])]
-        sizes += row["sizes"]
-    blocks = iter(decode_blocks(coded, sizes, rows[0]["kinds"]))
-    part, doc, start, count, value = [], [], [], [], []
-    for row in rows:
-        own = [next(blocks) for _ in row["sizes"]]
-        if [checksum(b) for b in own] != row["checksums"]:
-            raise ValueError(f"a block of part {row['part']} differs from its checksum")
-        ids, ends = np.concatenate(own), np.cumsum(row["counts"])
-        part += [row["part"]] * len(ends)
-        doc += row["doc_ids"]
-        start += (row["first"] + ends - row["counts"]).tolist()
-        count += row["counts"]
-        for a, b in zip((ends - row["counts"]).tolist(), ends.tolist()):
-            value.append(checksum(ids[a:b]) if digests else ids[a:b])
-    kind = pa.int64() if digests else pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int64()), pa.array(value, kind)], ["part", "doc_id", "start", "n_tokens", "value"])
+def _documents(row: dict, digests: bool) -> pa.RecordBatch:
+    ends = np.cumsum([0, *row["bytes"]]).tolist()
+    own = decode_blocks(row["table"], [row["payload"][a:b] for a, b in zip(ends, ends[1:])], row["sizes"])
+    if [checksum(b) for b in own] != row["checksums"]:
+        raise ValueError(f"a block of part {row['part']} differs from its checksum")
+    ids, counts = np.concatenate(own), np.array(row["counts"], np.int64)
+    ends = np.cumsum(counts)
+    start = ends - counts
+    if digests:
+        value = pa.array([checksum(ids[a:b]) for a, b in zip(start.tolist(), ends.tolist())], pa.int64())
+    else:
+        value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(ends), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + start), pa.array(counts), value], ["part", "doc_id", "start", "n_tokens", "value"])
 
 
 def read_token_file(spark: SparkSession, path: str, *, digests: bool = False) -> DataFrame:
     """One row per document: ``doc_id, start, n_tokens, ids``; with ``digests`` the ids' crc32 instead, as ``ids_crc32``."""
     segments = spark.read.schema(SEGMENTS).parquet(path)
-    parts = segments.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    before, at = [], 0
-    for r in parts:  # one number a part, of which each stands for part_bytes of text
-        before.append((r["part"], at))
-        at += r["n"]
-    offsets = F.broadcast(spark.createDataFrame(before or [(0, 0)], "part int, before long"))
+    parts = segments.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    # One number a part, each of which stands for part_bytes of text.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("part", before.alias("before"))
     name, kind = ("ids_crc32", "long") if digests else ("ids", "array<int>")
     found = segments.mapInArrow(_read(digests), f"part int, doc_id long, start long, n_tokens long, value {kind}")
     return found.join(offsets, "part").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", F.col("value").alias(name))
