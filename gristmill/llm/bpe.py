@@ -119,6 +119,8 @@ class Tokenizer:
         self.lower = any(s["type"] == "Lowercase" for s in steps)
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"))
         self.merges = Merges(model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]], suffix)
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens with flags are not supported")
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = added
         self.cut = re.compile("|".join(map(re.escape, added))) if added else None
@@ -223,16 +225,15 @@ def _encode(path: str, digests: bool, keep: tuple[str, ...] = ()):
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, ids, decoded`` and the columns to ``keep``, which must have other names. ``path`` must be readable on every executor."""
-    rows = _texts(docs, id_col, text_col, keep)
+    """One row per input row: ``doc_id, n_tokens, ids, decoded`` and the columns to ``keep``; one of them that has a name of the former is called ``input_`` and that name. ``path`` must be readable on every executor."""
     schema = StructType.fromDDL("doc_id long, n_tokens long, ids array<int>, decoded string")
-    return rows.mapInArrow(_encode(path, False, tuple(keep)), StructType([*schema, *(rows.schema[c] for c in keep)]))
+    kept = {f"_gm_{i}": f"input_{c}" if c in schema.names else c for i, c in enumerate(keep)}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)])
+    out = rows.mapInArrow(_encode(path, False, tuple(kept)), StructType([*schema, *(rows.schema[k] for k in kept)]))
+    return out.select(*schema.names, *[F.col(k).alias(c) for k, c in kept.items()])
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``encode``, with SHA-256 digests made in the same pass: of the decimal ids joined by one space, and of the decoded text."""
-    return _texts(docs, id_col, text_col).mapInArrow(_encode(path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-
-def _texts(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)

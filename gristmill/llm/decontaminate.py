@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
 from gristmill.llm.common import carried, durable, restored, with_carried, worker_state
-from gristmill.llm.wu_manber import Table, blocks, tables
+from gristmill.llm.wu_manber import Table, tables
 
 SCHEMA = "n_words long, hits array<int>, items array<string>"
 
@@ -50,16 +50,15 @@ def _scan_run(part: pa.RecordBatch, found: list[Table], keep_text: bool) -> pa.R
     data, offsets = W.flat(part.column("text"))
     words = W.split(W.LOWER[data], offsets, W.ALNUM)
     hashed = W.hashes(words)
-    plain = hashed.tolist()
-    ends = {size: blocks(hashed, size).tolist() for size in {t.block for t in found}}
+    ready = [t.prepared(hashed) for t in found]
     word = lambda i: W.text_of(words, i)
     earlier = (part.column("hits").to_pylist(), part.column("items").to_pylist()) if "hits" in part.schema.names else None
     hits, items = [], []
     for r, (a, b) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())):
         covered = [np.array(earlier[0][r], np.int32)] if earlier else []
         owners = set(earlier[1][r]) if earlier else set()
-        for t in found:
-            for start, own in t.search(ends[t.block], plain, a, b, word):
+        for t, prepared in zip(found, ready):
+            for start, own in t.search(prepared, a, b, word):
                 covered.append(np.arange(start - a, start - a + t.length, dtype=np.int32))
                 owners.update(str(x) for x in own if x is not None)
         hits.append(np.unique(np.concatenate(covered)) if covered else [])

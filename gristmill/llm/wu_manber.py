@@ -27,52 +27,85 @@ def blocks(hashed: np.ndarray, size: int) -> np.ndarray:
 
 
 class Table:
-    """The search table of the patterns of one length."""
+    """The search table of the patterns of one length, in sorted numpy arrays: about 60 bytes a pattern word.
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list], hashed: dict[tuple[bytes, ...], np.ndarray], length: int):
-        self.length, self.block = length, min(2, length)
+    words: the words of all items, one after another; hashed: their hashes;
+    firsts: the first word of each pattern; owners: the place of each in ``items``.
+    """
+
+    def __init__(self, words: W.Words, hashed: np.ndarray, firsts: np.ndarray, owners: np.ndarray, items: list, length: int):
+        self.words, self.items, self.length, self.block = words, items, length, min(2, length)
         #: How far to go on at a block that no pattern holds.
         self.most = length - self.block + 1
-        self.shift: dict[int, int] = {}
-        self.buckets: dict[tuple[int, int], list[tuple[tuple[bytes, ...], list]]] = {}
-        for words, owners in patterns.items():
-            own = hashed[words]
-            ends = blocks(own, self.block).tolist()
-            for i in range(self.block - 1, length):
-                self.shift[ends[i]] = min(self.shift.get(ends[i], self.most), length - 1 - i)
-            self.buckets.setdefault((ends[-1], int(own[0])), []).append((words, owners))
-
-    def search(self, ends: list[int], hashed: list[int], a: int, b: int, word) -> list[tuple[int, list]]:
+        ends = blocks(hashed, self.block)
+        places = range(self.block - 1, length)
+        block = np.concatenate([ends[firsts + i] for i in places])
+        step = np.concatenate([np.full(len(firsts), length - 1 - i, np.int32) for i in places])
+        order = np.lexsort((step, block))
+        block, step = block[order], step[order]
+        least = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        self.blocks, self.steps = block[least], step[least]
+        suffix = self._bucket(ends[firsts + length - 1], hashed[firsts])
+        order = np.argsort(suffix, kind="stable")
+        self.suffix, self.firsts, self.owners = suffix[order], firsts[order].astype(np.int32), owners[order].astype(np.int32)
+
+    @staticmethod
+    def _bucket(end: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return W.mix(end ^ W.mix(first))
+
+    def prepared(self, hashed: np.ndarray) -> tuple[list[int], list[int]]:
+        """For each word how far the search may go on from it, and where that is 0 its bucket, or -1."""
+        ends = blocks(hashed, self.block)
+        at = np.minimum(np.searchsorted(self.blocks, ends), len(self.blocks) - 1)
+        step = np.where(self.blocks[at] == ends, self.steps[at], self.most)
+        bucket = np.full(len(hashed), -1)
+        stop = np.flatnonzero(step == 0)
+        stop = stop[stop >= self.length - 1]
+        key = self._bucket(ends[stop], hashed[stop - self.length + 1])
+        at = np.minimum(np.searchsorted(self.suffix, key), len(self.suffix) - 1)
+        bucket[stop] = np.where(self.suffix[at] == key, at, -1)
+        return step.tolist(), bucket.tolist()
+
+    def search(self, prepared: tuple[list[int], list[int]], a: int, b: int, word) -> list[tuple[int, list]]:
         """(start, owners) of every occurrence within words a to b; ``word(i)`` gives the bytes of word i."""
-        found, shift, most, last = [], self.shift.get, self.most, self.length - 1
+        (steps, buckets), last, found = prepared, self.length - 1, []
         i = a + last
         while i < b:
-            step = shift(ends[i], most)
-            if step:
-                i += step
+            if steps[i]:
+                i += steps[i]
                 continue
-            start = i - last
-            for words, owners in self.buckets.get((ends[i], hashed[start]), ()):
-                if all(word(start + k) == words[k] for k in range(self.length)):
-                    found.append((start, owners))
+            if buckets[i] >= 0:
+                text = [word(k) for k in range(i - last, i + 1)]
+                own = [self.items[self.owners[at]] for at in self._members(buckets[i]) if self._reads(int(self.firsts[at]), text)]
+                if own:
+                    found.append((i - last, own))
             i += 1
         return found
 
+    def _members(self, at: int) -> range:
+        return range(at, int(np.searchsorted(self.suffix, self.suffix[at], "right")))
+
+    def _reads(self, first: int, text: list[bytes]) -> bool:
+        return all(W.text_of(self.words, first + k) == t for k, t in enumerate(text))
+
 
 def tables(items: list[tuple[object, str | None]], window: int) -> list[Table]:
     """A table per pattern length. A pattern is a window of consecutive words of an item, or the whole of a shorter item."""
-    by_length: dict[int, dict[tuple[bytes, ...], list]] = {}
-    hashed: dict[tuple[bytes, ...], np.ndarray] = {}
-    for item, text in items:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        words = W.split(W.LOWER[data], np.array([0, len(data)]), W.ALNUM)
-        own, n = W.hashes(words), len(words.starts)
-        seq = [W.text_of(words, i) for i in range(n)]
-        size = min(window, n)
-        for i in range(n - size + 1 if n else 0):
-            key = tuple(seq[i : i + size])
-            owners = by_length.setdefault(size, {}).setdefault(key, [])
-            if item not in owners:
-                owners.append(item)
-            hashed[key] = own[i : i + size]
-    return [Table(patterns, hashed, length) for length, patterns in sorted(by_length.items())]
+    texts = [(text or "").encode() for _, text in items]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    words = W.split(W.LOWER[np.frombuffer(b"".join(texts), np.uint8)], offsets, W.ALNUM)
+    hashed, other, names = W.hashes(words), W.hashes(words, 1), [item for item, _ in items]
+    size = np.minimum(np.diff(words.bounds), window)
+    out = []
+    for length in sorted(set(size[size > 0].tolist())):
+        own = np.flatnonzero(size == length)
+        count = words.bounds[own + 1] - words.bounds[own] - length + 1
+        owners = np.repeat(own, count)
+        firsts = np.repeat(words.bounds[own] - np.cumsum(count) + count, count) + np.arange(len(owners))
+        # A window that an item repeats is one pattern.
+        whole = [W.window_hashes(h, length, k)[firsts] for k, h in enumerate((hashed, other))]
+        order = np.lexsort((*whole, owners))
+        new = np.append(True, np.any([np.diff(x[order]) != 0 for x in (owners, *whole)], 0))
+        one = np.sort(order[new])
+        out.append(Table(words, hashed, firsts[one], owners[one], names, length))
+    return out

@@ -19,6 +19,7 @@ from gristmill.llm.loser_tree import merge
 from gristmill.llm import range_coder
 from gristmill.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 from gristmill.llm.token_file import Encoder, read_token_file, write_token_file
+from gristmill.llm.wu_manber import tables
 from gristmill.llm.warc import archive_and_index, parse, write_archives
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -130,6 +131,23 @@ def blocks(seed, kinds, n=30):
     return [np.where(r.random(k) < 0.7, r.choice(few, k), r.integers(0, kinds, k)) for k in [0, 1, 2, 300, *r.integers(1, 80, n)]]
 
 
+def test_bpe_keeps_columns_with_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "two words", "a", 5, "b")], "doc_id long, text string, ids string, n_tokens int, source string")
+    out = encode(docs, WORD_BPE, keep=["ids", "n_tokens", "source"])
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded", "input_ids", "input_n_tokens", "source"]
+    assert out.select("input_ids", "input_n_tokens", "source").first() == ("a", 5, "b")
+
+
+def test_search_tables_of_a_large_benchmark_are_small():
+    """A block of 4 MiB takes less than 125 MB, so the largest of 16 MiB stays under 500 MB."""
+    r = random.Random(1)
+    words = [f"w{r.randrange(10**5)}" for _ in range(20_000)]
+    items = [(i, " ".join(r.choice(words) for _ in range(200))) for i in range(3_000)]
+    built = tables(items, 10)
+    size = sum(x.nbytes for t in built for x in (t.words.data, t.words.starts, t.words.ends, t.blocks, t.steps, t.suffix, t.firsts, t.owners))
+    assert size / sum(len(t) for _, t in items) < 125 / 4
+
+
 @pytest.mark.parametrize("most", [1 << 17, 20])
 @pytest.mark.parametrize("kinds", [1, 2, 50_257, 65_536, 65_537, 2**31])
 def test_range_coder_round_trip(kinds, most, monkeypatch):
