@@ -122,7 +122,7 @@ def soft_404_hosts(t):
 
 
 @query(r"""WITH d AS (SELECT DISTINCT source AS host, sha256(trim(regexp_replace(text, '[ \t\n\f\r]+', ' ', 'g'))) AS digest FROM documents), s AS (SELECT host, count(*) AS n FROM d GROUP BY host),
-f AS (SELECT digest, min(host) AS a FROM d GROUP BY digest HAVING count(*) > 1), p AS (SELECT a, host AS b, count(*) AS common FROM d JOIN f USING (digest) WHERE host > a GROUP BY ALL)
+p AS (SELECT l.host AS a, r.host AS b, count(*) AS common FROM d l JOIN d r USING (digest) WHERE l.host < r.host GROUP BY ALL)
 SELECT a, b, common::BIGINT AS common, least(x.n, y.n)::BIGINT AS smaller FROM p JOIN s x ON x.host = a JOIN s y ON y.host = b WHERE common >= 0.01 * least(x.n, y.n)""")
 def mirror_hosts(t):
     return clusters.host_pairs(t.documents, 0.01)

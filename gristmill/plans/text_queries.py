@@ -127,7 +127,7 @@ def near_dup_bands(t):
 _SHARED = " + ".join(f"CASE WHEN x.m{i} = y.m{i} THEN 1 ELSE 0 END" for i in range(64))
 
 
-@query(_sketch_sql(f""", b AS ({_BANDS}), c AS (SELECT band, min(doc_id) AS a FROM b GROUP BY band), p AS (SELECT DISTINCT a, doc_id AS b FROM b JOIN c USING (band) WHERE doc_id > a)
+@query(_sketch_sql(f""", b AS ({_BANDS}), p AS (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM b l JOIN b r USING (band) WHERE l.doc_id < r.doc_id)
 SELECT p.a, p.b, {_SHARED} AS shared FROM p JOIN k x ON x.doc_id = p.a JOIN k y ON y.doc_id = p.b"""))
 def near_dup_pairs(t):
     return clusters.near_candidates(t.documents)
