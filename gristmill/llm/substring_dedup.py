@@ -19,7 +19,8 @@ document, and only about 2 of 27 half windows are counted at all.
 4. The covered words leave their documents.
 
 Counts are taken first by key and document or with partial aggregation, so a
-passage that a third of all documents share is summed before it is shuffled.
+passage that a third of all documents share is summed before it is shuffled, and
+its windows meet their owner where they lie (``operators.hot``).
 Equality over the corpus rests on 128-bit hashes.
 
 Rules: null and empty texts have no words. Rows that repeat a doc_id are one
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
 from gristmill.llm.common import durable
+from gristmill.operators.hot import join_by_share
 
 
 def _parse(part: pa.RecordBatch) -> tuple[W.Words, np.ndarray, np.ndarray]:
@@ -164,15 +166,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = can_repeat.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("d1", "d2", "n_words", "first")
     copies = durable(can_repeat.select(*row, "n_words", "d1", "d2").join(first, ["d1", "d2", "n_words"]).where("doc_id > first").select(*row).distinct(), "copies")
     half = can_repeat.join(copies, row, "left_anti").select(*row, F.explode(F.arrays_zip("a", "b")).alias("h")).select(*row, "h.a", "h.b")
-    repeated = half.groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a", "b")
-    surviving = half.join(repeated, ["a", "b"]).groupBy(*row).agg(F.collect_set("a").alias("found"))
+    repeated = durable(half.groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).where("x < y").select("a", "b", "n"), "repeated")
+    surviving = join_by_share(half, repeated, ["a", "b"]).groupBy(*row).agg(F.collect_set("a").alias("found"))
     marked = surviving.withColumn("whole", F.lit(False)).unionByName(copies.select(*row, F.lit(None).cast("array<long>").alias("found"), F.lit(True).alias("whole")))
     # The texts move once, to meet their marks; only those with surviving anchors are looked at further.
     placed = durable(texts.join(marked, row, "left").select(*row, "text", "found", F.coalesce("whole", F.lit(False)).alias("whole")), "placed")
     suspects = placed.where("found is not null")
     full = durable(suspects.select(*row, "text", "found").mapInArrow(windows_of(window), "doc_id long, version long, at int, a long, b long"), "windows")
-    owners = full.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("a", "b", "owner")
-    covers = full.join(owners, ["a", "b"]).where("doc_id > owner").groupBy(*row).agg(F.collect_set("at").alias("cover"))
+    owners = durable(full.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("owner < last").select("a", "b", "owner", "n"), "owners")
+    covers = join_by_share(full, owners, ["a", "b"]).where("doc_id > owner").groupBy(*row).agg(F.collect_set("at").alias("cover"))
     judged = suspects.select(*row, "text", "whole").join(covers, row, "left")
     settled = placed.where("found is null").select(*row, "text", "whole", F.lit(None).cast("array<int>").alias("cover"))
     return settled.unionByName(judged).select("doc_id", "text", "whole", "cover").mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, kept_text string")
