@@ -34,12 +34,15 @@ STEP, LIMIT, CARE = 24, 2_000, 64
 #: Any others share a place and follow as they are. Frequencies of choices times those of order 0 stay under _LEAST.
 ORDER0, MOST = 1 << 16, 1 << 17
 OTHER = -1
+#: Ids under this are counted and looked up in arrays, others by sorting and searching.
+_SMALL = 1 << 18
 
 _U = np.uint64
 _TOP, _LEAST, _MASK, _16, _32 = _U(1 << 32), _U(1 << 31), _U((1 << 48) - 1), _U(16), _U(32)
 _ONES, _HALF = _U(0x0001000100010001), _U(0x7FFF7FFF7FFF7FFF)
 _PART = [_U(0), _U(16), _U(32), _U(48)]
 _STEPS = np.array([STEP << 16 * k for k in range(4)], np.uint64)
+_GAIN = np.array([1, 2, 3, 3])
 
 
 def _part(sums: np.ndarray, k: int) -> np.ndarray:
@@ -64,22 +67,26 @@ class _Contexts:
         one = self.last1[:a] * 40503
         self.at1 = self.base1[:a] + (one >> 4 & _SLOTS1 - 1)
         self.at2 = self.base2[:a] + ((one ^ self.last2[:a] * 60493) >> 4 & _SLOTS2 - 1)
-        slot1, slot2 = self.pred1[self.at1], self.pred2[self.at2]
+        slot1, slot2 = self.pred1.take(self.at1), self.pred2.take(self.at2)
         self.conf1, self.conf2 = slot1 & 3, slot2 & 3
         self.guess1, self.guess2 = slot1 >> 2, slot2 >> 2
-        self.second = self.other1[self.at1]
-        self.row1 = self.table1[:a] + self.conf1 + 4 * (self.guess1 == self.guess2)
+        self.second = self.other1.take(self.at1)
+        self.row1 = self.table1[:a] + self.conf1 + ((self.guess1 == self.guess2).view(np.int8) << 2)
         self.row2 = self.table2[:a] + self.conf2
-        return (self.by1[self.row1] + self.by2[self.row2]) * _ONES
+        self.freq1, self.freq2 = self.by1.take(self.row1), self.by2.take(self.row2)
+        return (self.freq1 + self.freq2) * _ONES
 
     def learn(self, a: int, ids: np.ndarray, choice: np.ndarray, step: int) -> None:
-        more = _STEPS[choice]
-        self.by1[self.row1] += more
-        self.by2[self.row2] += more
-        right, weak = self.guess2 == ids, self.conf2 < 2
-        self.pred2[self.at2] = np.where(right, ids * 4 + np.minimum(self.conf2 + 1, 3), np.where(weak, ids, self.guess2) * 4 + (self.conf2 >> 1))
+        more = _STEPS.take(choice)
+        self.by1[self.row1] = self.freq1 + more
+        self.by2[self.row2] = self.freq2 + more
+        own = ids << 2
+        # A right guess gains confidence; a wrong one loses half of it, or its place if that was under 2.
+        wrong = np.where(self.conf2 < 2, own, self.guess2 << 2) + (self.conf2 >> 1)
+        self.pred2[self.at2] = np.where(self.guess2 == ids, own + _GAIN.take(self.conf2), wrong)
         right, weak = self.guess1 == ids, self.conf1 < 2
-        self.pred1[self.at1] = np.where(right, ids * 4 + np.minimum(self.conf1 + 1, 3), np.where(weak, ids, self.guess1) * 4 + (self.conf1 >> 1))
+        wrong = np.where(weak, own, self.guess1 << 2) + (self.conf1 >> 1)
+        self.pred1[self.at1] = np.where(right, own + _GAIN.take(self.conf1), wrong)
         self.other1[self.at1] = np.where(right, self.second, np.where(weak, self.guess1, ids))
         self.last2[:a] = self.last1[:a]
         self.last1[:a] = ids
@@ -108,6 +115,10 @@ class Order0:
         at = np.searchsorted(self.ids, ids)
         return np.where(self.ids[np.minimum(at, len(self.ids) - 1)] == ids, at, 0) if self.others else at
 
+    def places(self) -> np.ndarray:
+        """The place of each value under the total."""
+        return np.repeat(np.arange(len(self.ids)), np.diff(self.sums.astype(np.int64)))
+
     def packed(self) -> bytes:
         return zlib.compress(np.concatenate([np.diff(self.ids, prepend=OTHER), np.diff(self.sums.astype(np.int64))]).astype("<u4").tobytes(), 6)
 
@@ -123,15 +134,16 @@ class Order0:
 
 def _span(sums: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the choice's share of the frequencies starts, and its size."""
-    shift = choice.astype(np.uint64) * _16
-    end, start = sums >> shift & _U(0xFFFF), np.where(choice > 0, (sums << _16) >> shift & _U(0xFFFF), _U(0))
-    return start, end - start
+    shift = choice.astype(np.uint64) << _U(4)
+    start = (sums << _16) >> shift & _U(0xFFFF)  # 0 for the first choice
+    return start, (sums >> shift & _U(0xFFFF)) - start
 
 
 class _Encoder:
     def __init__(self, n: int, steps: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _MASK)
-        self.out, self.size = np.zeros((n, steps * 3 + 8), "<u2"), np.zeros(n, np.int64)
+        self.first = np.arange(n) * (steps * 3 + 8)
+        self.out, self.at = np.zeros(n * (steps * 3 + 8), "<u2"), self.first.copy()
 
     def put(self, lane, start: np.ndarray, count: np.ndarray, total: np.ndarray) -> None:
         """``lane``: a slice or indices of blocks."""
@@ -142,35 +154,39 @@ class _Encoder:
         move = np.flatnonzero(settled | (rng < _LEAST))
         at = move if isinstance(lane, slice) else lane[move]
         while len(move):
-            x, r = low[move], rng[move]
+            x, r = low.take(move), rng.take(move)
             cut = (x ^ x + r) >= _TOP
             if cut.any():
                 r = np.where(cut, (_TOP - (x & _TOP - _U(1))), r)
-            self.out[at, self.size[at]] = x >> _32
-            self.size[at] += 1
+            place = self.at.take(at)
+            self.out[place] = x >> _32
+            self.at[at] = place + 1
             x, r = x << _16 & _MASK, r << _16 & _MASK
             low[move], rng[move] = x, r
-            again = ((x ^ x + r) < _TOP) | (r < _LEAST)
-            move, at = move[again], at[again]
+            again = np.flatnonzero(((x ^ x + r) < _TOP) | (r < _LEAST))
+            move, at = move.take(again), at.take(again)
         self.low[lane], self.range[lane] = low, rng
 
     def finish(self) -> list[bytes]:
-        every = np.arange(len(self.size))
         for shift in (_32, _16, _U(0)):
-            self.out[every, self.size] = self.low >> shift & _U(0xFFFF)
-            self.size += 1
-        return [o[:n].tobytes() for o, n in zip(self.out, self.size.tolist())]
+            self.out[self.at] = self.low >> shift & _U(0xFFFF)
+            self.at += 1
+        return [self.out[a:b].tobytes() for a, b in zip(self.first.tolist(), self.at.tolist())]
 
 
 class _Decoder:
     def __init__(self, blocks: list[bytes]):
-        n, widest = len(blocks), max(len(b) // 2 for b in blocks)
-        self.data = np.zeros((n, widest + 4), "<u2")
-        for i, b in enumerate(blocks):
-            self.data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
+        n = len(blocks)
+        # A sound block is never read beyond its end; the zeros are for others.
+        sizes = np.array([len(b) // 2 + 4 for b in blocks])
+        self.data = np.frombuffer(b"".join(b[: len(b) // 2 * 2] + bytes(8) for b in blocks), "<u2")
+        self.end = np.cumsum(sizes) - 1
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _MASK)
-        first = self.data[:, :3].astype(np.uint64)
-        self.code, self.at = first[:, 0] << _32 | first[:, 1] << _16 | first[:, 2], np.full(n, 3)
+        self.at = self.end + 1 - sizes
+        self.code = np.zeros(n, np.uint64)
+        for _ in range(3):
+            self.code = self.code << _16 | self.data[self.at]
+            self.at += 1
 
     def target(self, lane, total: np.ndarray) -> np.ndarray:
         self.unit = self.range[lane] // total
@@ -183,16 +199,17 @@ class _Decoder:
         move = np.flatnonzero(settled | (rng < _LEAST))
         at = move if isinstance(lane, slice) else lane[move]
         while len(move):
-            x, r = low[move], rng[move]
+            x, r = low.take(move), rng.take(move)
             cut = (x ^ x + r) >= _TOP
             if cut.any():
                 r = np.where(cut, (_TOP - (x & _TOP - _U(1))), r)
-            self.code[at] = (self.code[at] << _16 | self.data[at, np.minimum(self.at[at], self.data.shape[1] - 1)]) & _MASK
-            self.at[at] += 1
+            place = self.at.take(at)
+            self.code[at] = (self.code.take(at) << _16 | self.data.take(np.minimum(place, self.end.take(at)))) & _MASK
+            self.at[at] = place + 1
             x, r = x << _16 & _MASK, r << _16 & _MASK
             low[move], rng[move] = x, r
-            again = ((x ^ x + r) < _TOP) | (r < _LEAST)
-            move, at = move[again], at[again]
+            again = np.flatnonzero(((x ^ x + r) < _TOP) | (r < _LEAST))
+            move, at = move.take(again), at.take(again)
         self.low[lane], self.range[lane] = low, rng
 
 
@@ -203,25 +220,36 @@ def _by_length(lengths: np.ndarray):
     return order, steps, np.searchsorted(-lengths[order], -np.arange(steps), "left").tolist()
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, in order, and how often each occurs."""
+    if not len(ids) or ids.max() >= _SMALL:
+        return np.unique(ids.astype(np.int64), return_counts=True)
+    counts = np.bincount(ids)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> tuple[bytes, list[bytes]]:
     """The batch's table of order 0, and the code of each block of ids (under 2**31)."""
     n = len(blocks)
     lengths = np.array([len(b) for b in blocks], np.int64)
     order, steps, active = _by_length(lengths)
-    order0 = Order0(*np.unique(np.concatenate(blocks).astype(np.int64) if blocks else np.zeros(0, np.int64), return_counts=True))
+    order0 = Order0(*_counted(np.concatenate(blocks) if blocks else np.zeros(0, np.int64)))
     ids = np.zeros((max(steps, 1), n), np.int32)
     for p, b in enumerate(order.tolist()):
         ids[: lengths[b], p] = blocks[b]
+    places = order0.place(np.arange(_SMALL)) if len(order0.ids) and order0.ids[-1] < _SMALL else None
     contexts, out, total = _Contexts(n), _Encoder(n, steps), order0.total
+    firsts, counts = order0.sums[:-1], np.diff(order0.sums)
     for t in range(steps):
         a = active[t]
         x = ids[t, :a].astype(np.int64)
-        at = order0.place(x)
+        at = order0.place(x) if places is None else places.take(x)
         sums = contexts.predict(a)
         choice = np.where(contexts.guess2 == x, 0, np.where(contexts.guess1 == x, 1, np.where(contexts.second == x, 2, 3)))
         start, share = _span(sums, choice)
-        new, first = choice == 3, order0.sums[at]
-        out.put(slice(0, a), start * total + np.where(new, share * first, _U(0)), share * np.where(new, order0.sums[at + 1] - first, total), (sums >> _PART[3]) * total)
+        new = choice == 3
+        out.put(slice(0, a), start * total + share * np.where(new, firsts.take(at), _U(0)), share * np.where(new, counts.take(at), total), (sums >> _PART[3]) * total)
         if order0.others:
             rest = np.flatnonzero(new & (order0.ids[at] == OTHER))
             for shift in (16, 0):
@@ -242,6 +270,7 @@ def decode_blocks(table: bytes, coded: list[bytes], lengths: list[int]) -> list[
     order, steps, active = _by_length(sizes)
     ids = np.zeros((max(steps, 1), n), np.int32)
     contexts, src, total = _Contexts(n), _Decoder([coded[b] for b in order.tolist()]), order0.total
+    places, firsts, counts = order0.places(), order0.sums[:-1], np.diff(order0.sums)
     for t in range(steps):
         a = active[t]
         lanes = slice(0, a)
@@ -254,11 +283,11 @@ def decode_blocks(table: bytes, coded: list[bytes], lengths: list[int]) -> list[
         start, count = start * total, share * total
         new = np.flatnonzero(choice == 3)
         if len(new):
-            own = share[new]
-            at = np.searchsorted(order0.sums, (target[new] - start[new]) // own, "right") - 1
-            start[new] += own * order0.sums[at]
-            count[new] = own * (order0.sums[at + 1] - order0.sums[at])
-            x[new] = order0.ids[at]
+            own, before = share.take(new), start.take(new)
+            at = places.take(((target.take(new) - before) // own).view(np.int64), mode="clip")
+            start[new] = before + own * firsts.take(at)
+            count[new] = own * counts.take(at)
+            x[new] = order0.ids.take(at)
         src.take(lanes, start, count)
         if order0.others:
             rest = np.flatnonzero((choice == 3) & (x == OTHER))
