@@ -50,3 +50,19 @@ def cumulative_buckets(rows: DataFrame, value: str, bounds: list[float]) -> Data
     counts = rows.agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)])
     pairs = F.array(*[F.struct(F.lit(float(b)).alias("bound"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)])
     return counts.select(F.inline(pairs))
+
+
+#: Verification levels by code (fixed values); any other code, or none, is unverified.
+LEVELS = ((0, "local"), (1, "quorum"), (2, "replayed"))
+
+
+def verification_tally(rows: DataFrame, level: Column, *keys: str) -> DataFrame:
+    """Per key: rows at each level of verification."""
+    known = F.coalesce(level.isin(*[code for code, _ in LEVELS]), F.lit(False))
+    return rows.groupBy(*keys).agg(*[F.count_if(level == code).alias(name) for code, name in LEVELS], F.count_if(~known).alias("unverified"))
+
+
+def deepest_tiers(rows: DataFrame, key: str, delivered: Column, tier: Column) -> DataFrame:
+    """``deepest, domains, urls``: the keys by the deepest tier that delivered (0: none did), and the urls on them."""
+    each = rows.groupBy(key).agg(F.coalesce(F.max(F.when(delivered, tier)), F.lit(0)).alias("deepest"), F.count("*").alias("n"))
+    return each.groupBy("deepest").agg(F.count("*").alias("domains"), F.sum("n").alias("urls"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.schedule import CLASSES
 from gristmill.sources.crawl_tables import FAILED, FETCHED, PENDING
 
 SCHEDULABLE = (PENDING, FETCHED, FAILED)
+EXCLUDED = 4
+#: When an excluded row is due.
+NEVER = (1 << 63) - 1
 
 
 def counts(ledger: DataFrame) -> DataFrame:
@@ -103,3 +107,30 @@ def changes(fetches: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     changed = F.lag(value).over(w) != F.col(value)
     return fetches.withColumn("_changed", changed).groupBy(key).agg(F.count("*").alias("fetches"), F.count_if("_changed").alias("changes"))
+
+
+def apply_blocks(ledger: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The ledger after ``blocks`` (``pld_id, lifted_ms``, one row a domain; null: in force), with ``effect``.
+
+    A block excludes the domain's schedulable rows. A lift makes all its excluded
+    rows pending and due at once, whatever excluded them, and counts their class
+    anew from ``last_fetch_ms`` (null: never fetched). Other rows, and those with
+    no domain, stay as they are; their effect is null.
+    """
+    marks = blocks.select("pld_id", "lifted_ms", F.lit(True).alias("_named"))
+    rows = ledger.join(marks, "pld_id", "left")
+    out = F.col("_named") & F.col("lifted_ms").isNull() & F.col("state").isin(*SCHEDULABLE)
+    back = F.col("lifted_ms").isNotNull() & (F.col("state") == EXCLUDED)
+    age = F.col("lifted_ms") - F.col("last_fetch_ms")
+    kind = F.lit(len(CLASSES))
+    for i, (bound, _) in reversed(list(enumerate(CLASSES))):
+        kind = F.when(age < bound, i).otherwise(kind)
+    kind = F.when(age.isNull(), len(CLASSES) + 1).otherwise(kind)
+    pick = lambda c, gone, again: F.when(out, gone).when(back, again).otherwise(F.col(c))
+    changed = {
+        "effect": F.when(out, "excluded").when(back, "restored"),
+        "state": pick("state", F.lit(EXCLUDED), F.lit(PENDING)),
+        "next_due_ms": pick("next_due_ms", F.lit(NEVER), F.col("lifted_ms")),
+        "refresh_class": pick("refresh_class", F.col("refresh_class"), kind),
+    }
+    return rows.withColumns(changed).drop("_named", "lifted_ms")

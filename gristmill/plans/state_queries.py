@@ -163,3 +163,30 @@ def set_intersect(t):
 @query(WITH + """ SELECT CASE WHEN priority < 10 THEN 'low' WHEN next_due_ms > 883612800000 THEN 'stale' WHEN state = 2 THEN 'failed' ELSE 'accepted' END AS reason, count(*)::BIGINT AS n FROM ledger GROUP BY 1""")
 def reject_reasons(t):
     return reports.reasons(ledger(t.orders), {"low": F.col("priority") < 10, "stale": F.col("next_due_ms") > NOW, "failed": F.col("state") == 2})
+
+
+@query(WITH + f""", l AS (SELECT l.*, h.pld_id, CASE WHEN state = 0 THEN NULL ELSE next_due_ms END AS last_fetch_ms FROM ledger l JOIN hosts h USING (host_id)),
+b AS (SELECT *, state <= 2 AND pld_id % 2 = 0 AS gone FROM l), k AS (SELECT *, gone AND pld_id % 3 = 0 AS back, {NOW} - last_fetch_ms AS age FROM b)
+SELECT url_key, pld_id, CASE WHEN back THEN 'restored' END AS effect, CASE WHEN back THEN 0 WHEN gone THEN 4 ELSE state END AS state,
+  CASE WHEN back THEN {NOW} WHEN gone THEN 9223372036854775807 ELSE next_due_ms END AS next_due_ms,
+  CASE WHEN NOT back THEN refresh_class WHEN age IS NULL THEN 5 WHEN age < 3600000 THEN 0 WHEN age < 21600000 THEN 1 WHEN age < 259200000 THEN 2 WHEN age < 2592000000 THEN 3 ELSE 4 END AS refresh_class FROM k""")
+def domain_blocks(t):
+    """Domains with an even number are blocked, then those that three divides lifted."""
+    last = F.when(F.col("state") != 0, F.col("next_due_ms"))
+    rows = ledger(t.orders).withColumn("last_fetch_ms", last).join(hosts(t.customer).select("host_id", "pld_id"), "host_id")
+    domains = hosts(t.customer).select("pld_id").distinct()
+    blocked = state.apply_blocks(rows, domains.where("pld_id % 2 = 0").withColumn("lifted_ms", F.lit(None).cast("long"))).drop("effect")
+    lifted = state.apply_blocks(blocked, domains.where("pld_id % 3 = 0").withColumn("lifted_ms", F.lit(NOW)))
+    return lifted.select("url_key", "pld_id", "effect", "state", "next_due_ms", "refresh_class")
+
+
+@query("""SELECT l_returnflag AS stream, count(*) FILTER (l_linenumber = 1)::BIGINT AS local, count(*) FILTER (l_linenumber = 2)::BIGINT AS quorum, count(*) FILTER (l_linenumber = 3)::BIGINT AS replayed,
+  count(*) FILTER (l_linenumber > 3)::BIGINT AS unverified FROM lineitem GROUP BY l_returnflag""")
+def verification_tally(t):
+    return reports.verification_tally(t.lineitem.withColumnRenamed("l_returnflag", "stream"), F.col("l_linenumber") - 1, "stream")
+
+
+@query("""WITH d AS (SELECT l_suppkey, coalesce(max(l_linenumber) FILTER (l_returnflag = 'R'), 0) AS deepest, count(*) AS n FROM lineitem GROUP BY l_suppkey)
+SELECT deepest, count(*)::BIGINT AS domains, sum(n)::BIGINT AS urls FROM d GROUP BY deepest""")
+def deepest_tiers(t):
+    return reports.deepest_tiers(t.lineitem, "l_suppkey", F.col("l_returnflag") == "R", F.col("l_linenumber"))

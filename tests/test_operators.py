@@ -98,3 +98,19 @@ def test_streams(spark, tmp_path):
     assert {r["user_id"]: round(r["delay_ms"], 6) for r in paced} == {k: round(v, 6) for k, v in by_hand.items()}
     streams.write_new(stream, f"{tmp_path}/out", f"{tmp_path}/check", "event_id").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == batch.count()
+
+
+def test_blocks_and_lifts(spark):
+    from gristmill.operators import state
+
+    day = 86_400_000
+    rows = spark.createDataFrame(
+        [(1, 7, 0, 5, 2, None), (2, 7, 4, 5, 2, 99 * day), (3, 7, 3, 5, 2, 1), (4, 8, 4, 5, 2, 90 * day), (5, 8, 4, 5, 2, None), (6, 8, 1, 5, 2, 1), (7, None, 0, 5, 2, 1)],
+        "url_key int, pld_id int, state int, next_due_ms long, refresh_class int, last_fetch_ms long",
+    )
+    blocks = spark.createDataFrame([(7, None), (8, 100 * day)], "pld_id int, lifted_ms long")
+    out = {r.url_key: (r.effect, r.state, r.next_due_ms, r.refresh_class) for r in state.apply_blocks(rows, blocks).collect()}
+    assert out[1] == ("excluded", 4, state.NEVER, 2)
+    assert out[2] == (None, 4, 5, 2) and out[3] == (None, 3, 5, 2)
+    assert out[4] == ("restored", 0, 100 * day, 3) and out[5] == ("restored", 0, 100 * day, 5)
+    assert out[6] == (None, 1, 5, 2) and out[7] == (None, 0, 5, 2)
