@@ -97,5 +97,25 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
 """
 
 
+def _op11() -> str:
+    """Ten rounds are written out, each from the centroids of the one before."""
+    pick = lambda c: f"""SELECT vec_id, arg_min(c, d * 8 + c) AS c, min(d) AS d FROM (
+    SELECT vec_id, c, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN {c} USING (pos) GROUP BY vec_id, c) GROUP BY vec_id"""
+    parts = [
+        """v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, q -> q IS NOT NULL AND isfinite(q))) = 64)""",
+        """x AS MATERIALIZED (SELECT vec_id, i AS pos, floor(1024 * e[i])::BIGINT AS x FROM v, generate_series(1, 64) g(i))""",
+        """c0 AS MATERIALIZED (SELECT c, pos, x AS y FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM v QUALIFY c < 8) USING (vec_id))""",
+    ]
+    for k in range(10):
+        parts.append(f"a{k} AS MATERIALIZED ({pick(f'c{k}')})")
+        parts.append(f"""c{k + 1} AS MATERIALIZED (SELECT c, pos, coalesce(m, y) AS y FROM c{k} LEFT JOIN (
+    SELECT c, pos, ((s - ((s % n) + n) % n) // n)::BIGINT AS m FROM (SELECT c, pos, sum(x) AS s, count(*) AS n FROM x JOIN a{k} USING (vec_id) GROUP BY c, pos)) USING (c, pos))""")
+    parts.append(f"a10 AS MATERIALIZED ({pick('c10')})")
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a10 JOIN (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c10 GROUP BY c) USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op5_substring_dedup": OP5, "op3_decontamination": OP3, "op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9}
+    return {"op4_warc": OP4, "op5_substring_dedup": OP5, "op3_decontamination": OP3, "op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9, "op11_centroid_clustering": _op11()}

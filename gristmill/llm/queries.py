@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import bpe as bpe_op
+from gristmill.llm import centroid_clustering as centroid_op
 from gristmill.llm import decontaminate as decon_op
 from gristmill.llm import language_id as lang_op
 from gristmill.llm import line_dedup as lines_op
@@ -71,5 +72,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules_op.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroid_op.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op4_warc, op5_substring_dedup, op6_token_file, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op4_warc, op5_substring_dedup, op6_token_file, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules, op11_centroid_clustering)}
