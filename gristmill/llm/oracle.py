@@ -102,7 +102,7 @@ def _op11() -> str:
     pick = lambda c: f"""SELECT vec_id, arg_min(c, d * 8 + c) AS c, min(d) AS d FROM (
     SELECT vec_id, c, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN {c} USING (pos) GROUP BY vec_id, c) GROUP BY vec_id"""
     parts = [
-        """v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, q -> q IS NOT NULL AND isfinite(q))) = 64)""",
+        """v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda q: q IS NOT NULL AND isfinite(q))) = 64)""",
         """x AS MATERIALIZED (SELECT vec_id, i AS pos, floor(1024 * e[i])::BIGINT AS x FROM v, generate_series(1, 64) g(i))""",
         """c0 AS MATERIALIZED (SELECT c, pos, x AS y FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM v QUALIFY c < 8) USING (vec_id))""",
     ]
@@ -117,5 +117,47 @@ FROM a10 JOIN (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY pos)) AS cen
 """
 
 
+def _crc_table() -> str:
+    """The 256 entries of CRC-32 from its reflected polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(str(c))
+    return "[" + ", ".join(out) + "]::BIGINT[]"
+
+
+OP12 = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, """ + _LOWER.format("r") + r""" AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+), c AS MATERIALIZED (
+  SELECT doc_id, w, count(*) AS k FROM l WHERE length(w) >= 7 GROUP BY ALL
+), b AS (
+  SELECT *, hex(encode(doc_id || ':' || w)) AS x, """ + _crc_table() + r""" AS t FROM c
+), h AS MATERIALIZED (
+  SELECT w, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(x) // 2), lambda i: (16 * (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1)::BIGINT)),
+    lambda s, y: xor(s >> 8, t[(xor(s, y) & 255) + 1])), 4294967295) AS h FROM b
+), words AS MATERIALIZED (
+  SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), del AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, generate_series(1, length(word)) g(i)
+), pairs AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM del a JOIN del b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, d.word, d.n FROM words a JOIN del d ON a.word = d.rest
+  UNION SELECT d.word, a.word, a.n FROM words a JOIN del d ON a.word = d.rest
+), near AS (
+  SELECT word, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY word
+), best AS (
+  SELECT word, n_near, most, min(other) AS other FROM near JOIN pairs USING (word) WHERE pairs.n = most GROUP BY ALL
+), f AS MATERIALIZED (
+  SELECT word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 10 * words.n THEN other END AS form, CASE WHEN most >= 10 * words.n THEN most END AS form_n FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, form AS root, 1 AS step FROM f WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, f.form, step + 1 FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL
+)
+SELECT word, form, coalesce(r.root, word) AS root, n, n_near, form_n FROM f LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) r USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op5_substring_dedup": OP5, "op3_decontamination": OP3, "op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9, "op11_centroid_clustering": _op11()}
+    return {"op4_warc": OP4, "op5_substring_dedup": OP5, "op3_decontamination": OP3, "op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9, "op11_centroid_clustering": _op11(), "op12_spelling_variants": OP12}

@@ -15,6 +15,7 @@ from gristmill.llm import line_dedup as lines_op
 from gristmill.llm import near_dedup as near_op
 from gristmill.llm import quality_classifier as quality_op
 from gristmill.llm import quality_rules as rules_op
+from gristmill.llm import spelling_variants as spelling_op
 from gristmill.llm import substring_dedup as substring_op
 from gristmill.llm import token_file as token_op
 from gristmill.llm import warc as warc_op
@@ -78,5 +79,9 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_op.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op4_warc, op5_substring_dedup, op6_token_file, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules, op11_centroid_clustering)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op4_warc, op5_substring_dedup, op6_token_file, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules, op11_centroid_clustering, op12_spelling_variants)}
