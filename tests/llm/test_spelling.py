@@ -56,7 +56,7 @@ def texts(seed):
     r = random.Random(seed)
     common = ["".join(r.choice("abcé") for _ in range(r.randint(7, 19))) for _ in range(9)]
     rare = [altered(r, w) for w in common for _ in range(5)]
-    words = common * 210 + rare * 20 + [altered(r, w) for w in rare] * 2
+    words = common * 330 + rare * 26 + [altered(r, w) for w in rare] * 2
     r.shuffle(words)
     return [(i, r.choice([" ", ", ", "-"]).join(x if r.random() < 0.9 else x.upper() for x in words[k : k + 40])) for i, k in enumerate(range(0, len(words), 40))]
 
