@@ -159,5 +159,24 @@ SELECT word, form, coalesce(r.root, word) AS root, n, n_near, form_n FROM f LEFT
 """
 
 
+OP13 = r"""
+WITH b AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents
+), win AS MATERIALIZED (
+  SELECT doc_id, i AS pos, md5(array_to_string(bs[i : i + 49], '')) AS k FROM b, generate_series(1, greatest(len(bs) - 49, 0)) g(i)
+), own AS (
+  SELECT k, min(doc_id) AS owner FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)
+), gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 49)) AS p FROM win JOIN own USING (k) WHERE doc_id > owner
+), runs AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (lag IS NULL OR p > lag + 1) AS spans FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS lag FROM gone) GROUP BY doc_id
+), kept AS (
+  SELECT e.doc_id, string_agg(x, '' ORDER BY e.p) AS t FROM (SELECT doc_id, i AS p, bs[i] AS x FROM b, generate_series(1, len(bs)) g(i)) e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id
+)
+SELECT b.doc_id, len(bs)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM b LEFT JOIN runs USING (doc_id) LEFT JOIN kept ON kept.doc_id = b.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op5_substring_dedup": OP5, "op3_decontamination": OP3, "op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9, "op11_centroid_clustering": _op11(), "op12_spelling_variants": OP12}
+    return {"op4_warc": OP4, "op5_substring_dedup": OP5, "op3_decontamination": OP3, "op8_minhash_near_dedup": OP8, "op9_line_dedup": OP9, "op11_centroid_clustering": _op11(), "op12_spelling_variants": OP12, "op13_suffix_dedup": OP13}

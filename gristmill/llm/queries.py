@@ -17,6 +17,7 @@ from gristmill.llm import quality_classifier as quality_op
 from gristmill.llm import quality_rules as rules_op
 from gristmill.llm import spelling_variants as spelling_op
 from gristmill.llm import substring_dedup as substring_op
+from gristmill.llm import suffix_dedup as suffix_op
 from gristmill.llm import token_file as token_op
 from gristmill.llm import warc as warc_op
 from gristmill.llm.common import table
@@ -83,5 +84,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_op.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_op.suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op4_warc, op5_substring_dedup, op6_token_file, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules, op11_centroid_clustering, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_decontamination, op4_warc, op5_substring_dedup, op6_token_file, op7_bpe, op8_minhash_near_dedup, op9_line_dedup, op10_quality_rules, op11_centroid_clustering, op12_spelling_variants, op13_suffix_dedup)}
