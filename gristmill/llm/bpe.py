@@ -225,9 +225,15 @@ def _encode(path: str, digests: bool, keep: tuple[str, ...] = ()):
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, ids, decoded`` and the columns to ``keep``; one of them that has a name of the former is called ``input_`` and that name. ``path`` must be readable on every executor."""
+    """One row per input row: ``doc_id, n_tokens, ids, decoded`` and the columns to ``keep``; one of them that has a name of the former is called ``input_`` and that name, with ``input_`` repeated until no other column has it. ``path`` must be readable on every executor."""
     schema = StructType.fromDDL("doc_id long, n_tokens long, ids array<int>, decoded string")
-    kept = {f"_gm_{i}": f"input_{c}" if c in schema.names else c for i, c in enumerate(keep)}
+    taken, kept = {*schema.names, *(c.lower() for c in keep)}, {}
+    for i, c in enumerate(keep):
+        name = c
+        while name.lower() in schema.names or name != c and name.lower() in taken:
+            name = f"input_{name}"
+        kept[f"_gm_{i}"] = name
+        taken.add(name.lower())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)])
     out = rows.mapInArrow(_encode(path, False, tuple(kept)), StructType([*schema, *(rows.schema[k] for k in kept)]))
     return out.select(*schema.names, *[F.col(k).alias(c) for k, c in kept.items()])

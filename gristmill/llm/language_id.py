@@ -7,14 +7,16 @@ automaton into longest matches, which run across words; the language that needs
 fewest phrases wins, and phrases per symbol are its cross-parsing entropy. Whole
 texts are parsed, in segments of SEGMENT symbols side by side.
 
-The sample is about ``sample_docs`` documents a language, each of ``max_chars``
-code points at most; longer ones are not drawn, none is cut.
+The sample of a language is drawn by a hash among its documents of any length: about
+``sample_docs`` of them, whole, as long as ``sample_chars`` code points in all are not
+exceeded. Where no drawn document fits, the shortest of them is taken, so each
+language is learned. At most MOST_LANGUAGES labels are learned, the commonest ones
+(of equals the first in order); texts of others get the nearest of these.
 
 Rules: null texts and texts without a letter are ``und`` with score 0. Of equal
 languages the first in order wins. Where nothing can be learned every text is
 ``und``. Rows that repeat an id or have a null id are predicted like any other;
-those with a null id are never learned from. More than MOST_LANGUAGES labels
-raise an error.
+those with a null id are never learned from.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import words as W
-from gristmill.llm.common import carried, fold, restored, with_carried, worker_state
+from gristmill.llm.common import carried, durable, fold, restored, with_carried, worker_state
 from gristmill.llm.suffix_automaton import Parser, SuffixAutomaton
 
 HELD_OUT_FOLD = 2
@@ -42,21 +44,35 @@ MOST_LANGUAGES = 500
 BORDER, END, UNKNOWN, KNOWN = range(4)
 
 
-def learning_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, max_chars: int) -> dict[str, list[str]]:
+def chosen(drawn: list[tuple[int, int]], sample_chars: int) -> list[int]:
+    """Of one language's (hash, code points), in order, the hashes that fit into the total; the shortest if none does."""
+    out, left = [], sample_chars
+    for h, size in sorted(drawn):
+        if size <= left:
+            out.append(h)
+            left -= size
+    return out or [h for _, h in sorted((size, h) for h, size in drawn)[:1]]
+
+
+def learning_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int) -> dict[str, list[str]]:
     """Whole texts per language, drawn by a hash of id and text at the rate that makes about ``sample_docs`` of each language."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.char_length("text") <= max_chars) & (fold(F.col("doc_id")) != HELD_OUT_FOLD))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return {}
     scale = 1 << 30
     limit = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(scale, math.ceil(scale * sample_docs / n)))])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < limit[F.col("lang")]).select("lang", "text").distinct()
-    texts: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
-    for r in drawn.collect():
-        texts[r["lang"]].append(r["text"])
+    h = F.xxhash64("doc_id", "text")
+    drawn = durable(rows.where(F.pmod(h, F.lit(scale)) < limit[F.col("lang")]).select("lang", h.alias("h"), "text"), "drawn")
+    sizes: dict[str, set[tuple[int, int]]] = {}
+    for r in drawn.select("lang", "h", F.char_length("text").alias("size")).collect():  # about sample_docs rows a language
+        sizes.setdefault(r["lang"], set()).add((r["h"], r["size"]))
+    taken = {(lang, h) for lang, found in sizes.items() for h in chosen(list(found), sample_chars)}
+    texts: dict[str, set[str]] = {lang: set() for lang in sorted(sizes)}
+    for r in drawn.where(F.col("h").isin([h for _, h in taken])).collect():
+        if (r["lang"], r["h"]) in taken:
+            texts[r["lang"]].add(r["text"])
     return {lang: sorted(own) for lang, own in texts.items()}
 
 
@@ -141,26 +157,26 @@ def _predict(model: Broadcast, keep_text: bool = False):
 PREDICTED = "lang_pred string, score double, entropy double"
 
 
-def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, max_chars: int) -> Broadcast:
-    """The learning texts: at most about sample_docs * max_chars code points a language."""
-    texts = learning_texts(docs, id_col, text_col, lang_col, sample_docs, max_chars)
+def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int) -> Broadcast:
+    """The learning texts: at most sample_chars code points a language, or one document."""
+    texts = learning_texts(docs, id_col, text_col, lang_col, sample_docs, sample_chars)
     return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, texts))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_docs: int = 24, max_chars: int = 20_000) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_docs: int = 24, sample_chars: int = 200_000) -> DataFrame:
     """One row per input row: ``doc_id, held_out, lang_pred, score, entropy``. Learned from rows outside the held-out fold."""
-    model = _model(docs, id_col, text_col, lang_col, sample_docs, max_chars)
+    model = _model(docs, id_col, text_col, lang_col, sample_docs, sample_chars)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = texts.mapInArrow(_predict(model), "doc_id long, " + PREDICTED)
     return out.withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)))
 
 
-def apply_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_score: float = 0.3, sample_docs: int = 24, max_chars: int = 20_000) -> DataFrame:
+def apply_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_score: float = 0.3, sample_docs: int = 24, sample_chars: int = 200_000) -> DataFrame:
     """The documents whose language is told with at least ``min_score``, with ``lang`` set to it; all columns stay. Those with no letter go.
 
     The columns ride along with the prediction, so nothing is shuffled.
     """
-    model = _model(docs, id_col, text_col, lang_col, sample_docs, max_chars)
+    model = _model(docs, id_col, text_col, lang_col, sample_docs, sample_chars)
     rows = docs.select(F.col(text_col).alias("text"), *[c for c, name in zip(carried(docs), docs.columns) if name != text_col])
     out = rows.mapInArrow(_predict(model, True), with_carried(PREDICTED + ", text string", rows))
     told = out.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))

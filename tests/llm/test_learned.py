@@ -6,7 +6,8 @@ from collections import Counter
 
 import numpy as np
 from cases import ODD, corpus
-from gristmill.llm.language_id import SEGMENT, Languages, apply_language_id, identify
+from gristmill.llm import language_id
+from gristmill.llm.language_id import SEGMENT, Languages, apply_language_id, chosen, identify
 from gristmill.llm.quality_classifier import fit, lasso_logistic, quality_scores
 from gristmill.llm.quality_rules import decision_list, quality_rules
 from gristmill.llm.rules import Condition, simplified
@@ -157,3 +158,39 @@ def test_language_id(spark, odd, none):
     assert {r["lang_pred"] for r in identify(odd.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
     kept = apply_language_id(odd)
     assert kept.columns == odd.columns and None not in {r["lang"] for r in kept.collect()}
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    r = random.Random(6)
+    write = lambda stems, n: " ".join("".join(r.choice(stems.split()) for _ in range(3)) for _ in range(n))
+    rows = [(i, write("ka to mi re", 30), "xx") for i in range(20)] + [(100 + i, write("sch ung ein tz", 3000), "yy") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(docs, sample_chars=5000).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_sample_of_a_language():
+    assert chosen([(3, 40), (1, 50), (2, 30), (4, 10)], 95) == [1, 2, 4]
+    assert chosen([(3, 40), (1, 50)], 10) == [3] and chosen([], 10) == []
+
+
+def test_more_labels_than_are_learned(spark):
+    """The commonest labels are learned, none raises."""
+    rows = [(i, "abc def ghi " * 3, f"l{i % 690:03}") for i in range(700)] + [(1000 + i, "xyz uvw rst " * 3, "zz") for i in range(40)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got if r["doc_id"] >= 1000} == {"zz"}
+    assert len({r["lang_pred"] for r in got}) <= language_id.MOST_LANGUAGES
+
+
+def test_choice_of_language_against_the_parse(spark):
+    """identify()'s language is the one of fewest phrases, and its score falls with the others' lead, by the automata themselves."""
+    import math
+
+    docs = language_docs(spark)
+    texts = language_id.learning_texts(docs, "doc_id", "text", "lang", 24, 200_000)
+    plain = {lang: SuffixAutomaton([s for t in own for s in [*(" " + "".join(w + " " for w in re.findall(r"[^\W\d_]+", t.lower()))), "\n"]]) for lang, own in texts.items()}
+    for r in identify(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        w = " " + "".join(x + " " for x in re.findall(r"[^\W\d_]+", r["text"].lower()))
+        p = {lang: sum(a.phrases(w[k : k + SEGMENT]) for k in range(0, len(w), SEGMENT)) for lang, a in plain.items()}
+        best = min(p, key=lambda lang: (p[lang], lang))
+        assert r["lang_pred"] == best and math.isclose(r["score"], 1 / sum(math.exp(-(x - p[best]) / math.sqrt(1 + p[best])) for x in p.values()))

@@ -136,6 +136,9 @@ def test_bpe_keeps_columns_with_its_own_names(spark):
     out = encode(docs, WORD_BPE, keep=["ids", "n_tokens", "source"])
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded", "input_ids", "input_n_tokens", "source"]
     assert out.select("input_ids", "input_n_tokens", "source").first() == ("a", 5, "b")
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id long, text string, n_tokens int, input_n_tokens int, input_input_n_tokens int")
+    out = encode(docs, WORD_BPE, keep=["n_tokens", "input_n_tokens", "input_input_n_tokens"])
+    assert len({c.lower() for c in out.columns}) == 7 and out.first()[4:] == (5, 6, 7)
 
 
 def test_search_tables_of_a_large_benchmark_are_small():
