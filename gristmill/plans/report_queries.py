@@ -115,7 +115,24 @@ def exact_dup_join(t):
     return docs.join(clusters.exact_clusters(t.documents), "digest").select("doc_id", "first_doc")
 
 
-@query(r"""WITH d AS (SELECT source, sha256(trim(regexp_replace(text, '[ \t\n\f\r]+', ' ', 'g'))) AS digest FROM documents), c AS (SELECT source, digest, count(*) AS n FROM d GROUP BY ALL)
+#: Near-duplicate classes from all pairs: distinct collapsed texts, their sets of 5-token shingles, every pair at 75 percent, components.
+NEAR = r"""x AS MATERIALIZED (SELECT source, doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\f\r]+', ' ', 'g')) AS t FROM documents),
+u AS MATERIALIZED (SELECT t, min(doc_id) AS rep FROM x GROUP BY t), w AS (SELECT rep, string_split(t, ' ') AS ws FROM u),
+s AS MATERIALIZED (SELECT DISTINCT rep, array_to_string(ws[i : i + 4], ' ') AS sh FROM w, generate_series(1, greatest(len(ws) - 4, 1)) g(i)),
+k AS MATERIALIZED (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+link AS MATERIALIZED (SELECT a, b FROM (SELECT p.rep AS a, q.rep AS b, count(*) AS shared FROM s p JOIN s q USING (sh) WHERE p.rep < q.rep GROUP BY ALL) y
+  JOIN k ka ON ka.rep = a JOIN k kb ON kb.rep = b WHERE 100 * shared >= 75 * (ka.n + kb.n - shared)),
+e AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+r AS (SELECT a AS node, least(a, b) AS reach FROM e UNION SELECT e.b, r.reach FROM r JOIN e ON e.a = r.node),
+near AS MATERIALIZED (SELECT source, doc_id, coalesce(c.comp, rep)::BIGINT AS cluster FROM x JOIN u USING (t) LEFT JOIN (SELECT node, min(reach) AS comp FROM r GROUP BY node) c ON c.node = rep)"""
+
+
+@query(f"WITH RECURSIVE {NEAR} SELECT doc_id, cluster FROM near")
+def near_dup_clusters(t):
+    return clusters.near_clusters(t.documents)
+
+
+@query(f"""WITH RECURSIVE {NEAR}, c AS (SELECT source, cluster, count(*) AS n FROM near GROUP BY ALL)
 SELECT source, sum(n)::BIGINT AS docs, max(n)::BIGINT AS commonest, max(n) * 10 > sum(n) * 6 AS soft_404 FROM c GROUP BY source""")
 def soft_404_hosts(t):
     return clusters.top_share(t.documents)

@@ -133,11 +133,6 @@ def near_dup_pairs(t):
     return clusters.near_candidates(t.documents)
 
 
-@query()
-def near_dup_clusters(t):
-    return clusters.near_clusters(t.documents)
-
-
 @query(f"""WITH t AS (SELECT 'd' AS kind, doc_id AS id, string_split({_CLEAN}, ' ') AS t FROM documents UNION ALL SELECT 'b', item_id, string_split({_CLEAN}, ' ') FROM benchmark),
 s AS (SELECT DISTINCT kind, id, md5(array_to_string(t[i : i + 4], ' '))[:7] AS h FROM t, generate_series(1, len(t) - 4) g(i) WHERE len(t) >= 5)
 SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS shared FROM s d JOIN s b USING (h) WHERE d.kind = 'd' AND b.kind = 'b' GROUP BY ALL HAVING count(*) >= 3""")
