@@ -3,9 +3,9 @@
 Two strings of ``window`` bytes are equal if their suffixes stand side by side in a
 sorted list of all suffixes. A sample of suffixes is enough: in each window the least hash
 of its ``base``-byte strings marks an *anchor*, and equal windows have equal anchors at
-equal offsets (about 2 of 32 positions).
+equal offsets (about 2 of 36 positions).
 
-1. A task sorts the anchors' suffixes of about 8 MB of texts, ``base`` bytes of each, into
+1. A task sorts the anchors' suffixes of about 16 MB of texts, ``base`` bytes of each, into
    a run of distinct ones with their least doc_id. Runs are front-coded and written.
 2. Key ranges are cut by a sample of the runs; the parts of the runs are exchanged, front-coded,
    and merged by a loser tree that never reads a known common prefix again
@@ -32,6 +32,7 @@ cause no loss. What remains need not be valid UTF-8, so it is binary.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +47,9 @@ from gristmill.llm.common import durable, scratch_path
 from gristmill.operators.hot import join_by_share
 
 #: Bytes of texts whose anchors are sorted into one run.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 16 << 20
 #: Windows whose hashes are held at once.
-PIECE = 1 << 20
+PIECE = 1 << 17
 #: A key of a run in so many is in the sample that cuts ranges.
 SAMPLED = 512
 #: Keys of a range on average.
@@ -58,7 +59,7 @@ _TIMES = [np.uint64(int(x) | 1) for x in np.random.Generator(np.random.PCG64(13)
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash, never 0, of the ``size`` bytes from each position on, of overlapping eight-byte words."""
+    """A hash of the ``size`` bytes from each position on, of overlapping eight-byte words."""
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -67,11 +68,11 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     for step in (1, 2, 4):
         x = x[:-step] | x[step:] << np.uint64(8 * step)
     if size < 8:
-        return W.mix(x[:n] & np.uint64((1 << 8 * size) - 1)) | np.uint64(1)
+        return W.mix(x[:n] & np.uint64((1 << 8 * size) - 1))
     out = np.zeros(n, np.uint64)
     for i, at in enumerate([*range(0, size - 8, 8), size - 8]):
         out += x[at : at + n] * _TIMES[i % len(_TIMES)] ** np.uint64(1 + i // len(_TIMES))
-    return W.mix(out) | np.uint64(1)
+    return W.mix(out)
 
 
 def _slide(x: np.ndarray, span: int, pick) -> np.ndarray:
@@ -94,9 +95,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, base: int) -> np
     for a in range(0, max(0, len(data) - window + 1), PIECE):
         b = min(a + PIECE, len(data) - window + 1)
         if whole[a:b].any():
-            h = gram_hashes(data[a : b + window - 1], base)
-            least = np.where(whole[a:b], _slide(h, span, np.minimum), np.uint64(0))
-            pad = np.zeros(span - 1, np.uint64)
+            h = (gram_hashes(data[a : b + window - 1], base) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            least = np.where(whole[a:b], _slide(h, span, np.minimum), np.uint32(0))
+            pad = np.zeros(span - 1, np.uint32)
             found.append(a + np.flatnonzero(h == _slide(np.concatenate([pad, least, pad]), span, np.maximum)))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
@@ -176,16 +177,13 @@ PIECE_DDL = "range long, run long, first long, piece binary"
 
 def _pieces(splitters: list[bytes], width: int):
     """Each run cut at the splitters: (range, run, number of the first key, front-coded keys)."""
-    cuts = np.frombuffer(b"".join(splitters), np.uint8).reshape(-1, width)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column("run").to_pylist(), batch.column("num")):
                 rows, lcp, owner, many = S.unpack(blob.as_py(), width)
-                both = np.concatenate([cuts, rows])  # a splitter before the keys equal to it
-                order = S.sort_keys(both)[0]
-                at = np.flatnonzero(order < len(cuts)) - np.arange(len(cuts))
-                bounds = [0, *at.tolist(), len(rows)]
+                raw = rows.tobytes()
+                at = [bisect_left(range(len(rows)), cut, key=lambda i: raw[i * width : (i + 1) * width]) for cut in splitters]
+                bounds = [0, *at, len(rows)]
                 out = [(k, name, a, S.pack(rows[a:b], lcp[a:b], owner[a:b], many[a:b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["range", "run", "first", "piece"])
 
@@ -244,8 +242,8 @@ def _contexts(window: int, base: int, sampled: int):
         at, name = local + offsets[row], docs.column("run")[0].as_py()
         keys, padded = np.zeros((len(at), window + before + 2), np.uint8), np.concatenate([np.zeros(before, np.uint8), data, np.zeros(window, np.uint8)])
         after, ahead = np.minimum(offsets[row + 1] - at, window), np.minimum(local, before)
-        for a in range(0, len(at), PIECE // 16):
-            p = slice(a, a + PIECE // 16)
+        for a in range(0, len(at), PIECE):
+            p = slice(a, a + PIECE)
             right = padded[at[p, None] + before + np.arange(window)]
             left = padded[at[p, None] + before - 1 - np.arange(before)]
             keys[p, :window] = np.where(np.arange(window) < after[p, None], right, 0)
@@ -383,7 +381,7 @@ def _splitters(runs: DataFrame, range_keys: int) -> tuple[list[bytes], int]:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 50, base: int | None = None, range_keys: int = RANGE_KEYS, sampled: int = SAMPLED) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes)."""
-    base = base or max(1, 2 * window // 5)
+    base = base or max(1, window // 3)
     if not 1 <= base <= window < 128:
         raise ValueError("a window has 1 to 127 bytes and an anchor no more than that")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -18,12 +18,26 @@ import pyarrow as pa
 
 
 def sort_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the rows as byte strings, and what each sorted row shares with the one before it."""
+    """The order of the rows as byte strings (of equal rows the first first), and what each sorted row shares with the one before it.
+
+    Rows are sorted by eight bytes at a time, after the first only those that are still tied.
+    """
     n, width = keys.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = keys
-    words = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1]) if n else np.zeros(0, np.int64)
+    words = padded.view(">u8")
+    order, tied, group = np.arange(n), np.arange(n), np.zeros(n, np.int64)
+    for k in range(words.shape[1]):
+        value = words[order[tied], k].astype(np.uint64)
+        by = np.lexsort((value, group)) if k else np.argsort(value, kind="stable")
+        order[tied] = order[tied][by]
+        value, group = value[by], group[by]
+        same = np.zeros(len(tied) + 1, bool)
+        same[1:-1] = (value[1:] == value[:-1]) & (group[1:] == group[:-1])
+        still = same[:-1] | same[1:]
+        tied, group = tied[still], np.cumsum(~same[:-1])[still]
+        if not len(tied):
+            break
     return order, shared(keys[order])
 
 
@@ -43,7 +57,7 @@ def pack(rows: np.ndarray, lcp: np.ndarray, owner: np.ndarray, many: np.ndarray)
     tails = rows[np.arange(rows.shape[1]) >= lcp[:, None]]
     planes = owner.astype("<i8").view(np.uint8).reshape(-1, 8).T
     raw = b"".join([np.array([len(rows), len(tails)], "<i8").tobytes(), lcp.tobytes(), tails.tobytes(), planes.tobytes(), many.astype(np.uint8).tobytes()])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,9 +66,9 @@ def unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     lcp, tails, planes, many = np.split(raw[16:], np.cumsum([n, size, 8 * n]))
     rows = np.zeros((n, width), np.uint8)
     rows[np.arange(width) >= lcp[:, None]] = tails
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     for k in range(width):  # what a row shares stands in the last row that shared less
-        rows[:, k] = rows[np.maximum.accumulate(np.where(lcp <= k, at, 0)), k]
+        rows[:, k] = rows[np.maximum.accumulate(np.where(lcp <= k, at, np.int32(0))), k]
     return rows, lcp, np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel(), many.astype(bool)
 
 
@@ -94,12 +108,24 @@ def merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     for t in range(total):
         out[t], shares[t] = best, common[best]
         at = place[best] = place[best] + 1
-        head[best], common[best] = keys[best][at], lcps[best][at]
+        head[best], p = keys[best][at], lcps[best][at]
+        common[best] = p
         node = (best + k) >> 1
         while node:
             other = tree[node]
-            p, q = common[best], common[other]
-            if p < q or p == q and loser(best, other):
-                tree[node], best = best, other
+            q = common[other]
+            lost = p < q
+            if p == q:
+                if p < 0:
+                    lost = best > other
+                else:
+                    x, y = head[best], head[other]
+                    while p < width and x[p] == y[p]:
+                        p += 1
+                    lost = best > other if p == width else x[p] > y[p]
+                    common[best if lost else other] = p
+                    p = q
+            if lost:
+                tree[node], best, p = best, other, q
             node >>= 1
     return np.array(out, np.int32), np.array(shares, np.uint8)
