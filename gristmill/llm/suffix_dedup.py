@@ -10,7 +10,8 @@ equal offsets (about 2 of 36 positions).
 2. Key ranges are cut by a sample of the runs; the parts of the runs are exchanged, front-coded,
    and merged by a loser tree that never reads a known common prefix again
    (``suffix_runs``). Suffixes of two documents or more survive.
-3. Surviving anchors are sorted and merged in the same way with all bytes around them that a
+3. Texts that copy one of a smaller doc_id as a whole are known by a digest and lose all. Surviving
+   anchors of the others are sorted and merged in the same way with all bytes around them that a
    window can hold: ``window`` bytes from the anchor on and, backwards, ``window - base``
    bytes before it. Anchors equal in all of these are a class, and its least doc_id owns it:
    every other document loses the windows round that anchor.
@@ -31,6 +32,7 @@ cause no loss. What remains need not be valid UTF-8, so it is binary.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -120,13 +122,13 @@ def _run_columns(keys: np.ndarray, owner: np.ndarray, sampled: int) -> tuple[np.
     return number, S.pack(rows, lcp[at], low, low < high), [r.tobytes() for r in rows[sampled // 2 :: sampled]]
 
 
-RUN_DDL = "kind int, run long, row int, doc_id long, text string, pos binary, num binary, n long, keys array<binary>"
+RUN_DDL = "kind int, run long, row int, doc_id long, text string, pos binary, num binary, n long, keys array<binary>, digest binary"
 #: What a row of a table of runs is.
 DOC, RUN = 0, 1
 
 
 def _rows(kind: int, run: int, count: int, **columns) -> pa.RecordBatch:
-    types = {"row": pa.int32(), "doc_id": pa.int64(), "text": pa.string(), "pos": pa.binary(), "num": pa.binary(), "n": pa.int64(), "keys": pa.list_(pa.binary())}
+    types = {"row": pa.int32(), "doc_id": pa.int64(), "text": pa.string(), "pos": pa.binary(), "num": pa.binary(), "n": pa.int64(), "keys": pa.list_(pa.binary()), "digest": pa.binary()}
     full = {"kind": pa.array([kind] * count, pa.int32()), "run": pa.array([run] * count, pa.int64())}
     for c, t in types.items():
         x = columns.get(c)
@@ -153,7 +155,8 @@ def _sorted_runs(window: int, base: int, sampled: int):
             number, packed, sample = _run_columns(keys, np.asarray(pc.fill_null(ids, 0))[row], sampled)
             yield _rows(RUN, run, 1, num=[packed], n=[int(number.max()) + 1], keys=[sample])
         local = (at - offsets[row]).astype(np.int32)
-        yield _rows(DOC, run, n, row=pa.array(np.arange(n, dtype=np.int32)), doc_id=ids, text=part.column("text"), pos=[_bytes(x, "<i4") for x in _split(local, row, n)], num=[_bytes(x, "<i4") for x in _split(number, row, n)])
+        digest = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        yield _rows(DOC, run, n, row=pa.array(np.arange(n, dtype=np.int32)), doc_id=ids, text=part.column("text"), pos=[_bytes(x, "<i4") for x in _split(local, row, n)], num=[_bytes(x, "<i4") for x in _split(number, row, n)], digest=digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -230,12 +233,16 @@ def _contexts(window: int, base: int, sampled: int):
             return pa.Table.from_batches([empty])
         docs = docs.sort_by("row").combine_chunks()
         data, offsets = W.flat(docs.column("text"))
+        copies, bits = bits.column("row").drop_null().to_pylist(), bits.filter(pc.is_valid(bits.column("bits")))
+        if not bits.num_rows:
+            return pa.Table.from_batches([empty])
         alive = np.zeros(max(f + n for f, n in zip(bits.column("first").to_pylist(), bits.column("n").to_pylist())), bool)
         for f, n, b in zip(*(bits.column(c).to_pylist() for c in ("first", "n", "bits"))):
             alive[f : f + n] = np.unpackbits(np.frombuffer(b, np.uint8), count=n)
         local, number = ([np.frombuffer(x, "<i4") for x in docs.column(c).to_pylist()] for c in ("pos", "num"))
         row = np.repeat(np.arange(docs.num_rows), [len(x) for x in local])
         keep = alive[np.concatenate(number)] if len(row) else np.zeros(0, bool)
+        keep &= ~np.isin(row, copies)
         row, local = row[keep], np.concatenate(local)[keep].astype(np.int64)
         if not len(row):
             return pa.Table.from_batches([empty])
@@ -324,7 +331,10 @@ def _removed(window: int, base: int):
         docs = docs.sort_by("row").combine_chunks()  # every run has texts
         data, offsets = W.flat(docs.column("text"))
         edge, n = np.zeros(len(data) + 1, np.int32), docs.num_rows
-        found, patches, own = (marks.filter(pc.equal(marks.column("kind"), k)) for k in (2, 3, DOC))
+        found, patches, copies, own = (marks.filter(pc.equal(marks.column("kind"), k)) for k in (2, 3, 4, DOC))
+        copied = np.array(copies.column("row").to_pylist(), np.int64)
+        np.add.at(edge, offsets[copied], 1)
+        np.add.at(edge, offsets[copied + 1], -1)
         if own.num_rows and found.num_rows:
             size = max(f + m for f, m in zip(found.column("first").to_pylist(), found.column("n").to_pylist()))
             owner, mask = np.zeros(size, np.int64), np.zeros((size, before + 1), bool)
@@ -390,12 +400,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts, _ = _splitters(runs, range_keys)
     pieces = runs.select("run", "num").mapInArrow(_pieces(cuts, base), PIECE_DDL)
     bits = durable(pieces.groupBy("range").applyInArrow(_surviving(base), "run long, first long, n long, bits binary"), "surviving")
-    around = durable(lying.groupBy("run").cogroup(bits.groupBy("run")).applyInArrow(_contexts(window, base, sampled), RUN_DDL), "contexts")
+    # Copies of a whole text of a smaller doc_id lose all of it, and have nothing to add to step 3.
+    digests = first.where(f"kind = {DOC} AND doc_id IS NOT NULL AND octet_length(text) >= {window}").select("run", "row", "doc_id", "digest")
+    least = durable(digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("least < last").select("digest", "least", "n"), "least")
+    copies = durable(join_by_share(digests, least, ["digest"]).where("doc_id > least").select("run", "row"), "copies")
+    around = durable(lying.groupBy("run").cogroup(bits.unionByName(copies, allowMissingColumns=True).groupBy("run")).applyInArrow(_contexts(window, base, sampled), RUN_DDL), "contexts")
     runs = around.where(f"kind = {RUN}").select("run", "num", "n", "keys")
     cuts, _ = _splitters(runs, range_keys)
     pieces = runs.select("run", "num").mapInArrow(_pieces(cuts, 2 * window - base + 2), PIECE_DDL)
     found = durable(pieces.groupBy("range").applyInArrow(_classes(cuts, window, base), FOUND_DDL), "classes")
-    marks = around.where(f"kind = {DOC}").selectExpr("kind", "run", "row", "pos", "num").unionByName(found.where("owners is not null").selectExpr("2 AS kind", "run", "first", "n", "owners", "masks"), allowMissingColumns=True)
+    marks = around.where(f"kind = {DOC}").selectExpr("kind", "run", "row", "pos", "num").unionByName(copies.selectExpr("4 AS kind", "run", "row"), allowMissingColumns=True)
+    marks = marks.unionByName(found.where("owners is not null").selectExpr("2 AS kind", "run", "first", "n", "owners", "masks"), allowMissingColumns=True)
     if cuts:
         windows = durable(found.where("window is not null").select("window", "owner", "class", "off"), "windows")
         least = durable(windows.groupBy("window").agg(F.min("owner").alias("least"), F.max("owner").alias("last"), F.count("*").alias("n")).where("least < last").select("window", "least", "n"), "least")
