@@ -6,7 +6,7 @@ from gristmill.plans.registry import QUERIES, SQL, Query
 
 
 def _load() -> None:
-    from gristmill.plans import page_queries, report_queries, rule_queries, sql, state_queries, text_queries  # noqa: F401
+    from gristmill.plans import flow_queries, page_queries, report_queries, rule_queries, sql, state_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
