@@ -63,3 +63,19 @@ def agreement(a: list[Column], b: list[Column]) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def simhashes(docs: DataFrame) -> DataFrame:
+    """``doc_id, simhash`` of every document id: a bit is set where more 64-bit hashes of runs of TOKENS tokens, repeats included, have it than not.
+
+    0 for texts of fewer tokens and null ones. One vote a bit and run, summed where the runs arise; rows that repeat an id vote together.
+    """
+    tokens = docs.select("doc_id", F.split(collapse(F.col("text")), " ").alias("t"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - TOKENS + 1, F.lit(1))), lambda i: F.array_join(F.slice("t", i, TOKENS), " "))
+    each = tokens.select("doc_id", F.explode_outer(F.when(F.size("t") >= TOKENS, runs)).alias("s"))
+    half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("long")
+    halves = each.select("doc_id", F.md5("s").alias("m")).select("doc_id", half(1).alias("high"), half(9).alias("low"))
+    votes = [F.sum(F.getbit(c, F.lit(b)).cast("int")).alias(f"{c}{b}") for c in ("high", "low") for b in range(32)]
+    counted = halves.groupBy("doc_id").agg(F.count("high").alias("n"), *votes)
+    word = lambda c: reduce(Column.__add__, [F.when(2 * F.col(f"{c}{b}") > F.col("n"), 1 << b).otherwise(0).cast("long") for b in range(32)])
+    return counted.select("doc_id", F.shiftleft(word("high"), 32).bitwiseOR(word("low")).alias("simhash"))

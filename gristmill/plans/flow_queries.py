@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.operators import completion, pressure
+from gristmill.operators import completion, discovery, pressure
 from gristmill.plans.registry import query
 from gristmill.plans.state_queries import NOW, WITH
 from gristmill.sources.crawl_tables import fetches, hosts, ledger, millis
@@ -151,3 +151,35 @@ def backpressure_levels(t):
 @query(_LADDERS + " SELECT machine, at_ms, fetch_id, was AS before, disk_level AS level FROM f WHERE i > 0 AND was <> disk_level")
 def backpressure_moves(t):
     return pressure.transitions(durable(_levels(t), "levels"), ["machine"], ["at_ms", "fetch_id"], "disk", chunk_ms=DAY)
+
+
+_SITEMAPS = """files AS (SELECT 's' || o_orderkey AS file, CAST(floor(o_totalprice / 10000) AS BIGINT) AS n_urls, o_orderkey % 7 <> 0 AS allowed FROM orders),
+nested AS (SELECT 's' || l_orderkey AS file, l_linenumber AS place, 's' || (l_orderkey + 40 * l_partkey + (l_linenumber = 7)::INT) % 20000 AS target FROM lineitem),
+starts AS (SELECT DISTINCT c_custkey % 40 AS origin, 's' || (c_custkey % 40 + 40 * (c_custkey % 13)) AS file, c_custkey % 13 AS place FROM customer),
+w AS (SELECT origin, file, 0 AS depth, lpad(place::VARCHAR, 8, '0') || file || ' ' AS way FROM starts UNION ALL
+  SELECT w.origin, n.target, depth + 1, way || lpad(n.place::VARCHAR, 8, '0') || n.target || ' ' FROM w JOIN files f USING (file) JOIN nested n USING (file) WHERE depth < 3 AND allowed AND substr(w.file, 2)::BIGINT % 40 = w.origin),
+d AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY origin, file ORDER BY depth, way) = 1),
+k AS (SELECT d.*, n_urls, CASE WHEN substr(file, 2)::BIGINT % 40 <> origin THEN 'off_origin' WHEN n_urls IS NULL THEN 'missing' WHEN NOT allowed THEN 'disallowed' ELSE 'fetched' END AS fate FROM d LEFT JOIN files USING (file)),
+c AS (SELECT *, coalesce(count(*) FILTER (fate = 'fetched') OVER p, 0) AS nf, coalesce(sum(n_urls) FILTER (fate = 'fetched') OVER p, 0) AS nu FROM k WINDOW p AS (PARTITION BY origin ORDER BY depth, way ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, nf >= 60 OR nu >= 900 AS capped, CASE WHEN fate = 'fetched' AND nf < 60 AND nu < 900 THEN least(n_urls, 900 - nu) ELSE 0 END AS taken FROM c)"""
+
+
+def _sitemaps(t):
+    files = t.orders.select(F.concat(F.lit("s"), "o_orderkey").alias("file"), F.floor(F.col("o_totalprice") / 10_000).cast("long").alias("n_urls"), (F.col("o_orderkey") % 7 != 0).alias("allowed"))
+    target = (F.col("l_orderkey") + 40 * F.col("l_partkey") + (F.col("l_linenumber") == 7).cast("int")) % 20_000
+    nested = t.lineitem.select(F.concat(F.lit("s"), "l_orderkey").alias("file"), F.col("l_linenumber").alias("place"), F.concat(F.lit("s"), target).alias("target"))
+    key = F.col("c_custkey")
+    starts = t.customer.select((key % 40).alias("origin"), (key % 13).alias("place"), F.concat(F.lit("s"), key % 40 + 40 * (key % 13)).alias("file"))
+    own = F.substring("file", 2, 18).cast("long") % 40 == F.col("origin")
+    return discovery.discover(starts, files, nested, max_depth=3, max_files=60, max_urls=900, same_origin=own)
+
+
+@query("WITH RECURSIVE " + _SITEMAPS + " SELECT origin, file, depth, CASE WHEN capped THEN 'capped' ELSE fate END AS fate, taken::BIGINT AS taken FROM x")
+def sitemap_discovery(t):
+    return _sitemaps(t).select("origin", "file", "depth", "fate", "taken")
+
+
+@query("WITH RECURSIVE " + _SITEMAPS + """ SELECT origin, count(*) FILTER (fate = 'fetched' AND NOT capped)::BIGINT AS files, sum(taken)::BIGINT AS urls, count(*) FILTER (fate = 'off_origin' AND NOT capped)::BIGINT AS off_origin,
+  count(*) FILTER (fate = 'disallowed' AND NOT capped)::BIGINT AS disallowed, count(*) FILTER (fate = 'missing' AND NOT capped)::BIGINT AS missing, bool_or(capped OR fate = 'fetched' AND taken < n_urls) AS truncated FROM x GROUP BY origin""")
+def sitemap_report(t):
+    return discovery.discovery_report(_sitemaps(t))

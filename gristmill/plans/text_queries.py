@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.functions import classify, fingerprint, html, robots, schedule, urls
-from gristmill.operators import clusters, folds, sampling
+from gristmill.operators import clusters, folds, hamming, sampling
 from gristmill.plans.registry import query
 from gristmill.plans.state_queries import WITH
 from gristmill.sources.crawl_tables import fetches
+from gristmill.storage import durable
 from gristmill.streaming import events as streams
 
 _URL = r"'^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
@@ -115,6 +116,23 @@ def near_dup_sketch(t):
     return fingerprint.sketches(t.documents).select("doc_id", F.concat_ws(",", *[F.col(s).cast("string") for s in _SLOTS]).alias("sketch"))
 
 
+_VOTES = ", ".join(f"sum(((h{w} >> {b}) & 1) * 2 - 1) AS {w}{b}" for w in "ab" for b in range(32))
+_SIMHASH = f"""t AS (SELECT doc_id, string_split({_CLEAN}, ' ') AS t FROM documents), s AS (SELECT doc_id, md5(array_to_string(t[i : i + 4], ' ')) AS m FROM t, generate_series(1, len(t) - 4) g(i)),
+v AS (SELECT doc_id, {_VOTES} FROM (SELECT doc_id, CAST('0x' || left(m, 8) AS BIGINT) AS ha, CAST('0x' || substr(m, 9, 8) AS BIGINT) AS hb FROM s) GROUP BY doc_id),
+sim AS MATERIALIZED (SELECT doc_id, {' + '.join(f'CASE WHEN a{b} > 0 THEN {1 << b}::BIGINT ELSE 0 END' for b in range(32))} AS high, {' + '.join(f'CASE WHEN b{b} > 0 THEN {1 << b}::BIGINT ELSE 0 END' for b in range(32))} AS low FROM v)"""
+
+
+@query(f"WITH {_SIMHASH} SELECT d.doc_id, coalesce(high, 0)::BIGINT AS high, coalesce(low, 0)::BIGINT AS low FROM documents d LEFT JOIN sim USING (doc_id)")
+def simhashes(t):
+    return fingerprint.simhashes(t.documents).select("doc_id", F.shiftrightunsigned("simhash", 32).alias("high"), F.col("simhash").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
+
+
+@query(f"""WITH {_SIMHASH}, u AS MATERIALIZED (SELECT high, low, min(doc_id) AS first, count(*)::BIGINT AS n FROM sim WHERE high + low > 0 GROUP BY high, low)
+SELECT x.first AS a, y.first AS b, (bit_count(xor(x.high, y.high)) + bit_count(xor(x.low, y.low)))::INTEGER AS bits, x.n AS n_a, y.n AS n_b FROM u x JOIN u y ON x.first < y.first AND bit_count(xor(x.high, y.high)) + bit_count(xor(x.low, y.low)) <= 3""")
+def simhash_pairs(t):
+    return hamming.close_pairs(durable(fingerprint.simhashes(t.documents), "simhashes"))
+
+
 _BANDS = " UNION ALL ".join(f"SELECT doc_id, md5(concat_ws(',', {b}, {', '.join(_SLOTS[b * 8 : b * 8 + 8])})) AS band FROM k" for b in range(8))
 
 
