@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Substrings of challenge pages, by vendor, in order of test (fixed values).
-CHALLENGES = (("cloudflare", "cf-chl"), ("cloudflare", "just a moment..."), ("datadome", "datadome"), ("perimeterx", "px-captcha"), ("generic", "verify you are human"))
-APP_ROOTS = ('id="root"', 'id="app"', 'id="__next"')
+#: Substrings of challenge pages, by vendor, in order of test (fixed values); none is in ordinary pages about the vendor.
+CHALLENGES = (
+    ("cloudflare", "cf-browser-verification"), ("cloudflare", "cf_chl_opt"), ("cloudflare", "just a moment..."), ("cloudflare", "checking your browser before accessing"),
+    ("cloudflare", "attention required! | cloudflare"), ("cloudflare", "enable javascript and cookies to continue"), ("datadome", "captcha-delivery.com"), ("datadome", "datadome.co/customers-protection"),
+    ("imperva", "_incapsula_resource"), ("imperva", "incapsula incident id"), ("perimeterx", "px-captcha"), ("perimeterx", "/_px/"), ("akamai", "akamaighost"), ("akamai", "errors.edgesuite.net"),
+    ("sucuri", "sucuri website firewall"), ("aws waf", "captcha.awswaf.com"), ("aws waf", "awswaf-captcha"), ("generic", "ddos protection by"),
+)
+#: What an application shell has (fixed values).
+APP_ROOTS = ("<noscript", "data-reactroot", "__next_data__", "ng-app", 'id="root"', 'id="app"', "id='root'")
+SCAN_CHARS = 16_384
 #: Leading bytes as hex, and what they mean (fixed values).
 MAGICS = (("25504446", "pdf"), ("89504E47", "image"), ("FFD8FF", "image"), ("47494638", "image"), ("504B0304", "archive"), ("1F8B", "archive"))
 
@@ -37,7 +44,7 @@ def status_class(status: Column) -> Column:
 
 def challenge(body: Column, text_chars: Column) -> Column:
     """The vendor of a challenge page with under 200 characters of text, else null."""
-    head = F.lower(F.substring(body, 1, 16_384))
+    head = F.lower(F.substring(body, 1, SCAN_CHARS))
     out = F.lit(None).cast("string")
     for vendor, mark in reversed(CHALLENGES):
         out = F.when(head.contains(mark), vendor).otherwise(out)
@@ -46,10 +53,11 @@ def challenge(body: Column, text_chars: Column) -> Column:
 
 def is_shell(body: Column, text_chars: Column) -> Column:
     """A page that scripts fill: little text, over five scripts, an application root."""
+    head = F.lower(F.substring(body, 1, SCAN_CHARS))
     root = F.lit(False)
     for mark in APP_ROOTS:
-        root = root | body.contains(mark)
-    return (text_chars < 500) & (F.regexp_count(F.lower(body), F.lit("<script")) > 5) & root
+        root = root | head.contains(mark)
+    return (text_chars < 500) & (F.regexp_count(head, F.lit("<script")) > 5) & root
 
 
 def language_code(tag: Column) -> Column:

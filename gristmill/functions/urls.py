@@ -5,12 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track a visit: exact names, then prefixes (fixed values).
-TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "yclid", "mc_cid", "mc_eid", "igshid", "_ga")
-TRACKING_PREFIXES = ("utm_", "hsa_", "pk_", "mtm_")
-#: Second-level labels under which names are registered in country domains (fixed values).
-SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.nz", "co.in", "co.za", "com.cn")
-SESSION_PARAMETERS = ("jsessionid", "phpsessid", "sid", "sessionid")
+from gristmill.functions.hosts import canonical_host
+
+#: Query parameters that only track a visit, in the form of their published list (fixed values): ``name*`` is a prefix, ``name?`` counts with a token-like value only.
+TRACKING_LIST = """
+utm_*
+gclid gclsrc dclid wbraid gbraid _ga _gl
+fbclid msclkid twclid igshid yclid ttclid li_fat_id epik rdt_cid wickedid s_kwcid
+mc_cid mc_eid mkt_tok vero_id vero_conv _hsenc _hsmi oly_anon_id oly_enc_id
+at_* piwik_* pk_* matomo_*
+ref_src ref_url spm scm
+sessionid jsessionid phpsessid aspsessionid* cfid cftoken
+sid?
+"""
+#: Two-part suffixes under which names are registered in country domains (fixed values).
+SECOND_LEVEL = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "net.uk", "sch.uk", "com.au", "net.au",
+    "org.au", "edu.au", "gov.au", "co.nz", "org.nz", "net.nz", "govt.nz", "co.jp", "or.jp",
+    "ne.jp", "ac.jp", "go.jp", "com.br", "net.br", "org.br", "gov.br", "com.cn", "net.cn",
+    "org.cn", "gov.cn", "edu.cn", "co.in", "net.in", "org.in", "gov.in", "com.mx", "com.ar",
+    "com.tr", "com.tw", "com.hk", "com.sg", "com.my", "co.kr", "or.kr", "co.za", "org.za",
+    "com.pl", "com.ua", "co.il", "com.vn", "net.vn", "org.vn", "gov.vn", "edu.vn",
+)
+#: Session parameters of a path (fixed values).
+SESSION_PARAMETERS = ("jsessionid", "phpsessid", "sid", "sessionid", "cfid", "cftoken")
+MAX_BYTES = 2048
+
+
+def tracking_rules(text: str = TRACKING_LIST) -> dict[str, tuple[str, ...]]:
+    """``exact``, ``prefix`` and ``valued`` names of a list: names apart by white space, what follows # in a line ignored."""
+    names = [n.lower() for line in text.splitlines() for n in line.split("#")[0].split()]
+    return {
+        "exact": tuple(n for n in names if n[-1] not in "*?"),
+        "prefix": tuple(n[:-1] for n in names if n[-1] == "*" and n[:-1]),
+        "valued": tuple(n[:-1] for n in names if n[-1] == "?" and n[:-1]),
+    }
+
 
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -51,27 +81,27 @@ def robots_path(url: Column) -> Column:
 
 
 def looks_like_session_token(value: Column) -> Column:
-    return (F.char_length(value) >= 16) & value.rlike("^[A-Za-z0-9]+$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    return value.rlike("^[A-Za-z0-9_-]{16,}$") & value.rlike("[0-9]")
 
 
-def is_tracking(pair: Column) -> Column:
-    """For one ``name=value`` of a query: exact names, prefixes, and session parameters with a token-like value."""
+def is_tracking(pair: Column, rules: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """For one ``name=value`` of a query: exact names, prefixes, and names that count with a token-like value only."""
+    rules = rules or tracking_rules()
     name = F.lower(F.substring_index(pair, "=", 1))
-    value = F.regexp_replace(pair, "^[^=]*=?", "")
-    found = name.isin(*TRACKING)
-    for p in TRACKING_PREFIXES:
+    found = name.isin(*rules["exact"])
+    for p in rules["prefix"]:
         found = found | name.startswith(p)
-    return found | (name.isin(*SESSION_PARAMETERS) & looks_like_session_token(value))
+    return found | (name.isin(*rules["valued"]) & looks_like_session_token(F.regexp_replace(pair, "^[^=]*=?", "")))
 
 
 def filter_query(query: Column) -> Column:
-    """The query without tracking parameters and empty pairs; order and repeats stay."""
-    return F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~is_tracking(p)), "&")
+    """The query without tracking parameters, nameless and empty pairs; order and repeats stay."""
+    return F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.startswith("=") & ~is_tracking(p)), "&")
 
 
 def strip_path_parameters(path_: Column) -> Column:
-    """Session parameters of path segments (``;jsessionid=...``) go."""
-    return F.regexp_replace(path_, "(?i);(?:" + "|".join(SESSION_PARAMETERS) + ")=[^/;]*", "")
+    """A segment's parameters go if the first of them is a session's (``;jsessionid=...``)."""
+    return F.regexp_replace(path_, "(?i)(/[^/;]*);(?:" + "|".join(SESSION_PARAMETERS) + ")(?:=[^/]*)?(?=/|$)", "$1")
 
 
 def normalise_percent(text: Column) -> Column:
@@ -102,15 +132,61 @@ def without_dots(path_: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(last_is_dot & (F.size(folded) > 0), "/").otherwise(""))
 
 
-def canonical(url: Column) -> Column:
-    """``struct(url, error)``: the canonical form, or why there is none (``empty``, ``scheme``, ``host``)."""
-    trimmed = F.trim(url)
-    bad = F.when(trimmed.isNull() | (trimmed == ""), "empty").when(~trimmed.rlike(r"^(?i:https?)://"), "scheme").when(~host(trimmed).rlike(r"^[a-z0-9\u0080-￿]([a-z0-9.\u0080-￿_-]*[a-z0-9\u0080-￿])?\.?$"), "host")
-    clean_path = without_dots(normalise_percent(strip_path_parameters(path(trimmed))))
-    kept = filter_query(normalise_percent(query_string(trimmed)))
-    at = F.when(port(trimmed) == "", "").otherwise(F.concat(F.lit(":"), port(trimmed)))
-    made = F.concat(scheme(trimmed), F.lit("://"), F.regexp_replace(host(trimmed), r"\.$", ""), at, clean_path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
-    return F.struct(F.when(bad.isNull(), made).alias("url"), bad.alias("error"))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def percent_encoded(text: Column, also: str) -> Column:
+    """UTF-8 escapes for characters outside ASCII and those of the class ``also``."""
+    odd = rf"[^\x21-\x7E]|[{also}]"
+    each = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(odd), F.url_encode(c)).otherwise(c))
+    return F.when(text.rlike(odd), F.array_join(each, "")).otherwise(text)
+
+
+def resolved(reference: Column, base: Column) -> Column:
+    """An absolute reference as it is, another one against an absolute base (RFC 3986); dot segments are left for the canonical form."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    whole = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1) == "", F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(whole, "[^/]*$", ""))
+    joined = (
+        F.when(reference.startswith("//"), F.concat(F.substring_index(base, ":", 1), F.lit(":"), reference)).when(reference.startswith("/"), F.concat(root, reference))
+        .when(reference.startswith("?"), F.concat(whole, reference)).when(reference.startswith("#"), F.concat(F.substring_index(base, "#", 1), reference)).otherwise(F.concat(folder, reference))
+    )
+    return F.when(reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), reference).when(root != "", joined).otherwise(reference)
+
+
+_WEB = r"^(?i:(https?)):[/\\]{0,2}+(?:[^/\\?#]*@)?(\[[^\]/\\?#]*\]|[^/\\?#:\[\]@]*)(?::0*([0-9]{0,5}))?([/\\][^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
+
+
+def canonical(url: Column, base: Column | None = None) -> Column:
+    """``struct(url, error)``: the canonical form, or why there is none (``empty``, ``scheme``, ``malformed``, ``host``, ``too_long``).
+
+    White space and control characters go, a relative reference is resolved against ``base`` (absolute), scheme and host are lower-case,
+    hosts as ``hosts.ascii_host`` writes them, without a last dot; credentials, a scheme's own port, fragments, tracking and
+    session parameters go. The rest of path and query keeps its order and case. A lone % is written %25. The URL is cut into parts once.
+    """
+    clean = F.regexp_replace(url, r"[\x00-\x20\x7F-\x9F]", "")
+    whole = clean if base is None else resolved(clean, F.regexp_replace(base, r"[\x00-\x20\x7F-\x9F]", ""))
+    cut = F.split(F.regexp_replace(whole, _WEB, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001")
+    # The host is looked at in Python, outside the lambda below.
+    value = F.struct(clean.alias("clean"), whole.alias("whole"), cut.alias("cut"), canonical_host(F.regexp_extract(whole, _WEB, 2)).alias("host"))
+
+    def made(v: Column) -> Column:
+        part = lambda i: F.get(v["cut"], F.lit(i))
+        scheme_ = F.lower(part(0))
+        bad = (
+            F.when(v["clean"].isNull() | (v["clean"] == ""), "empty").when(~v["whole"].rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "malformed").when(~v["whole"].rlike(r"^(?i:https?):"), "scheme")
+            .when((F.size(v["cut"]) != 5) | (F.coalesce(part(2).try_cast("int"), F.lit(0)) > 65535), "malformed").when(v["host"].isNull(), "host")
+        )
+        at = F.when((part(2) == "") | (part(2) == F.when(scheme_ == "http", "80").otherwise("443")), "").otherwise(F.concat(F.lit(":"), part(2)))
+        path_ = without_dots(normalise_percent(percent_encoded(strip_path_parameters(F.when(part(3) == "", "/").otherwise(F.replace(part(3), F.lit("\\"), F.lit("/")))), "\"<>`{}")))
+        kept = normalise_percent(percent_encoded(filter_query(part(4)), "\"<>'"))
+        out = F.concat(scheme_, F.lit("://"), F.regexp_replace(v["host"], r"\.$", ""), at, path_, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+        error = F.coalesce(bad, F.when(F.octet_length(out) > MAX_BYTES, "too_long"))
+        return F.struct(F.when(error.isNull(), out).alias("url"), error.alias("error"))
+
+    return _let(value, made)
 
 
 def pay_level_domain(host_: Column) -> Column:

@@ -14,10 +14,13 @@ from gristmill.streaming import events as streams
 
 _URL = r"'^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
 _HOST = f"lower(regexp_extract(url, {_URL}, 2))"
-_SECOND = ", ".join(f"'{x}'" for x in urls.SECOND_LEVEL)
+_SECOND = """'co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'me.uk', 'net.uk', 'sch.uk', 'com.au', 'net.au', 'org.au', 'edu.au', 'gov.au', 'co.nz', 'org.nz', 'net.nz', 'govt.nz', 'co.jp', 'or.jp', 'ne.jp', 'ac.jp', 'go.jp',
+  'com.br', 'net.br', 'org.br', 'gov.br', 'com.cn', 'net.cn', 'org.cn', 'gov.cn', 'edu.cn', 'co.in', 'net.in', 'org.in', 'gov.in', 'com.mx', 'com.ar', 'com.tr', 'com.tw', 'com.hk', 'com.sg', 'com.my', 'co.kr', 'or.kr',
+  'co.za', 'org.za', 'com.pl', 'com.ua', 'co.il', 'com.vn', 'net.vn', 'org.vn', 'gov.vn', 'edu.vn'"""
 _PLD = f"""CASE WHEN regexp_matches(host, '^[0-9]+(\\.[0-9]+){{3}}$') OR len(string_split(host, '.')) <= 2 THEN host
   WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_SECOND}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END"""
-_TRACK = " OR ".join([f"lower(split_part(p, '=', 1)) IN ({', '.join(repr(x) for x in urls.TRACKING)})", *(f"starts_with(lower(split_part(p, '=', 1)), '{x}')" for x in urls.TRACKING_PREFIXES)])
+_TRACK = """regexp_matches(lower(split_part(p, '=', 1)), '^(utm_.*|gclid|gclsrc|dclid|wbraid|gbraid|_ga|_gl|fbclid|msclkid|twclid|igshid|yclid|ttclid|li_fat_id|epik|rdt_cid|wickedid|s_kwcid|mc_cid|mc_eid|mkt_tok|vero_id|vero_conv|_hsenc|_hsmi|oly_anon_id|oly_enc_id|at_.*|piwik_.*|pk_.*|matomo_.*|ref_src|ref_url|spm|scm|sessionid|jsessionid|phpsessid|aspsessionid.*|cfid|cftoken)$')
+  OR lower(split_part(p, '=', 1)) = 'sid' AND regexp_matches(substr(p, 5), '^[A-Za-z0-9_-]{16,}$') AND regexp_matches(substr(p, 5), '[0-9]')"""
 
 
 def _hrefs():
@@ -36,8 +39,7 @@ def registrable_domain(t):
     return t.pages.select("page_id", urls.pay_level_domain(urls.host(F.col("url"))).alias("pld"))
 
 
-@query(f"""SELECT page_id, coalesce(array_to_string(list_filter(string_split(regexp_extract(url, {_URL}, 5), '&'), lambda p: p <> '' AND NOT ({_TRACK})
-  AND NOT (lower(split_part(p, '=', 1)) IN ('jsessionid', 'phpsessid', 'sid', 'sessionid') AND length(split_part(p, '=', 2)) >= 16)), '&'), '') AS query FROM pages""")
+@query(f"""SELECT page_id, coalesce(array_to_string(list_filter(string_split(regexp_extract(url, {_URL}, 5), '&'), lambda p: p <> '' AND p[1] <> '=' AND NOT ({_TRACK})), '&'), '') AS query FROM pages""")
 def query_filtered(t):
     return t.pages.select("page_id", urls.filter_query(urls.query_string(F.col("url"))).alias("query"))
 
