@@ -80,6 +80,11 @@ def robots_path(url: Column) -> Column:
     return F.concat(path(url), F.when(query_string(url) == "", "").otherwise(F.concat(F.lit("?"), query_string(url))))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def looks_like_session_token(value: Column) -> Column:
     return value.rlike("^[A-Za-z0-9_-]{16,}$") & value.rlike("[0-9]")
 
@@ -107,8 +112,6 @@ def strip_path_parameters(path_: Column) -> Column:
 def normalise_percent(text: Column) -> Column:
     """Escapes of unreserved characters are decoded once, all others get upper-case hex digits."""
     unreserved = [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *map(ord, "-._~")]
-    out = text
-    pieces = F.split(out, "%")
     plain = F.create_map(*[F.lit(x) for c in unreserved for x in (f"{c:02X}", chr(c))])
 
     def decode(piece: Column) -> Column:
@@ -117,31 +120,25 @@ def normalise_percent(text: Column) -> Column:
         valid = code.rlike("^[0-9A-F]{2}$")
         return F.when(valid & F.map_contains_key(plain, code), F.concat(F.element_at(plain, code), rest)).when(valid, F.concat(F.lit("%"), code, rest)).otherwise(F.concat(F.lit("%25"), piece))
 
-    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), decode), ""))
+    joined = lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), decode), ""))
+    return _let(F.split(text, "%"), joined)
 
 
 def without_dots(path_: Column) -> Column:
     """The path with ``.`` and ``..`` segments resolved."""
-    segments = F.split(path_, "/")
-    folded = F.aggregate(
-        F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))),
-        F.expr("cast(array() as array<string>)"),
-        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).otherwise(F.concat(acc, F.array(x))),
-    )
-    last_is_dot = F.element_at(segments, -1).isin(".", "..")
-    return F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(last_is_dot & (F.size(folded) > 0), "/").otherwise(""))
-
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    fold = lambda segments: F.aggregate(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), F.expr("cast(array() as array<string>)"), step)
+    joined = lambda kept, last: F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+    resolve = lambda segments: _let(fold(segments), lambda kept: joined(kept, F.element_at(segments, -1)))
+    # Most paths have no dot segment and stay.
+    return _let(path_, lambda p: F.when(p.rlike(r"/\.\.?(?:/|$)"), _let(F.split(p, "/"), resolve)).otherwise(p))
 
 
 def percent_encoded(text: Column, also: str) -> Column:
     """UTF-8 escapes for characters outside ASCII and those of the class ``also``."""
     odd = rf"[^\x21-\x7E]|[{also}]"
-    each = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(odd), F.url_encode(c)).otherwise(c))
-    return F.when(text.rlike(odd), F.array_join(each, "")).otherwise(text)
+    escaped = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(odd), F.url_encode(c)).otherwise(c)), "")
+    return _let(text, lambda t: F.when(t.rlike(odd), escaped(t)).otherwise(t))
 
 
 def resolved(reference: Column, base: Column) -> Column:
