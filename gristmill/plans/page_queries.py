@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.operators import content
+from gristmill.operators import content, proofs
 from gristmill.plans.registry import query
 from gristmill.storage import durable
 
@@ -18,3 +18,26 @@ def page_root(t):
 def page_content(t):
     rows = durable(content.page_nodes(t.pages), "nodes")
     return content.root_texts(rows, content.content_roots(rows)).withColumn("text_digest", F.sha2("text", 256))
+
+
+_PIECE = 256
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT page_id, hex(encode(html)) AS x FROM pages WHERE html IS NOT NULL), c AS (SELECT page_id, i AS leaf, substr(x, 1 + {2 * _PIECE} * i, {2 * _PIECE}) AS chunk, greatest((len(x) // 2 + {_PIECE - 1}) // {_PIECE}, 1) AS width
+  FROM b, generate_series(0, greatest((len(x) // 2 + {_PIECE - 1}) // {_PIECE}, 1) - 1) g(i)),
+n AS (SELECT page_id, 0 AS level, leaf AS i, sha256(unhex('00' || chunk)) AS d, width FROM c UNION ALL
+  SELECT page_id, level + 1, i // 2, CASE WHEN count(*) = 2 THEN sha256(unhex('01' || min_by(d, i) || max_by(d, i))) ELSE min(d) END, (width + 1) // 2 FROM n WHERE width > 1 GROUP BY page_id, level, i // 2, width),
+s AS (SELECT c.page_id, c.leaf, count(*) AS steps, sha256(string_agg(n.d, ',' ORDER BY n.level)) AS path_sha256 FROM c JOIN n ON n.page_id = c.page_id AND n.width > 1 AND n.i = xor(c.leaf >> n.level, 1) GROUP BY ALL)
+SELECT c.page_id, c.leaf::BIGINT AS leaf, r.d AS root, coalesce(steps, 0)::INTEGER AS steps, coalesce(path_sha256, sha256('')) AS path_sha256, true AS proven, true AS refused
+FROM c JOIN n r ON r.page_id = c.page_id AND r.width = 1 LEFT JOIN s ON s.page_id = c.page_id AND s.leaf = c.leaf""")
+def chunk_proofs(t):
+    """Every leaf of every page with its proof: the proof holds, and not for a leaf that was tampered with."""
+    leaves = durable(proofs.chunks(t.pages, size=_PIECE).withColumn("digest", proofs.leaf_digest(F.col("chunk"))), "chunks")
+    levels = proofs.tree_levels(leaves)
+    rows = proofs.proofs(levels).join(leaves, ["page_id", "leaf"]).join(proofs.roots(levels), "page_id")
+    holds = lambda digest: proofs.proves(F.col("root"), F.col("leaf"), F.col("width"), digest, F.col("path"))
+    path = F.transform("path", lambda x: F.lower(F.hex(x)))
+    return rows.select(
+        "page_id", "leaf", F.lower(F.hex("root")).alias("root"), F.size("path").alias("steps"), F.sha2(F.array_join(path, ","), 256).alias("path_sha256"),
+        holds(F.col("digest")).alias("proven"), (~holds(proofs.leaf_digest(F.concat("chunk", F.lit("x").cast("binary"))))).alias("refused"),
+    )
