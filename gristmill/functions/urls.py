@@ -157,7 +157,7 @@ _WEB = r"^(?i:(https?)):[/\\]{0,2}+(?:[^/\\?#]*@)?(\[[^\]/\\?#]*\]|[^/\\?#:\[\]@
 
 
 def canonical(url: Column, base: Column | None = None) -> Column:
-    """``struct(url, error)``: the canonical form, or why there is none (``empty``, ``scheme``, ``malformed``, ``host``, ``too_long``).
+    """``struct(url, error)``: the canonical form, or why there is none (``empty``, ``scheme``: another one or none, ``malformed``, ``host``, ``too_long``).
 
     White space and control characters go, a relative reference is resolved against ``base`` (absolute), scheme and host are lower-case,
     hosts as ``hosts.ascii_host`` writes them, without a last dot; credentials, a scheme's own port, fragments, tracking and
@@ -173,7 +173,7 @@ def canonical(url: Column, base: Column | None = None) -> Column:
         part = lambda i: F.get(v["cut"], F.lit(i))
         scheme_ = F.lower(part(0))
         bad = (
-            F.when(v["clean"].isNull() | (v["clean"] == ""), "empty").when(~v["whole"].rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "malformed").when(~v["whole"].rlike(r"^(?i:https?):"), "scheme")
+            F.when(v["clean"].isNull() | (v["clean"] == ""), "empty").when(~v["whole"].rlike(r"^(?i:https?):"), "scheme")
             .when((F.size(v["cut"]) != 5) | (F.coalesce(part(2).try_cast("int"), F.lit(0)) > 65535), "malformed").when(v["host"].isNull(), "host")
         )
         at = F.when((part(2) == "") | (part(2) == F.when(scheme_ == "http", "80").otherwise("443")), "").otherwise(F.concat(F.lit(":"), part(2)))
