@@ -1,9 +1,13 @@
-"""Digests and MinHash sketches of texts, as expressions and grouped aggregates."""
+"""Digests, MinHash sketches and simhashes of texts, as functions of a row."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from gristmill.functions.urls import collapse
 #: The modulus of the permutations, the largest 31-bit prime, so that products stay in 64 bits.
 PRIME = 2**31 - 1
 SLOTS, BANDS, TOKENS = 64, 8, 5
+#: Hashes that are permuted at a time, which bounds the memory that a long text takes.
+_CHUNK = 4096
 
 
 def permutations(n: int = SLOTS) -> list[tuple[int, int]]:
@@ -38,17 +44,55 @@ def length_bucket(n_bytes: Column) -> Column:
     return F.when(n_bytes == 0, 0).otherwise(F.char_length(F.bin(n_bytes)))
 
 
+def run_hashes(text: str | None, least: int = 1) -> np.ndarray:
+    """The first 64 bits of md5 of each run of TOKENS tokens, in order, repeats included. A text of fewer tokens, but ``least``, is one run."""
+    tokens = text.split(" ") if text else []
+    if len(tokens) < least:
+        return np.zeros(0, np.uint64)
+    runs = range(max(len(tokens) - TOKENS + 1, 1))
+    return np.frombuffer(b"".join(hashlib.md5(" ".join(tokens[i : i + TOKENS]).encode()).digest()[:8] for i in runs), ">u8").astype(np.uint64)
+
+
+def _sketch(text: str) -> np.ndarray:
+    values = np.unique(run_hashes(text) % np.uint64(PRIME)).astype(np.int64)
+    a, b = (np.array(x)[:, None] for x in zip(*permutations()))
+    out = np.full(SLOTS, PRIME)
+    for at in range(0, len(values), _CHUNK):
+        np.minimum(out, ((a * values[at : at + _CHUNK] + b) % PRIME).min(axis=1), out=out)
+    return out
+
+
+def _simhash(text: str | None) -> int:
+    hashes = run_hashes(text, least=TOKENS)
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        votes += np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 64 // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes)).view(">i8")[0])
+
+
+def _each(f: Callable, kind: str) -> Callable[[Column], Column]:
+    def batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([f(t) for t in texts])
+
+    return lambda text: F.pandas_udf(batches, kind)(text)
+
+
+# A text's prints are its own function, so they take one Arrow pass and no shuffle. Each takes a collapsed text.
+run_set = _each(lambda text: np.unique(run_hashes(text)).view(np.int64), "array<long>")
+sketch = _each(_sketch, "array<long>")
+simhash = _each(_simhash, "long")
+
+
 def shingles(docs: DataFrame) -> DataFrame:
-    """``doc_id, h``: a 28-bit hash of each distinct run of TOKENS tokens. Shorter texts give no row."""
-    tokens = docs.select("doc_id", F.split(collapse(F.col("text")), " ").alias("t")).where(F.size("t") >= TOKENS)
-    # Splitting ends in its own stage: the lambda reads an array, it does not split again for every shingle.
-    each = tokens.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - TOKENS + 1), lambda i: F.array_join(F.slice("t", i, TOKENS), " "))).alias("s"))
-    return each.select("doc_id", F.conv(F.substring(F.md5("s"), 1, 7), 16, 10).cast("long").alias("h")).distinct()
+    """``doc_id, h``: a 64-bit hash of each distinct run of TOKENS tokens of each row. A shorter text is one run; null and empty ones give no row."""
+    return docs.select("doc_id", F.explode(run_set(collapse(F.col("text")))).alias("h"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, m0 ... m63``: the least value of each permutation over the document's shingles. One grouping, with map-side minima."""
-    return shingles(docs).groupBy("doc_id").agg(*[F.min((F.lit(a) * F.col("h") + F.lit(b)) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations())])
+    """``doc_id, m0 ... m63`` of each row: the least value of each permutation over the text's shingles. Null and empty texts give no row."""
+    full = docs.select("doc_id", collapse(F.col("text")).alias("text")).where("text <> ''")
+    return full.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", *[F.col("s")[i].alias(f"m{i}") for i in range(SLOTS)])
 
 
 def band_keys(slots: list[Column]) -> list[Column]:
@@ -66,16 +110,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def simhashes(docs: DataFrame) -> DataFrame:
-    """``doc_id, simhash`` of every document id: a bit is set where more 64-bit hashes of runs of TOKENS tokens, repeats included, have it than not.
+    """``doc_id, simhash`` of each row: a bit is set where more 64-bit hashes of runs of TOKENS tokens, repeats included, have it than not.
 
-    0 for texts of fewer tokens and null ones. One vote a bit and run, summed where the runs arise; rows that repeat an id vote together.
+    0 for texts of fewer tokens and null ones.
     """
-    tokens = docs.select("doc_id", F.split(collapse(F.col("text")), " ").alias("t"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - TOKENS + 1, F.lit(1))), lambda i: F.array_join(F.slice("t", i, TOKENS), " "))
-    each = tokens.select("doc_id", F.explode_outer(F.when(F.size("t") >= TOKENS, runs)).alias("s"))
-    half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("long")
-    halves = each.select("doc_id", F.md5("s").alias("m")).select("doc_id", half(1).alias("high"), half(9).alias("low"))
-    votes = [F.sum(F.getbit(c, F.lit(b)).cast("int")).alias(f"{c}{b}") for c in ("high", "low") for b in range(32)]
-    counted = halves.groupBy("doc_id").agg(F.count("high").alias("n"), *votes)
-    word = lambda c: reduce(Column.__add__, [F.when(2 * F.col(f"{c}{b}") > F.col("n"), 1 << b).otherwise(0).cast("long") for b in range(32)])
-    return counted.select("doc_id", F.shiftleft(word("high"), 32).bitwiseOR(word("low")).alias("simhash"))
+    return docs.select("doc_id", simhash(collapse(F.col("text"))).alias("simhash"))

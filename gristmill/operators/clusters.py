@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.fingerprint import SLOTS, TOKENS, agreement, band_keys, sketches, text_digest
+from gristmill.functions.fingerprint import SLOTS, TOKENS, agreement, band_keys, shingles, sketches, text_digest
 from gristmill.functions.urls import collapse
+from gristmill.operators.hot import join_by_share
 from gristmill.operators.overlap import prefix_keys, similar_components, stars
 from gristmill.storage import durable
 
@@ -16,26 +17,42 @@ def exact_clusters(docs: DataFrame) -> DataFrame:
     return docs.groupBy(text_digest(F.col("text")).alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("members")).where("members > 1")
 
 
-def near_candidates(docs: DataFrame) -> DataFrame:
-    """``a, b, shared``: all pairs of documents that share a band bucket, with the number of slots they share.
+def near_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs that share a band bucket, and what stands for what.
 
-    Documents with equal sketches share all buckets and agree alike with any
-    other, so buckets are joined with themselves, and sketches compared, for one
-    of each; their pairs are then given to all that have the sketch.
+    ``a, b, shared``: all pairs of representatives that share a bucket, with the
+    number of slots they share. ``doc_id, rep``: the representative of every
+    document with a token, the smallest id of its sketch. Documents of one sketch
+    share all slots with each other and agree alike with any other, so a pair of
+    representatives says the same of all they stand for, and copies are not paired.
     """
     slots = [f"m{i}" for i in range(SLOTS)]
-    made = durable(sketches(docs).withColumn("sketch", F.sha2(F.concat_ws(",", *[F.col(s).cast("string") for s in slots]), 256)), "sketches")
-    members = durable(made.groupBy("sketch").agg(F.min("doc_id").alias("rep")).join(made.select("sketch", "doc_id"), "sketch").select("rep", "doc_id"), "members")
-    reps = made.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    buckets = reps.select("doc_id", F.explode(F.array(*band_keys([F.col(s) for s in slots]))).alias("band"))
-    pairs = buckets.withColumnRenamed("doc_id", "a").join(buckets.withColumnRenamed("doc_id", "b"), "band").where("a < b").select("a", "b").distinct()
-    of = lambda side: reps.select(F.col("doc_id").alias(side), *[F.col(s).alias(f"{side}_{s}") for s in slots])
+    made = durable(sketches(docs).withColumn("sketch", F.sha2(F.concat_ws(",", *slots), 256)), "sketches")
+    reps = durable(made.groupBy("sketch").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.any_value(s).alias(s) for s in slots]), "reps")
+    buckets = reps.select("rep", F.explode(F.array(*band_keys([F.col(s) for s in slots]))).alias("band"))
+    pairs = buckets.withColumnRenamed("rep", "a").join(buckets.withColumnRenamed("rep", "b"), "band").where("a < b").select("a", "b").distinct()
+    of = lambda side: reps.select(F.col("rep").alias(side), *[F.col(s).alias(f"{side}_{s}") for s in slots])
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     unlike = both.select("a", "b", agreement([F.col(f"a_{s}") for s in slots], [F.col(f"b_{s}") for s in slots]).alias("shared"))
-    has = lambda side: members.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_doc"))
-    spread = unlike.join(has("a"), "a").join(has("b"), "b").select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), "shared")
-    alike = members.join(members.select("rep", F.col("doc_id").alias("b")), "rep").where("doc_id < b").select(F.col("doc_id").alias("a"), "b", F.lit(SLOTS).alias("shared"))
-    return spread.union(alike)
+    members = join_by_share(made.select("sketch", "doc_id"), reps.select("sketch", "rep", "n"), ["sketch"])
+    return unlike, members.select("doc_id", "rep")
+
+
+#: Shingles of items that are given to every task: 16 MB of hashes with their items' numbers.
+BROADCAST_SHINGLES = 1_000_000
+
+
+def shared_shingles(docs: DataFrame, items: DataFrame, least: int, most: int = BROADCAST_SHINGLES) -> DataFrame:
+    """``doc_id, item_id, shared``: pairs with so many distinct shingles in common, ``least`` or more.
+
+    Shingles of documents meet those of the items where they arise, so that only
+    matches are shuffled, if the items have at most ``most``; beyond that both
+    sides are shuffled by shingle.
+    """
+    wanted = durable(shingles(items.select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("item_id"), "h").distinct(), "item-shingles")
+    small = F.broadcast(wanted) if wanted.count() <= most else wanted
+    found = shingles(docs).join(small, "h").groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("shared"))
+    return found.where(F.col("shared") >= least)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:

@@ -105,8 +105,8 @@ def doc_digests(t):
 
 def _sketch_sql(columns: str) -> str:
     mins = ", ".join(f"min(({a} * h + {b}) % {fingerprint.PRIME}) AS m{i}" for i, (a, b) in enumerate(fingerprint.permutations()))
-    return f"""WITH t AS (SELECT doc_id, string_split({_CLEAN}, ' ') AS t FROM documents), s AS (SELECT DISTINCT doc_id, CAST('0x' || left(md5(array_to_string(t[i : i + 4], ' ')), 7) AS BIGINT) AS h
-  FROM t, generate_series(1, len(t) - 4) g(i) WHERE len(t) >= 5), k AS (SELECT doc_id, {mins} FROM s GROUP BY doc_id) {columns}"""
+    return f"""WITH t AS (SELECT doc_id, string_split({_CLEAN}, ' ') AS t FROM documents), s AS (SELECT DISTINCT doc_id, (CAST('0x' || left(md5(array_to_string(t[i : i + 4], ' ')), 16) AS UBIGINT) % {fingerprint.PRIME})::BIGINT AS h
+  FROM t, generate_series(1, greatest(len(t) - 4, 1)) g(i) WHERE t <> ['']), k AS (SELECT doc_id, {mins} FROM s GROUP BY doc_id) {columns}"""
 
 
 _SLOTS = [f"m{i}" for i in range(fingerprint.SLOTS)]
@@ -147,18 +147,25 @@ def near_dup_bands(t):
 _SHARED = " + ".join(f"CASE WHEN x.m{i} = y.m{i} THEN 1 ELSE 0 END" for i in range(64))
 
 
-@query(_sketch_sql(f""", b AS ({_BANDS}), p AS (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM b l JOIN b r USING (band) WHERE l.doc_id < r.doc_id)
+_REPS = f", m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_JOINED}) AS rep FROM k)"
+
+
+@query(_sketch_sql(f"""{_REPS}, b AS ({_BANDS}), r AS (SELECT b.* FROM b JOIN m USING (doc_id) WHERE doc_id = rep), p AS (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM r l JOIN r USING (band) WHERE l.doc_id < r.doc_id)
 SELECT p.a, p.b, {_SHARED} AS shared FROM p JOIN k x ON x.doc_id = p.a JOIN k y ON y.doc_id = p.b"""))
 def near_dup_pairs(t):
-    return clusters.near_candidates(t.documents)
+    return clusters.near_candidates(t.documents)[0]
+
+
+@query(_sketch_sql(f"{_REPS} SELECT doc_id, rep FROM m"))
+def near_dup_members(t):
+    return clusters.near_candidates(t.documents)[1]
 
 
 @query(f"""WITH t AS (SELECT 'd' AS kind, doc_id AS id, string_split({_CLEAN}, ' ') AS t FROM documents UNION ALL SELECT 'b', item_id, string_split({_CLEAN}, ' ') FROM benchmark),
-s AS (SELECT DISTINCT kind, id, md5(array_to_string(t[i : i + 4], ' '))[:7] AS h FROM t, generate_series(1, len(t) - 4) g(i) WHERE len(t) >= 5)
+s AS (SELECT DISTINCT kind, id, md5(array_to_string(t[i : i + 4], ' ')) AS h FROM t, generate_series(1, len(t) - 4) g(i) WHERE len(t) >= 5)
 SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS shared FROM s d JOIN s b USING (h) WHERE d.kind = 'd' AND b.kind = 'b' GROUP BY ALL HAVING count(*) >= 3""")
 def contamination_pairs(t):
-    items = fingerprint.shingles(t.benchmark.select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("item_id"), "h")
-    return fingerprint.shingles(t.documents).join(items, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).where("shared >= 3")
+    return clusters.shared_shingles(t.documents, t.benchmark.select("item_id", "text"), 3)
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(lower(ltrim(left(html, 1445))), '^<(!doctype html|html|head|body|title|meta|script|div|p|h1|table|a |!--)') THEN 'html' ELSE 'text' END AS media FROM pages""")

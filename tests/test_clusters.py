@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from gristmill.functions.fingerprint import sketches
 from gristmill.operators import clusters
 
@@ -64,14 +66,29 @@ def test_candidates_are_all_pairs_of_a_bucket(spark):
     texts = near_texts() | {1000 + i: " ".join(f"c{k}" for k in range(40)) for i in range(4)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     slots = {r["doc_id"]: [r[f"m{i}"] for i in range(64)] for r in sketches(docs).collect()}
+    reps = {}
+    for i in sorted(slots):
+        reps.setdefault(tuple(slots[i]), i)
     want = set()
-    for a, b in combinations(sorted(slots), 2):
+    for a, b in combinations(sorted(reps.values()), 2):
         same = [x == y for x, y in zip(slots[a], slots[b])]
         if any(all(same[k : k + 8]) for k in range(0, 64, 8)):
             want.add((a, b, sum(same)))
-    assert {(1001, 1002, 64), (1002, 1003, 64)} <= want
-    got = [tuple(r) for r in clusters.near_candidates(docs).collect()]
-    assert len(got) == len(want) and set(got) == want
+    pairs, members = clusters.near_candidates(docs)
+    got, of = [tuple(r) for r in pairs.collect()], {r["doc_id"]: r["rep"] for r in members.collect()}
+    assert want and len(got) == len(want) and set(got) == want
+    assert of == {i: reps[tuple(s)] for i, s in slots.items()} and of[1003] == of[1001] == 1000
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_shared_shingles(spark, most):
+    words = [f"w{i}" for i in range(30)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:7])), (3, "w0 w1 w2"), (4, None), (5, ""), (6, " ".join(words[:7] * 3))]
+    items = [("a", " ".join(words[:8])), ("b", " ".join(words[20:])), ("c", "w0 w1 w2"), ("d", None), ("b", " ".join(words[20:]))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {tuple(r) for r in clusters.shared_shingles(*frames, 3, most).collect()}
+    assert got == {(1, "a", 4), (1, "b", 6), (2, "a", 3), (6, "a", 3)}
+    assert (3, "c", 1) in {tuple(r) for r in clusters.shared_shingles(*frames, 1, most).collect()}
 
 
 def test_error_pages_that_differ_in_a_word(spark):
