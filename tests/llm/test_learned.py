@@ -8,11 +8,12 @@ import numpy as np
 from cases import ODD, corpus
 from gristmill.llm import language_id
 from gristmill.llm.language_id import SEGMENT, Languages, apply_language_id, chosen, identify
-from gristmill.llm.quality_classifier import fit, lasso_logistic, quality_scores
+from gristmill.llm.quality_classifier import RuleEnsemble, fit, lasso_logistic, quality_scores
 from gristmill.llm.quality_rules import decision_list, quality_rules
-from gristmill.llm.rules import Condition, simplified
+from gristmill.llm.rules import Condition, compiled, holds, simplified
 from gristmill.llm.statistics import statistics
 from gristmill.llm.suffix_automaton import SuffixAutomaton
+from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -194,3 +195,47 @@ def test_choice_of_language_against_the_parse(spark):
         p = {lang: sum(a.phrases(w[k : k + SEGMENT]) for k in range(0, len(w), SEGMENT)) for lang, a in plain.items()}
         best = min(p, key=lambda lang: (p[lang], lang))
         assert r["lang_pred"] == best and math.isclose(r["score"], 1 / sum(math.exp(-(x - p[best]) / math.sqrt(1 + p[best])) for x in p.values()))
+
+
+def some_statistics(r, n):
+    """Values on and beside thresholds, so that an exchanged comparison shows."""
+    return {f: r.choice([0.0, 0.25, 0.5, 1.0, 1e-9, 3.0, -2.0, 1e12], n) for f in "abcd"}
+
+
+def some_rule(r):
+    return tuple(Condition(str(r.choice(list("abcd"))), bool(r.integers(2)), float(r.choice([0.0, 0.25, 0.5, 1.0, 3.0]))) for _ in range(r.integers(0, 4)))
+
+
+def test_compiled_ensemble_scores_as_predicted(spark):
+    r = np.random.default_rng(4)
+    x = some_statistics(r, 400)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(zip(*x.values()))], "i int, a double, b double, c double, d double")
+    for _ in range(3):
+        model = RuleEnsemble([(some_rule(r), float(r.normal())) for _ in range(25)], float(r.normal()))
+        got = [v["s"] for v in df.select("i", model.score({f: F.col(f) for f in x}).alias("s")).orderBy("i").collect()]
+        want = model.predict(x, 400)
+        assert np.ptp(want) > 0.2 and np.allclose(got, want, rtol=0, atol=1e-12)
+
+
+def test_compiled_decision_list_decides_as_its_rules(spark):
+    r = np.random.default_rng(5)
+    x = some_statistics(r, 400)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(zip(*x.values()))], "i int, a double, b double, c double, d double")
+    rules = [tuple(c) for c in (some_rule(r) for _ in range(12)) if c]
+    verdict = F.lit(-1)
+    for k, rule in reversed(list(enumerate(rules))):
+        verdict = F.when(compiled(rule, {f: F.col(f) for f in x}), k).otherwise(verdict)
+    got = [v["v"] for v in df.select("i", verdict.alias("v")).orderBy("i").collect()]
+    on = [holds(rule, x, 400) for rule in rules]
+    want = [next((k for k in range(len(rules)) if on[k][i]), -1) for i in range(400)]
+    assert len(set(want)) > 4 and got == want
+
+
+def test_learned_list_follows_the_labels():
+    """Rules that are learned from two separate faults, applied in order, find both and leave the rest alone."""
+    r = np.random.default_rng(6)
+    x = {f: r.uniform(size=3000) for f in "abc"}
+    poor = (x["a"] > 0.8) | ((x["b"] < 0.3) & (x["c"] > 0.6))
+    found = decision_list(x, poor)
+    on = np.any([holds(rule, x, 3000) for rule in found], axis=0)
+    assert len(found) >= 2 and (on == poor).mean() > 0.95 and on[~poor].mean() < 0.03
