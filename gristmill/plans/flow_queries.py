@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.operators import completion, discovery, pressure
+from gristmill.operators import completion, discovery, polls, pressure, tiers
 from gristmill.plans.registry import query
 from gristmill.plans.state_queries import NOW, WITH
 from gristmill.sources.crawl_tables import fetches, hosts, ledger, millis
@@ -183,3 +183,42 @@ def sitemap_discovery(t):
   count(*) FILTER (fate = 'disallowed' AND NOT capped)::BIGINT AS disallowed, count(*) FILTER (fate = 'missing' AND NOT capped)::BIGINT AS missing, bool_or(capped OR fate = 'fetched' AND taken < n_urls) AS truncated FROM x GROUP BY origin""")
 def sitemap_report(t):
     return discovery.discovery_report(_sitemaps(t))
+
+
+_ANSWERS = """SELECT host_id, at_ms, fetch_id, CASE WHEN outcome = 'error' OR outcome = 'click' AND host_id % 3 = 0 THEN 'blocked' WHEN outcome = 'signup' AND host_id % 5 = 0 THEN 'shell' ELSE 'success' END AS signal, greatest(fetch_id % 4, 1) AS tier FROM fetches"""
+
+
+@query(WITH.replace("WITH", "WITH RECURSIVE", 1) + f""", n AS (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY at_ms, fetch_id) AS k FROM ({_ANSWERS})),
+f AS (SELECT host_id, 0::BIGINT AS k, 1::BIGINT AS p, 2 AS m, 1::BIGINT AS w, 0::BIGINT AS b, 0::BIGINT AS c, false AS r FROM n WHERE k = 1 UNION ALL
+  SELECT f.host_id, n.k, CASE signal WHEN 'success' THEN least(p, tier) WHEN 'blocked' THEN least(p + 1, m) ELSE 3 END, CASE signal WHEN 'shell' THEN 3 ELSE m END, CASE signal WHEN 'success' THEN tier ELSE w END,
+    CASE signal WHEN 'success' THEN 0 WHEN 'blocked' THEN b + 1 ELSE b END, CASE WHEN signal <> 'success' OR tier < p THEN at_ms ELSE c END, r OR signal = 'shell' FROM f JOIN n ON n.host_id = f.host_id AND n.k = f.k + 1)
+SELECT host_id, p::INTEGER AS preferred, m AS most, w::INTEGER AS last_success, b AS blocks, c AS probe_clock_ms, r AS render_required,
+  CASE WHEN b = 0 THEN 0 ELSE coalesce([60000, 300000, 1500000, 7200000, 43200000][b], 86400000) END::BIGINT AS backoff_ms, b >= 35 AND p >= m AS refusing FROM f QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY k DESC) = 1""")
+def tier_policies(t):
+    rows, outcome, host = fetches(t.events), F.col("outcome"), F.col("host_id")
+    blocked = (outcome == "error") | ((outcome == "click") & (host % 3 == 0))
+    signal = F.when(blocked, "blocked").when((outcome == "signup") & (host % 5 == 0), "shell").otherwise("success")
+    return tiers.tier_policies(rows.select("host_id", "at_ms", "fetch_id", signal.alias("signal"), (F.col("fetch_id") % 4).alias("tier")), hour_ms=DAY)
+
+
+_POLLED = "SELECT 'u' || l_partkey AS url, CASE l_returnflag WHEN 'N' THEN NULL ELSE epoch_us(date_trunc('month', l_shipdate)) // 1000 END AS published_ms, epoch_us(l_shipdate) // 1000 AS polled_ms, l_orderkey, l_linenumber FROM lineitem"
+
+
+@query(f"""WITH p AS ({_POLLED}), w AS (SELECT *, row_number() OVER o AS n, max_by(published_ms, (polled_ms, l_orderkey, l_linenumber)) FILTER (published_ms IS NOT NULL) OVER (PARTITION BY url ORDER BY polled_ms, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known
+  FROM p WINDOW o AS (PARTITION BY url ORDER BY polled_ms, l_orderkey, l_linenumber))
+SELECT url, CASE n WHEN 1 THEN 'item' ELSE 'updated' END AS kind, published_ms::BIGINT AS published_ms, polled_ms::BIGINT AS polled_ms FROM w WHERE n = 1 OR published_ms IS NOT NULL AND published_ms IS DISTINCT FROM known""")
+def feed_changes(t):
+    published = F.when(F.col("l_returnflag") != "N", millis(F.date_trunc("month", "l_shipdate")))
+    rows = t.lineitem.select(F.concat(F.lit("u"), F.col("l_partkey").cast("string")).alias("url"), published.alias("published_ms"), millis(F.col("l_shipdate")).alias("polled_ms"), "l_orderkey", "l_linenumber")
+    return polls.poll_changes(rows, "l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH g AS (SELECT o_orderkey AS url_key, epoch_us(o_orderdate) // 1000 AS ms, o_orderstatus AS s FROM orders), c AS (SELECT l_orderkey AS url_key, epoch_us(l_shipdate) // 1000 + (l_linenumber::BIGINT - 4) * 10 * {DAY} AS lastmod, epoch_us(l_shipdate) // 1000 AS found FROM lineitem)
+SELECT url_key, (ms + 60 * {DAY})::BIGINT AS due_before, min(found)::BIGINT AS next_due_ms FROM g JOIN c USING (url_key) WHERE lastmod > CASE s WHEN 'O' THEN 0 ELSE ms + 30 * {DAY} END AND found < ms + 60 * {DAY} GROUP BY url_key, ms""")
+def brought_forward(t):
+    at = millis(F.col("o_orderdate"))
+    last = F.when(F.col("o_orderstatus") != "O", at + 30 * DAY)
+    rows = ledger(t.orders).join(t.orders.select(F.col("o_orderkey").alias("url_key"), last.alias("last_fetch_ms")), "url_key")
+    rows = rows.withColumn("next_due_ms", F.col("next_due_ms") + 60 * DAY).withColumn("leased", F.lit(False))
+    found = t.lineitem.select(F.col("l_orderkey").alias("url_key"), (millis(F.col("l_shipdate")) + (F.col("l_linenumber").cast("long") - 4) * 10 * DAY).alias("lastmod_ms"), millis(F.col("l_shipdate")).alias("discovered_ms"))
+    return polls.bring_forward(rows, found)

@@ -43,10 +43,11 @@ def pace(key: str, start_ms: float = 1000.0, most_ms: float = 60_000.0):
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         delay, last = state.get if state.exists else (start_ms, 0)
-        for batch in batches:
-            for at, kind in batch.sort_values(["at_ms", "event_id"])[["at_ms", "event_type"]].itertuples(index=False):
-                if at >= last:  # an answer from before the last one counted changes nothing
-                    delay, last = min(max(delay * (2.0 if kind == "error" else 0.9), start_ms), most_ms), int(at)
+        # A key's rows of a micro-batch may come in several Arrow batches, in any order.
+        rows = pd.concat([b[["at_ms", "event_id", "event_type"]] for b in batches]).sort_values(["at_ms", "event_id"])
+        for at, kind in rows[["at_ms", "event_type"]].itertuples(index=False):
+            if at >= last:  # an answer from before the last one counted changes nothing
+                delay, last = min(max(delay * (2.0 if kind == "error" else 0.9), start_ms), most_ms), int(at)
         state.update((delay, last))
         yield pd.DataFrame({key: [keys[0]], "delay_ms": [delay], "last_ms": [last]})
 
