@@ -213,8 +213,8 @@ def feed_changes(t):
     return polls.poll_changes(rows, "l_orderkey", "l_linenumber")
 
 
-@query(f"""WITH g AS (SELECT o_orderkey AS url_key, epoch_us(o_orderdate) // 1000 AS ms, o_orderstatus AS s FROM orders), c AS (SELECT l_orderkey AS url_key, epoch_us(l_shipdate) // 1000 + (l_linenumber::BIGINT - 4) * 10 * {DAY} AS lastmod, epoch_us(l_shipdate) // 1000 AS found FROM lineitem)
-SELECT url_key, (ms + 60 * {DAY})::BIGINT AS due_before, min(found)::BIGINT AS next_due_ms FROM g JOIN c USING (url_key) WHERE lastmod > CASE s WHEN 'O' THEN 0 ELSE ms + 30 * {DAY} END AND found < ms + 60 * {DAY} GROUP BY url_key, ms""")
+@query(f"""WITH g AS (SELECT o_orderkey AS url_key, epoch_us(o_orderdate) // 1000 AS ms, o_orderstatus AS s FROM orders), c AS (SELECT l_orderkey AS url_key, epoch_us(l_shipdate) // 1000 + (l_linenumber::BIGINT - 4) * 10 * {DAY}::BIGINT AS lastmod, epoch_us(l_shipdate) // 1000 AS found FROM lineitem)
+SELECT url_key, (ms + 60 * {DAY}::BIGINT)::BIGINT AS due_before, min(found)::BIGINT AS next_due_ms FROM g JOIN c USING (url_key) WHERE lastmod > CASE s WHEN 'O' THEN 0 ELSE ms + 30 * {DAY}::BIGINT END AND found < ms + 60 * {DAY}::BIGINT GROUP BY url_key, ms""")
 def brought_forward(t):
     at = millis(F.col("o_orderdate"))
     last = F.when(F.col("o_orderstatus") != "O", at + 30 * DAY)
