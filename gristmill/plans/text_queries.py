@@ -219,7 +219,7 @@ def latest_wins(t):
 
 @query(WITH + """ SELECT fetch_id, CASE WHEN s > 0 THEN round((latency - m) / s, 4) ELSE 0.0 END AS z FROM fetches JOIN (SELECT host_id, avg(latency) AS m, stddev_pop(latency) AS s FROM fetches GROUP BY host_id) USING (host_id) WHERE abs((latency - m) / s) > 2.5""")
 def implausible(t):
-    return folds.plausibility(fetches(t.events), "host_id", "latency").where("abs(z) > 2.5").select("fetch_id", "z")
+    return folds.plausibility(fetches(t.events), "host_id", "latency", beyond=2.5).select("fetch_id", "z")
 
 
 _INDEX = """r AS (SELECT c_custkey AS domain, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer), st(stratum, lo, hi0) AS (VALUES ('head', 1, 100), ('middle', 101, 600), ('tail', 601, NULL)),

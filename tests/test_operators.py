@@ -1,7 +1,9 @@
 """State, publishing and folds on small fixtures; streams run to their end."""
 
+import math
 import random
 
+import duckdb
 from gristmill.operators import folds, publish, state
 from gristmill.operators.graph import components
 from gristmill.streaming import events as streams
@@ -46,6 +48,23 @@ def test_clamped_products(spark):
         assert abs(got[k] - x) < 1e-9
 
 
+def test_plausibility_is_told_before_rounding_and_without_spread(spark):
+    """As the SQL of the query implausible tells it, where a key of equal values gives 0 / 0."""
+    values = {"a": [0.0] * 29 + [1.0, 6.0], "b": [3.0, 3.0, None], "c": [7.0], "d": [None]}
+    rows = [(k, i, x) for k, xs in values.items() for i, x in enumerate(xs)]
+    df, con = spark.createDataFrame(rows, "k string, i int, x double"), duckdb.connect()
+    con.sql("create table r (k varchar, i int, x double)")
+    con.executemany("insert into r values (?, ?, ?)", rows)
+    per = "r join (select k, avg(x) as m, stddev_pop(x) as s from r group by k) using (k)"
+    far = con.sql(f"select max((x - m) / s) from {per} where s > 0").fetchall()[0][0]
+    up, down = math.ceil(far * 1e4) / 1e4, math.floor(far * 1e4) / 1e4
+    for beyond in (down, (far + round(far, 4)) / 2, up, 2.5):
+        want = con.sql(f"select k, i, case when s > 0 then round((x - m) / s, 4) else 0.0 end from {per} where abs((x - m) / s) > {beyond!r}").fetchall()
+        got = folds.plausibility(df, "k", "x", beyond).select("k", "i", "z").collect()
+        assert sorted(map(tuple, got)) == sorted((k, i, float(z)) for k, i, z in want) and ("c", 0, 0.0) in want
+    assert folds.plausibility(df, "k", "x").count() == len(rows)
+
+
 def test_arrival_gate(spark):
     r = random.Random(2)
     rows = [(k, i, r.randrange(100)) for k in range(2) for i in range(40)]
