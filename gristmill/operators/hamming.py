@@ -39,6 +39,7 @@ def close_pairs(rows: DataFrame, key: str = "doc_id", value: str = "simhash", *,
     x, y = held.alias("x"), held.alias("y")
     unlike = F.col("x.v").bitwiseXOR(F.col("y.v"))
     first: Column = F.coalesce(*[F.when(unlike.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(chosen)])
-    met = x.join(y, (F.col("x.table") == F.col("y.table")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.first") < F.col("y.first")))
+    # A value stands in as many rows as there are choices, which the planner cannot see: it would broadcast them all.
+    met = x.join(y.hint("merge"), (F.col("x.table") == F.col("y.table")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.first") < F.col("y.first")))
     near = met.where((hamming(F.col("x.v"), F.col("y.v")) <= distance) & (first == F.col("x.table")))
     return near.select(F.col("x.first").alias("a"), F.col("y.first").alias("b"), hamming(F.col("x.v"), F.col("y.v")).alias("bits"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))

@@ -48,3 +48,10 @@ def test_close_pairs(spark, distance, blocks):
 
 def test_choices_of_blocks():
     assert len(masks(3, 6)) == 20 and all(30 <= bin(m & (1 << 64) - 1).count("1") <= 34 for m in masks(3, 6))
+
+
+def test_close_pairs_are_not_broadcast(spark, tmp_path):
+    """The values of a small table, once a choice of blocks, do not fit the driver's memory."""
+    spark.range(3000).selectExpr("id as doc_id", "xxhash64(id div 2) + id % 2 as simhash").write.parquet(str(tmp_path / "t"))
+    pairs = close_pairs(spark.read.parquet(str(tmp_path / "t")))
+    assert pairs.count() > 0 and "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
