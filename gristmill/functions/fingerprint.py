@@ -89,10 +89,11 @@ def shingles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(run_set(collapse(F.col("text")))).alias("h"))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, m0 ... m63`` of each row: the least value of each permutation over the text's shingles. Null and empty texts give no row."""
-    full = docs.select("doc_id", collapse(F.col("text")).alias("text")).where("text <> ''")
-    return full.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", *[F.col("s")[i].alias(f"m{i}") for i in range(SLOTS)])
+def sketches(docs: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id``, the columns ``more``, ``m0 ... m63`` of each row: the least value of each permutation over the text's shingles. Null and empty texts give no row."""
+    full = docs.select("doc_id", *more, collapse(F.col("text")).alias("_text")).where("_text <> ''")
+    kept = full.drop("_text").columns
+    return full.select(*kept, sketch(F.col("_text")).alias("s")).select(*kept, *[F.col("s")[i].alias(f"m{i}") for i in range(SLOTS)])
 
 
 def band_keys(slots: list[Column]) -> list[Column]:

@@ -29,13 +29,31 @@ def near_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     slots = [f"m{i}" for i in range(SLOTS)]
     made = durable(sketches(docs).withColumn("sketch", F.sha2(F.concat_ws(",", *slots), 256)), "sketches")
     reps = durable(made.groupBy("sketch").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.any_value(s).alias(s) for s in slots]), "reps")
+    members = join_by_share(made.select("sketch", "doc_id"), reps.select("sketch", "rep", "n"), ["sketch"])
+    return bucket_pairs(reps, slots), members.select("doc_id", "rep")
+
+
+def bucket_pairs(reps: DataFrame, slots: list[str]) -> DataFrame:
+    """``a, b, shared``: all pairs of the written ``rep`` and slots that share a band bucket, with the number of slots they share."""
     buckets = reps.select("rep", F.explode(F.array(*band_keys([F.col(s) for s in slots]))).alias("band"))
     pairs = buckets.withColumnRenamed("rep", "a").join(buckets.withColumnRenamed("rep", "b"), "band").where("a < b").select("a", "b").distinct()
     of = lambda side: reps.select(F.col("rep").alias(side), *[F.col(s).alias(f"{side}_{s}") for s in slots])
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    unlike = both.select("a", "b", agreement([F.col(f"a_{s}") for s in slots], [F.col(f"b_{s}") for s in slots]).alias("shared"))
-    members = join_by_share(made.select("sketch", "doc_id"), reps.select("sketch", "rep", "n"), ["sketch"])
-    return unlike, members.select("doc_id", "rep")
+    return both.select("a", "b", agreement([F.col(f"a_{s}") for s in slots], [F.col(f"b_{s}") for s in slots]).alias("shared"))
+
+
+def near_pairs(docs: DataFrame) -> DataFrame:
+    """``a, b, shared``: all pairs of different texts that share a band bucket, and what stands for what.
+
+    A text is named by the smallest id of the documents that have it, white space
+    collapsed. So that nothing is left out, each further copy has one row with
+    that document (``a``) and all slots shared. Two texts of one sketch are a pair.
+    """
+    slots = [f"m{i}" for i in range(SLOTS)]
+    made = durable(sketches(docs, text_digest(F.col("text")).alias("digest")), "sketches")
+    reps = durable(made.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.any_value(s).alias(s) for s in slots]), "reps")
+    copies = join_by_share(made.select("digest", "doc_id"), reps.where("n > 1").select("digest", "rep", "n"), ["digest"]).where("doc_id > rep").distinct()
+    return bucket_pairs(reps, slots).union(copies.select("rep", "doc_id", F.lit(SLOTS)))
 
 
 #: Shingles of items that are given to every task: 16 MB of hashes with their items' numbers.

@@ -150,10 +150,12 @@ _SHARED = " + ".join(f"CASE WHEN x.m{i} = y.m{i} THEN 1 ELSE 0 END" for i in ran
 _REPS = f", m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_JOINED}) AS rep FROM k)"
 
 
-@query(_sketch_sql(f"""{_REPS}, b AS ({_BANDS}), r AS (SELECT b.* FROM b JOIN m USING (doc_id) WHERE doc_id = rep), p AS (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM r l JOIN r USING (band) WHERE l.doc_id < r.doc_id)
-SELECT p.a, p.b, {_SHARED} AS shared FROM p JOIN k x ON x.doc_id = p.a JOIN k y ON y.doc_id = p.b"""))
+@query(_sketch_sql(f""", m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_CLEAN}) AS rep FROM documents WHERE {_CLEAN} <> ''), b AS ({_BANDS}), r AS (SELECT b.* FROM b JOIN m USING (doc_id) WHERE doc_id = rep),
+p AS (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM r l JOIN r USING (band) WHERE l.doc_id < r.doc_id)
+SELECT p.a, p.b, {_SHARED} AS shared FROM p JOIN k x ON x.doc_id = p.a JOIN k y ON y.doc_id = p.b UNION ALL SELECT rep, doc_id, {fingerprint.SLOTS} FROM m WHERE doc_id > rep"""))
 def near_dup_pairs(t):
-    return clusters.near_candidates(t.documents)[0]
+    """Pairs of different texts, and of each text's first document with its other copies."""
+    return clusters.near_pairs(t.documents)
 
 
 @query(_sketch_sql(f"{_REPS} SELECT doc_id, rep FROM m"))

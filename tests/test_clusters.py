@@ -80,6 +80,25 @@ def test_candidates_are_all_pairs_of_a_bucket(spark):
     assert of == {i: reps[tuple(s)] for i, s in slots.items()} and of[1003] == of[1001] == 1000
 
 
+def test_pairs_of_different_texts_and_copies(spark):
+    """Texts that differ and have one sketch are a pair; a copy is met once, by the first that has its text."""
+    word = [f"r{k % 3}" for k in range(40)]
+    texts = near_texts() | {2000: " ".join(word), 2001: " ".join(word + word[1:3] + word[:1]), 2002: " ".join(word)} | {3000 + i: "c  d" if i else "c d" for i in range(5)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    slots = {r["doc_id"]: [r[f"m{i}"] for i in range(64)] for r in sketches(docs).collect()}
+    first = {}
+    for i in sorted(slots):
+        first.setdefault(" ".join(texts[i].split()), i)
+    want = {(first[" ".join(texts[i].split())], i, 64) for i in slots} - {(i, i, 64) for i in slots}
+    for a, b in combinations(sorted(first.values()), 2):
+        same = [x == y for x, y in zip(slots[a], slots[b])]
+        if any(all(same[k : k + 8]) for k in range(0, 64, 8)):
+            want.add((a, b, sum(same)))
+    assert {(2000, 2001, 64), (2000, 2002, 64), (3000, 3004, 64)} <= want and (2001, 2002, 64) not in want
+    got = [tuple(r) for r in clusters.near_pairs(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_shared_shingles(spark, most):
     words = [f"w{i}" for i in range(30)]
