@@ -75,7 +75,7 @@ def link_evidence(t):
 @query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\t\\n\\f\\r]+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '<title>[^<&]*[^<& ][^<&]*</title>')""")
 def page_title(t):
     titled = t.pages.where(F.col("html").rlike("<title>[^<&]*[^<& ][^<&]*</title>"))
-    return titled.select("page_id", html.extract(F.col("html"), F.col("url"))["title"].alias("title"))
+    return titled.select("page_id", html.title(F.col("html"), F.col("url")).alias("title"))
 
 
 @query()
