@@ -2,7 +2,7 @@
 
 All thresholds are integers, and link density is in hundredths, so no decision depends on
 rounding. Everything after the node rows happens within a page, by one shuffle of
-narrow rows on the page's id.
+narrow rows on the page's id, to as many tasks as the number of rows asks for.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.nodes import nodes
 from gristmill.functions.urls import collapse
+from gristmill.storage import durable
 
 # Fixed values of the content score.
 MIN_PARAGRAPH, PARAGRAPH_BONUS, LINK_PENALTY, MARKER_PENALTY, MARKER_CAP, MIN_TEXT, MAX_DENSITY = 25, 25, 3, 150, 3, 200, 66
@@ -22,6 +23,8 @@ MARKERS = (
     "nav-", "navbar", "navigation", "newsletter", "pagination", "popular", "promo", "related", "share", "sidebar",
     "site-info", "skip-link", "social", "sponsor", "subscribe", "toolbar", "trending", "widget", "-ad-", "_ad_",
 )
+#: Node rows that a task sorts, so that its memory does not grow with the pages.
+ROWS_A_TASK = 100_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -62,14 +65,18 @@ def markers() -> Column:
 
 
 def element_scores(rows: DataFrame) -> DataFrame:
-    """Elements outside navigation, headers, footers and asides, with ``text_bytes, link_bytes, paragraphs, density, score``."""
+    """Elements outside navigation, headers, footers and asides, with ``marks, text_bytes, link_bytes, paragraphs, density, score``."""
     size = F.when(~F.col("chrome") & F.col("tag").isNull(), F.octet_length("text"))
-    sums = subtree_sums(rows, ["page_id"], {"text_bytes": size, "link_bytes": F.when(F.col("link"), size)})
+    # What the texts, classes and ids are needed for is told here, so that only numbers and tags are shuffled and sorted.
+    rows = rows.select("page_id", "pre", "last", "tag", "declared", "chrome", markers().alias("marks"), size.alias("size"), F.when(F.col("link"), size).alias("link_size"))
+    rows = durable(rows, "elements")
+    rows = rows.repartition(1 + rows.count() // ROWS_A_TASK, "page_id")
+    sums = subtree_sums(rows, ["page_id"], {"text_bytes": F.col("size"), "link_bytes": F.col("link_size")}).drop("size", "link_size")
     counted = (F.col("tag") == "p") & ~F.col("chrome") & (F.col("text_bytes") >= MIN_PARAGRAPH)
     sums = subtree_sums(sums, ["page_id"], {"paragraphs": F.when(counted, 1)}).where("NOT chrome")
     density = F.when(F.col("text_bytes") > 0, F.floor(F.col("link_bytes") * 100 / F.col("text_bytes"))).otherwise(0)
     bonus = F.coalesce(F.create_map(*[F.lit(v) for pair in TAG_BONUS.items() for v in pair])[F.col("tag")], F.lit(0))
-    score = F.col("text_bytes") + F.col("paragraphs") * PARAGRAPH_BONUS - F.col("link_bytes") * LINK_PENALTY + bonus - markers() * MARKER_PENALTY
+    score = F.col("text_bytes") + F.col("paragraphs") * PARAGRAPH_BONUS - F.col("link_bytes") * LINK_PENALTY + bonus - F.col("marks") * MARKER_PENALTY
     return sums.withColumn("density", density.cast("int")).withColumn("score", score)
 
 
