@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.batches import pieces
 from gristmill.functions.urls import collapse
 
+try:  # CPython's own, which a short run of tokens costs half as much as OpenSSL's
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 #: The modulus of the permutations, the largest 31-bit prime, so that products stay in 64 bits.
 PRIME = 2**31 - 1
 SLOTS, BANDS, TOKENS = 64, 8, 5
 #: Hashes that are permuted at a time, which bounds the memory that a long text takes.
-_CHUNK = 4096
+_CHUNK = 512
 
 
+@cache
 def permutations(n: int = SLOTS) -> list[tuple[int, int]]:
     """Multiplier and offset of each permutation, from a mixer seeded with its number."""
     out = []
@@ -46,42 +52,51 @@ def length_bucket(n_bytes: Column) -> Column:
 
 def run_hashes(text: str | None, least: int = 1) -> np.ndarray:
     """The first 64 bits of md5 of each run of TOKENS tokens, in order, repeats included. A text of fewer tokens, but ``least``, is one run."""
-    tokens = text.split(" ") if text else []
-    if len(tokens) < least:
+    raw = (text or "").encode()
+    spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    if not raw or len(spaces) + 1 < least:
         return np.zeros(0, np.uint64)
-    runs = range(max(len(tokens) - TOKENS + 1, 1))
-    return np.frombuffer(b"".join(hashlib.md5(" ".join(tokens[i : i + TOKENS]).encode()).digest()[:8] for i in runs), ">u8").astype(np.uint64)
+    starts, ends = [0, *(spaces[: max(len(spaces) - TOKENS + 1, 0)] + 1).tolist()], [*spaces[TOKENS - 1 :].tolist(), len(raw)]
+    return np.frombuffer(b"".join([md5(raw[a:b]).digest() for a, b in zip(starts, ends)]), ">u8")[::2].astype(np.uint64)
 
 
 def _sketch(text: str) -> np.ndarray:
-    values = np.unique(run_hashes(text) % np.uint64(PRIME)).astype(np.int64)
-    a, b = (np.array(x)[:, None] for x in zip(*permutations()))
-    out = np.full(SLOTS, PRIME)
+    values, prime = run_hashes(text) % np.uint64(PRIME), np.uint64(PRIME)
+    a, b = (np.array(x, np.uint64)[:, None] for x in zip(*permutations()))
+    out = np.full(SLOTS, PRIME, np.uint64)
     for at in range(0, len(values), _CHUNK):
-        np.minimum(out, ((a * values[at : at + _CHUNK] + b) % PRIME).min(axis=1), out=out)
-    return out
+        # 2**31 is 1 by the modulus, so the high bits are added to the low ones; what is then PRIME or more loses PRIME, and less would wrap round.
+        x = a * values[at : at + _CHUNK] + b
+        x = (x & prime) + (x >> np.uint64(31))
+        np.minimum(out, np.minimum(x, x - prime).min(axis=1), out=out)
+    return out.astype(np.int64)
 
 
 def _simhash(text: str | None) -> int:
     hashes = run_hashes(text, least=TOKENS)
     votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        votes += np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 64 // 8), axis=1).sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), 8 * _CHUNK):
+        votes += np.unpackbits(hashes[at : at + 8 * _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 64 // 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > len(hashes)).view(">i8")[0])
 
 
-def _each(f: Callable, kind: str) -> Callable[[Column], Column]:
-    def batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _pieced(f: Callable, made: pa.DataType) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    def batches(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.Series([f(t) for t in texts])
+            for (piece,) in pieces(texts):
+                yield pa.array([f(t) for t in piece], made)
+
+    return batches
+
 
-    return lambda text: F.pandas_udf(batches, kind)(text)
+def _each(f: Callable, kind: str, made: pa.DataType) -> Callable[[Column], Column]:
+    return lambda text: F.arrow_udf(_pieced(f, made), kind)(text)
 
 
 # A text's prints are its own function, so they take one Arrow pass and no shuffle. Each takes a collapsed text.
-run_set = _each(lambda text: np.unique(run_hashes(text)).view(np.int64), "array<long>")
-sketch = _each(_sketch, "array<long>")
-simhash = _each(_simhash, "long")
+run_set = _each(lambda text: np.unique(run_hashes(text)).view(np.int64), "array<long>", pa.list_(pa.int64()))
+sketch = _each(_sketch, "array<long>", pa.list_(pa.int64()))
+simhash = _each(_simhash, "long", pa.int64())
 
 
 def shingles(docs: DataFrame) -> DataFrame:
@@ -91,9 +106,9 @@ def shingles(docs: DataFrame) -> DataFrame:
 
 def sketches(docs: DataFrame, *more: Column) -> DataFrame:
     """``doc_id``, the columns ``more``, ``m0 ... m63`` of each row: the least value of each permutation over the text's shingles. Null and empty texts give no row."""
-    full = docs.select("doc_id", *more, collapse(F.col("text")).alias("_text")).where("_text <> ''")
-    kept = full.drop("_text").columns
-    return full.select(*kept, sketch(F.col("_text")).alias("s")).select(*kept, *[F.col("s")[i].alias(f"m{i}") for i in range(SLOTS)])
+    full = docs.where(F.col("text").rlike("[^ \t\n\f\r]")).select("doc_id", *more, sketch(collapse(F.col("text"))).alias("s"))
+    kept = full.drop("s").columns
+    return full.select(*kept, *[F.col("s")[i].alias(f"m{i}") for i in range(SLOTS)])
 
 
 def band_keys(slots: list[Column]) -> list[Column]:

@@ -1,8 +1,10 @@
 """Columns in pieces, and the functions that work on them piece by piece."""
 
+import hashlib
+
 import pyarrow as pa
 
-from gristmill.functions import batches, html, nodes
+from gristmill.functions import batches, fingerprint, html, nodes
 from gristmill.operators import content
 from pyspark.sql import functions as F
 
@@ -37,3 +39,17 @@ def test_texts_are_not_shuffled_for_scores(spark, monkeypatch):
     scores = content.element_scores(content.page_nodes(df))
     assert not {"text", "class", "id"} & set(scores.columns) and scores.where("tag = 'div'").select("marks", "paragraphs").distinct().collect() == [(1, 1)]
     assert scores.rdd.getNumPartitions() == 1 + 6 * 5 // 5
+
+
+def test_sketches_are_those_of_each_hash_permuted(spark):
+    """Texts of many chunks and pieces, blank ones and values at the modulus, against plain integers."""
+    texts = [None, "", " \t\n\f\r ", "a", "a  b\tc", " ".join(f"w{i}" for i in range(1500)), "é ü\n" * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: [r[f"m{i}"] for i in range(64)] for r in fingerprint.sketches(df).collect()}
+    assert sorted(got) == [3, 4, 5, 6]
+    for i, slots in got.items():
+        t = texts[i].split()
+        hashes = [int(hashlib.md5(" ".join(t[k : k + 5]).encode()).hexdigest()[:16], 16) % fingerprint.PRIME for k in range(max(len(t) - 4, 1))]
+        assert slots == [min((a * h + b) % fingerprint.PRIME for h in hashes) for a, b in fingerprint.permutations()]
+    parts = list(fingerprint._pieced(len, pa.int64())([pa.array(["x" * 700_000] * 6)]))
+    assert len(parts) > 1 and sum(map(len, parts)) == 6
