@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.fingerprint import SLOTS, TOKENS, agreement, band_keys, shingles, sketches, text_digest
 from gristmill.functions.urls import collapse
 from gristmill.operators.hot import join_by_share
-from gristmill.operators.overlap import prefix_keys, similar_components, stars
+from gristmill.operators.overlap import head_size, prefix_keys, promising, similar_components, stars
 from gristmill.storage import durable
 
 
@@ -73,11 +73,27 @@ def shared_shingles(docs: DataFrame, items: DataFrame, least: int, most: int = B
     return found.where(F.col("shared") >= least)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``rep, shingles``: 64-bit hashes of the distinct runs of TOKENS tokens of the collapsed ``_text``; a shorter text is one run."""
-    tokens = docs.select("doc_id", F.split("_text", " ").alias("t"))
+#: Places that documents whose texts are wanted again are dealt over; one number each is broadcast.
+PLACES = 1 << 20
+
+
+def shingle_sets(docs: DataFrame, *keep: str) -> DataFrame:
+    """``rep``, the columns ``keep``, ``shingles``: 64-bit hashes of the distinct runs of TOKENS tokens of the collapsed ``_text``; a shorter text is one run."""
+    tokens = docs.select("doc_id", *keep, F.split("_text", " ").alias("t"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - TOKENS + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, TOKENS), " ")))
-    return tokens.select(F.col("doc_id").alias("rep"), F.array_distinct(runs).alias("shingles"))
+    return tokens.select(F.col("doc_id").alias("rep"), *keep, F.array_distinct(runs).alias("shingles"))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, _text`` of the written ``rep, _digest``, once an id.
+
+    Ids that no wanted one shares a place with go where their texts lie, so few
+    others are shuffled while the wanted are fewer than PLACES.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES)).cast("int")
+    near = docs.join(F.broadcast(wanted.select(place("rep").alias("_place")).distinct()), place("doc_id") == F.col("_place"), "left_semi")
+    texts = near.select("doc_id", collapse(F.coalesce("text", F.lit(""))).alias("_text")).withColumn("_digest", F.sha2("_text", 256))
+    return texts.join(wanted.select(F.col("rep").alias("doc_id"), "_digest"), ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "_text")
 
 
 def near_classes(docs: DataFrame, *keep: str, percent: int = 75) -> DataFrame:
@@ -86,14 +102,20 @@ def near_classes(docs: DataFrame, *keep: str, percent: int = 75) -> DataFrame:
     Classes are the components of all pairs whose full shingle sets have this
     percentage in common. Texts that are equal but for white space are in one
     class, null as empty; a text of fewer than TOKENS tokens is its only shingle.
+    Of texts without a partner, which their heads mostly tell, no set is moved.
     """
-    rows = docs.select(*keep, "doc_id", collapse(F.coalesce("text", F.lit(""))).alias("_text"))
-    named = rows.select(*keep, "doc_id", F.sha2("_text", 256).alias("_digest"))
+    rows = docs.select(*keep, "doc_id", collapse(F.coalesce("text", F.lit(""))).alias("_text")).withColumn("_digest", F.sha2("_text", 256))
+    sized = shingle_sets(rows, *keep, "_digest").withColumn("n", F.size("shingles"))
+    # 40 bits of a shingle's hash are enough to tell whether it is met, and fewer bytes to shuffle.
+    least = F.slice(F.sort_array("shingles"), F.lit(1), F.expr(head_size(percent)))
+    named = durable(sized.select(*keep, F.col("rep").alias("doc_id"), "_digest", "n", F.transform(least, lambda h: F.shiftright(h, 24)).alias("head")), "heads")
     classes = durable(named.groupBy("_digest").agg(F.min("doc_id").alias("_rep")), "classes")
-    first = rows.join(classes.select(F.col("_rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = durable(shingle_sets(first), "sets")
+    first = classes.groupBy(F.col("_rep").alias("rep")).agg(F.min("_digest").alias("_digest"))
+    # Copies are met by each other here; of those only the first goes on.
+    wanted = durable(promising(named.select(F.col("doc_id").alias("rep"), "n", "head"), percent).join(first, "rep"), "promising")
+    sets = durable(shingle_sets(texts_of(docs, wanted)), "sets")
     comps = similar_components(durable(stars(prefix_keys(sets, percent)), "stars"), sets, percent)
-    placed = named.join(classes, "_digest").join(comps, F.col("_rep") == F.col("node"), "left")
+    placed = named.select(*keep, "doc_id", "_digest").join(classes, "_digest").join(comps, F.col("_rep") == F.col("node"), "left")
     return placed.select(*keep, "doc_id", F.coalesce("comp", "_rep", "doc_id").alias("cluster"))
 
 

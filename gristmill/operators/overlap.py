@@ -25,15 +25,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.graph import components
-from gristmill.operators.hot import join_by_share
+from gristmill.operators.hot import PARTS, join_by_share
 from gristmill.storage import durable
 
 #: Reps of a hub that meet one copy of its set; a larger star gets more copies.
 FAN = 256
+#: Of the elements that two similar sets share, one in so many must be met in their heads.
+MET = 16
+SAMPLED = 64
+#: Rows that a task sorts by key, about 50 MB.
+ROWS_A_TASK = 1_000_000
 
 
 def stars(buckets: DataFrame) -> DataFrame:
@@ -106,6 +111,53 @@ def open_pairs(scored: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
     return unlinked.select("rep_u", "rep_v").union(mixed.select("rep_u", "rep_v")).select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v")).distinct()
 
 
+def _shared_least(percent: int, n: str) -> str:
+    """SQL: the elements that a set of n has at least in common with one at the percentage."""
+    return f"(({percent} * {n} + 99) div 100)"
+
+
+def _met_least(percent: int, n: str) -> str:
+    return f"({_shared_least(percent, n)} div {MET} + 1)"
+
+
+def head_size(percent: int, n: str = "n") -> str:
+    """SQL: how many of the least elements of a set of n ``promising`` asks for."""
+    return f"cast({n} - {_shared_least(percent, n)} + {_met_least(percent, n)} as int)"
+
+
+def promising(heads: DataFrame, percent: int) -> DataFrame:
+    """``rep``: all that can have a partner at the percentage, and few others, of the written ``rep, n, head`` (``head`` of a set of n).
+
+    Let x share with y all but n(x) - s(x) of its elements or more than that. The
+    j-th least of the elements they share is then among the j + n(x) - s(x) least
+    of x, so the first k(x) of them are in the head of x, which has n(x) - s(x) +
+    k(x), and the first min(k(x), k(y)) in both heads. As y has s(x) elements at
+    least and k never falls with n, x has k(s(x)) elements in its head that another
+    head has too. Passages that unlike texts share seldom give it so many. Heads
+    may hold any function of the elements: equal ones stay equal.
+    """
+    met = repeated(heads.select("rep", F.explode("head").alias("key"))).groupBy("rep").agg(F.count("*").alias("met"))
+    return heads.select("rep", "n").join(met, "rep").where(f"met >= {_met_least(percent, _shared_least(percent, 'n'))}").select("rep").distinct()
+
+
+def repeated(each: DataFrame) -> DataFrame:
+    """The rows of a written table's ``rep, key, ...`` whose key another row has too, with ``often``: how many have it.
+
+    Rows are shuffled once, by key. Keys that hold more than one in PARTS of all
+    rows, by the rows of one rep in SAMPLED, stay where they lie, by a broadcast of
+    fewer than PARTS, and get the same ``often``, more than any other has.
+    """
+    sample = durable(each.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("n")), "sample")
+    seen = sample.agg(F.sum("n")).first()[0] or 0
+    least, tasks = max(1, seen // PARTS), 1 + seen * SAMPLED // ROWS_A_TASK
+    hot = sample.where(F.col("n") > least).select("key")
+    often = lambda rows: rows.repartition(tasks, "key").withColumn("often", F.count("*").over(Window.partitionBy("key"))).where("often > 1")
+    if hot.isEmpty():
+        return often(each)
+    cold = often(each.join(F.broadcast(hot), "key", "left_anti"))
+    return cold.unionByName(each.join(F.broadcast(hot), "key").withColumn("often", F.lit(2**62)))
+
+
 def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     """``key, rep``: of each set, the elements of its prefix that another set has too.
 
@@ -114,10 +166,8 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     Elements that only one set has take places of the prefix but make no key.
     """
     each = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    often = durable(each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    ranked = join_by_share(each, often, ["key"], "often", total).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("common"))
-    places = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - size(common))").cast("int")
+    ranked = repeated(each).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("common"))
+    places = F.expr(f"n - {_shared_least(percent, 'n')} + 1 - (n - size(common))").cast("int")
     return ranked.where(places > 0).select("rep", F.explode(F.slice("common", F.lit(1), places)).alias("c")).select("c.key", "rep")
 
 

@@ -115,3 +115,38 @@ def test_error_pages_that_differ_in_a_word(spark):
     rows = [(i, "s", f"{page} /path{i}") for i in range(7)] + [(10 + i, "s", f"own text {i} of this page {i}") for i in range(3)] + [(20 + i, "t", f"another text {i} of page {i}") for i in range(4)]
     got = clusters.top_share(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
     assert {tuple(r) for r in got} == {("s", 10, 7, True), ("t", 4, 1, False)}
+
+
+def test_heads_lose_no_similar_pair_and_leave_out_unlike_texts(spark):
+    """Every set with a partner is promising, at the threshold too; sets that share a fifth are not."""
+    from pyspark.sql import functions as F
+
+    from gristmill.operators.overlap import head_size, promising
+
+    r, sets = random.Random(9), {}
+    passage = [r.getrandbits(62) for _ in range(40)]
+    for _ in range(60):
+        n = r.choice([1, 2, 3, 4, 7, 8, 20, 100, 300])
+        base = [r.getrandbits(62) for _ in range(n)]
+        off = n // 4 if r.random() < 0.6 else n // 4 + 1
+        # A part of the first set, or as many elements exchanged as the threshold allows, or one more.
+        other = base[off:] if r.random() < 0.5 else base[n // 7 + (off > n // 4) :] + [r.getrandbits(62) for _ in range(n // 7)]
+        for s in (base, other):
+            sets[len(sets)] = set(s) or {r.getrandbits(62)}
+    alike = {i for a, b in combinations(sets, 2) for i in (a, b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    unlike = set(range(1000, 1020))
+    sets |= {i: {*passage, *(r.getrandbits(62) for _ in range(400))} for i in unlike}
+    df = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "rep long, s array<long>").withColumn("n", F.size("s"))
+    heads = df.select("rep", "n", F.slice(F.sort_array("s"), F.lit(1), F.expr(head_size(75))).alias("head"))
+    got = {row["rep"] for row in promising(heads, 75).collect()}
+    assert 40 < len(alike) < 120 and alike <= got and not got & unlike
+
+
+def test_repeated_keys_with_common_ones(spark):
+    """A key that most rows have is found without a shuffle, and ranks after all others."""
+    from gristmill.operators.overlap import repeated
+
+    rows = [(i, k) for i in range(3000) for k in (1, 10_000 + i, 20_000 + i // 2)]
+    got = {(x["rep"], x["key"]): x["often"] for x in repeated(spark.createDataFrame(rows, "rep long, key long")).collect()}
+    assert set(got) == {(i, k) for i, k in rows if k == 1 or k >= 20_000}
+    assert all(got[i, 1] > 3000 and got[i, 20_000 + i // 2] == 2 for i in range(3000))
