@@ -8,7 +8,8 @@
    gives m - 1 edges, from the member that meets most others over all its
    buckets to the rest; edges that several bands give are one. No bucket is cut.
 4. The edges' documents' full sets are joined to them and links confirmed by
-   exact intersection.
+   exact intersection. Only their texts are shuffled: a bitmap of them leaves the
+   others where they lie (``operators.sieve``).
 5. What the stars leave open, members of a bucket in different components, is
    settled by an exact filter over their differences from the star's centre
    (``operators.overlap``). So every pair that shares a bucket is linked, or in
@@ -36,6 +37,7 @@ from gristmill.llm import words as W
 from gristmill.llm.common import carried, durable, fresh_worker, restored
 from gristmill.llm.shingles import band_keys, shingle_sets, sketches
 from gristmill.operators.overlap import similar_components, stars
+from gristmill.operators.sieve import with_key
 
 FEATURES = "doc_id long, version long, n long, d1 long, d2 long, bands array<long>"
 
@@ -82,8 +84,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = durable(features.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min(rep).alias("rep")), "classes")
     one = features.withColumn("rep", rep).join(classes, ["d1", "d2", "n", "rep"], "left_semi").dropDuplicates(["rep"])
     star = durable(stars(one.select("rep", F.explode("bands").alias("key"))), "stars")
-    wanted = star.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct().select("rep.*")
-    sets = texts.join(wanted, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]).mapInArrow(sets_of(shingle), "doc_id long, version long, shingles array<long>")
+    wanted = durable(star.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct().select("rep.*"), "wanted")
+    sets = with_key(texts, wanted).dropDuplicates(["doc_id", "version"]).mapInArrow(sets_of(shingle), "doc_id long, version long, shingles array<long>")
     named = durable(features.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.col("rep.doc_id").alias("node")), "named")
     # A repeated id stands for the classes of all its texts.
     several = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("doc_id", "u")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tempfile
 from collections import defaultdict
 
 import pytest
@@ -204,3 +205,56 @@ def test_lines_of_repeated_ids_with_other_texts(spark):
     rows = [(1, line), (2, f"alpha\n{line}"), (2, "beta"), (2, f"{line}\ngamma"), (3, line), (None, line)]
     assert order(line_dedup(frame(spark, rows)).collect()) == order(lines_by_hand(rows))
     assert order((r["doc_id"], r["text"]) for r in apply_line_dedup(frame(spark, rows)).collect()) == order((i, t) for i, _, _, t in lines_by_hand(rows))
+
+
+def shuffled_bytes(spark, run):
+    """The bytes that the shuffles of ``run`` write."""
+    from py4j.protocol import Py4JJavaError
+
+    context = spark.sparkContext
+    context.setLocalProperty("spark.jobGroup.id", "shuffled")
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker, moved = context.statusTracker(), 0
+    for stage in {s for j in tracker.getJobIdsForGroup("shuffled") for s in tracker.getJobInfo(j).stageIds}:
+        try:
+            moved += context._jsc.sc().statusStore().lastStageAttempt(stage).shuffleWriteBytes()
+        except Py4JJavaError:  # a skipped stage, whose output was there already
+            continue
+    return moved
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    """Where the candidates are too many to be broadcast, only their texts move."""
+    r = random.Random(5)
+    text = lambda: " ".join(f"{r.getrandbits(40):x}" for _ in range(2000))
+    rows = [(i, text()) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(3)]
+    docs = frame(spark, rows).repartition(3)
+    docs.write.mode("overwrite").parquet(path := tempfile.mkdtemp(prefix="gristmill-test-") + "/docs")
+    before, in_all = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), sum(len(t) for _, t in rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = []
+        moved = shuffled_bytes(spark, lambda: out.extend(apply_near_dedup(spark.read.parquet(path)).select("doc_id", "text").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["doc_id"] for r in out} == set(range(150))
+    assert moved < in_all // 2
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 27])
+def test_sieved_joins_are_the_plain_joins(spark, monkeypatch, most):
+    """Also where the bitmap is full and where keys are null, are not met or come twice."""
+    from gristmill.operators import sieve
+
+    monkeypatch.setattr(sieve, "MOST", most)
+    rows = spark.range(60_000).selectExpr("if(id % 1000 = 7, null, id) AS a", "id % 3 AS b", "cast(id AS string) AS c")
+    keys = spark.range(0, 180_000, 3).selectExpr("if(id % 1001 = 7, null, id) AS a", "id % 2 AS b").union(spark.sql("SELECT 6L, 0L"))
+    for sieved, how in ((sieve.with_key, "left_semi"), (sieve.without_key, "left_anti")):
+        got, want = sieved(rows, keys), rows.join(keys, ["a", "b"], how).select("a", "b", "c")
+        assert got.columns == rows.columns and want.count() > 9000
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+        assert sieved(rows, keys.limit(0)).count() == (0 if how == "left_semi" else 60_000)
