@@ -37,7 +37,7 @@ from gristmill.llm import words as W
 from gristmill.llm.common import carried, durable, fresh_worker, restored
 from gristmill.llm.shingles import band_keys, shingle_sets, sketches
 from gristmill.operators.overlap import similar_components, stars
-from gristmill.operators.sieve import with_key
+from gristmill.operators.sieve import with_key, without_key
 
 FEATURES = "doc_id long, version long, n long, d1 long, d2 long, bands array<long>"
 
@@ -98,7 +98,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def apply_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The documents without those that a smaller doc_id of their component stands for; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col, **parameters).where("not kept").select(F.col("doc_id").alias("_gm_gone")).distinct()
-    rows = docs.select(*carried(docs))
-    own = F.col(f"_gm_{docs.columns.index(id_col)}").cast("long")
-    return restored(rows.join(gone, own == F.col("_gm_gone"), "left_anti"), docs)
+    gone = durable(near_duplicates(docs, id_col, text_col, **parameters).where("not kept").select(F.col("doc_id").alias("_gm_gone")).distinct(), "gone")
+    rows = docs.select(*carried(docs), F.col(f"`{id_col}`").cast("long").alias("_gm_gone"))
+    return restored(without_key(rows, gone), docs)
