@@ -12,11 +12,13 @@ Row rules that hold for every operator unless its docstring says otherwise:
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -62,11 +64,19 @@ def restored(out: DataFrame, docs: DataFrame, changed: dict[str, Column] | None
 _held: dict[object, object] = {}
 
 
+def _give_back() -> None:
+    """Gives unused memory of this process back to the system, which it else keeps for as long as it is reused."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def worker_state(key: object, build: Callable[[], T]) -> T:
     """What a Python worker keeps from task to task: one object at a time, so that the operators of a pipeline do not add up in a reused worker."""
     if key not in _held:
         _held.clear()
-        gc.collect()
+        _give_back()
         _held[key] = build()
     return _held[key]
 
