@@ -31,10 +31,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,83 +43,221 @@ from gristmill.llm import words as W
 from gristmill.llm.common import scratch_path, set_worker_threads
 from gristmill.llm.range_coder import BLOCK, checksum, decode_blocks, encode_blocks
 
-#: Pieces a worker remembers.
-REMEMBERED = 400_000
+#: Pieces a worker remembers, about; beyond that it forgets those met in one batch only.
+REMEMBERED = 800_000
+#: Bytes of text encoded at once: the more, the fewer distinct pieces in all.
+AT_ONCE = 1 << 23
 SEGMENTS = "part int, first long, doc_ids array<long>, counts array<long>, table binary, sizes array<int>, bytes array<int>, checksums array<long>, payload binary"
 
-#: The characters of the Unicode property White_Space (fixed values).
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f" ?[A-Za-z]++(?=[!-@\\[-`{{-~{_SPACE}]|\\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Classes of bytes. SPACE is the Unicode property White_Space, LETTER the letters to U+023F, all of them fixed; MARK the rest of ASCII.
+SPACE, LETTER, MARK, FAR = range(4)
+_CLASS = np.full(256, FAR, np.uint8)
+_CLASS[:128] = MARK
+_CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+#: Lead bytes of the other spaces, with what may follow.
+_SPACES = {0xC2: [b"\x85", b"\xa0"], 0xE1: [b"\x9a\x80"], 0xE2: [*(bytes([0x80, k]) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"], 0xE3: [b"\x80\x80"]}
+_WORD = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u023f]+")
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte, that of a character's first byte in all its bytes where it is SPACE or LETTER."""
+    found = _CLASS[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return found
+    byte = data[lead]
+    second, third = (data.take(lead + k, mode="clip") for k in (1, 2))
+    own = (byte >= 0xC3) & (byte <= 0xC8) & ~((byte == 0xC3) & ((second == 0x97) | (second == 0xB7)))
+    found[lead[own]] = found[lead[own] + 1] = LETTER
+    for first, rest in _SPACES.items():
+        at = np.flatnonzero(byte == first)
+        if not len(at):
+            continue
+        size = 1 + len(rest[0])
+        code = second[at].astype(np.int64) << 8 | (third[at] if size == 3 else 0)
+        at = lead[at[np.isin(code, [int.from_bytes(r.ljust(2, b"\0"), "big") for r in rest])]]
+        for k in range(size):
+            found[at + k] = SPACE
+    return found
+
+
+def _pieces(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where pieces start in texts that lie one after another and start at ``texts``, none of them empty.
+
+    A run without white space is a piece, or two where its first letters end
+    before a MARK. A run of white space is a piece but for its last character
+    if more text follows: that goes to the next piece if it is " ", and is a
+    piece by itself if not.
+    """
+    n, found = len(data), _classes(data)
+    begin = np.zeros(n, bool)
+    begin[texts] = True
+    space, letter = found == SPACE, found == LETTER
+    piece = begin.copy()
+    piece[1:] |= space[1:] & ~space[:-1]
+    # White space before other text: its last character, then the text.
+    after = np.flatnonzero(space[:-1] & ~space[1:] & ~begin[1:]) + 1
+    before = data[after - 1]
+    size = np.where(before < 0x80, 1, np.where(data[after - 2] >= 0xC2, 2, 3))
+    piece[after - size] = True
+    piece[after] = before != 0x20
+    # Letters that begin a run and end before a mark.
+    edge = begin[1:] | (letter[1:] != letter[:-1])
+    first = np.flatnonzero(np.append(True, edge) & letter)
+    last = np.flatnonzero(np.append(edge, True) & letter)
+    open_run = (begin[first] | space[first - 1]) & (last + 1 < n)
+    ends = last[open_run] + 1
+    piece[ends[(found[ends] == MARK) & ~begin[ends]]] = True
+    return np.flatnonzero(piece)
+
+
+def _byte_letters() -> np.ndarray:
+    """The code point by which a byte-level model writes each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = np.zeros(256, "<u4")
+    table[own] = own
+    table[sorted(set(range(256)) - set(own))] = np.arange(256, 256 + 256 - len(own))
+    return table
+
+
+_LETTERS = _byte_letters()
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + count, count)
 
 
 class Encoder:
     """A tokenizers-library file, asked for each distinct piece once.
 
     A byte-level model with its usual word pattern never makes a token across
-    the pieces of _PIECE (an ASCII word before an ASCII character that is no
+    the pieces of _pieces (letters before an ASCII character that is no
     letter, or what white space bounds, with one space before it), so the ids of
-    a text are those of its pieces. Texts with a special token's
-    string, and files of another kind, are encoded whole.
+    a text are those of its pieces. A piece of letters alone is one word of that
+    pattern, so the library's model is asked for these without its pattern.
+    Texts with a special token's string, and files of another kind, are encoded
+    whole.
     """
 
     def __init__(self, path: str):
         set_worker_threads()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
-        added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
         self.line_ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = self.line_ids[0] if self.line_ids else -1
-        self.forget()
+        # The same model, given words in a byte-level model's letters, one a line.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Split(chr(_LETTERS[10]), "removed")
+        vocab = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(t) for t in vocab]
+        self.place: dict[str, int] = {}
+        self.ids, self.start, self.count, self.met = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Forgets pieces met in one batch only, or all if they are most."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = kept[:0]
+        names = list(self.place)
+        self.place = {names[i]: k for k, i in enumerate(kept.tolist())}
+        count, start = self.count[kept], self.start[kept]
+        self.ids, self.start, self.count = self.ids[_ranges(start, count)], np.cumsum(count) - count, count
+        self.met = np.ones(len(kept), np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of pieces of letters and how many each has, unless the model's tokens don't make up just these."""
+        data = np.frombuffer("\n".join(words).encode(), np.uint8)
+        text = _LETTERS[data].tobytes().decode("utf-32-le")
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        made = np.cumsum(self.sizes[ids])
+        ends = np.append(np.flatnonzero(data == 10), len(data)) - np.arange(len(words))
+        last = np.searchsorted(made, ends)
+        if not len(made) or made[-1] != ends[-1] or (made[last] != ends).any():
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    def _lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of pieces without white space but one before them, given to the library in lines, whose ends are tokens of their own."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+        if len(self.line_ids) != 1 or len(ends) != len(lines):
+            return None
+        return ids[ids != self.line_end], np.diff(ends, prepend=-1) - 1
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _places(self, pieces: np.ndarray) -> np.ndarray:
+        """Where the distinct pieces are remembered."""
         if len(self.place) > REMEMBERED:
             self.forget()
-        new = [p for p in pieces if p not in self.place]
-        if not new:
-            return
-        # Words are given to the library in lines, whose ends are tokens of their own; white space by itself.
-        lines, rest = [p for p in new if not p.isspace()], [p for p in new if p.isspace()]
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-        if len(self.line_ids) != 1 or len(ends) != max(1, len(lines)):
-            lines, rest, ids, ends = [], new, ids[:0], ends[:0]
-        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        count = np.concatenate([np.diff(ends, prepend=-1)[: len(lines)] - 1, np.array([len(x) for x in found], np.int64)]).astype(np.int64)
-        self.place.update(zip(lines + rest, range(len(self.place), len(self.place) + len(new))))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, ids[ids != self.line_end] if lines else ids[:0], *found])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each has."""
-        whole = [i for i, t in enumerate(texts) if not self.by_piece or self.special and self.special.search(t)]
-        cut = [_PIECE.findall(t) for t in texts]
-        for i in whole:
-            cut[i] = []
-        self._learn(set().union(*cut))
-        pieces = np.array([len(c) for c in cut], np.int64)
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, int(pieces.sum()))
-        n = self.count[at]
-        ends = np.cumsum(n)
-        ids = self.ids[np.arange(ends[-1] if len(at) else 0) + np.repeat(self.start[at] - ends + n, n)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces)])]
-        if not whole:
-            return ids, np.diff(bounds)
-        apart = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-        for i in whole:
-            apart[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        places = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(places < 0)
+        if len(at):
+            new = pieces[at].tolist()
+            self._learn(new)
+            places[at] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        self.met[places] += 1
+        return places
+
+    def _learn(self, new: list[str]) -> None:
+        words, lines, rest = [], [], []
+        for p in new:
+            (words if _WORD.fullmatch(p) else rest if p.isspace() else lines).append(p)
+        for some, ask in ((words, self._words), (lines, self._lines), (rest, None)):
+            if not some:
+                continue
+            found = ask(some) if ask else None
+            if found is None:
+                apart = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                found = np.concatenate(apart), np.array([len(x) for x in apart], np.int64)
+            ids, count = found
+            self.place.update(zip(some, range(len(self.place), len(self.place) + len(some))))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.ids = np.concatenate([self.ids, ids])
+            self.met = np.concatenate([self.met, np.zeros(len(some), np.int64)])
+
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are encoded whole."""
+        whole = np.full(len(texts), not self.by_piece)
+        for token in self.special if self.by_piece else ():
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return whole
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has. A null text has none."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        whole = self._whole(texts)
+        cut = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        ids, counts = self._by_piece(cut)
+        if not whole.any():
+            return ids, counts
+        apart = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(whole).tolist():
+            apart[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32)
         return np.concatenate(apart), np.array([len(x) for x in apart], np.int64)
 
+    def _by_piece(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        if not pc.sum(pc.binary_length(texts)).as_py():
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        first, last = int(offsets[0]), int(offsets[-1])
+        offsets, data = offsets - first, texts.buffers()[2][first:last]
+        starts = _pieces(np.frombuffer(data, np.uint8), offsets[:-1][offsets[1:] > offsets[:-1]])
+        bounds = np.append(starts, last - first)
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), data).dictionary_encode()
+        at = self._places(found.dictionary.to_numpy(zero_copy_only=False))[found.indices.to_numpy()]
+        count = self.count[at]
+        return self.ids[_ranges(self.start[at], count)], np.diff(np.append(0, np.cumsum(count))[np.searchsorted(starts, offsets)])
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -151,9 +290,9 @@ def _write(path: str, end_id: int, segment_ids: int):
             return _segment(doc_ids, np.concatenate(counts), np.concatenate(held), part, first)
 
         for batch in batches:
-            for piece in W.runs(batch, "text"):
+            for piece in W.runs(batch, "text", AT_ONCE):
                 part = piece.column("part")[0].as_py()
-                ids, count = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
+                ids, count = encoder.encode(piece.column("text"))
                 ids = np.insert(ids, np.cumsum(count), end_id).astype(np.int32, copy=False)
                 doc_ids += piece.column("doc_id").to_pylist()
                 counts.append(count + 1)

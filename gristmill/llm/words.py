@@ -56,10 +56,10 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def runs(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose texts hold about RUN bytes; a longer text is a slice of its own."""
+def runs(batch: pa.RecordBatch, column: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts hold about ``size`` (RUN) bytes; a longer text is a slice of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(lengths) - lengths) // RUN
+    part = (np.cumsum(lengths) - lengths) // (size or RUN)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(lengths)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:

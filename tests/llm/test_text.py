@@ -10,13 +10,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from cases import ODD, corpus
 from gristmill.llm.bpe import Merges, Tokenizer, encode, encode_digests
 from gristmill.llm.decontaminate import apply_decontamination, contamination
 from gristmill.llm.loser_tree import merge
-from gristmill.llm import range_coder
+from gristmill.llm import range_coder, token_file
 from gristmill.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 from gristmill.llm.token_file import Encoder, read_token_file, write_token_file
 from gristmill.llm.wu_manber import tables
@@ -178,6 +179,63 @@ def test_range_coder_beats_plain_coders():
     assert len(table) + sum(map(len, coded)) < min(len(zlib.compress(ids.astype("<u2").tobytes(), 6)), -(share * np.log2(share)).sum() / 8 * len(ids))
 
 
+def test_range_coder_carries_and_damage():
+    """Ids whose shares lie at the top of the range bring carries; a damaged block ends, with other ids."""
+    r = np.random.default_rng(3)
+    some = [np.where(r.random(k) < p, 50_000, r.integers(0, 50_001, k)).astype(np.int32) for k, p in [(3_000, 0.999), (2_000, 0.5), (1, 1.0), (0, 0.5), (700, 0.0)] * 20]
+    table, coded = encode_blocks(some)
+    sizes = list(map(len, some))
+    assert all(np.array_equal(a, b) for a, b in zip(some, decode_blocks(table, coded, sizes)))
+    bad = [b"\xff" * len(c) if k % 2 else c[: len(c) // 2] for k, c in enumerate(coded)]
+    assert [len(x) for x in decode_blocks(table, bad, sizes)] == sizes
+
+
+def test_words_are_asked_of_the_model_alone(monkeypatch):
+    """Words need no pattern of the library's, so only the other pieces pay for it; and each is asked for once."""
+    asked = []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.own.encode_batch_fast(texts, **options)
+
+    encoder, library = Encoder(BYTE_BPE), Library.from_file(BYTE_BPE)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    texts = ["Eine größere Straße, où l'été finit. ciónrallado", "größere Straße"] * 3
+    ids, counts = encoder.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    assert not any("Straße" in t or "rallado" in t for t in asked)
+    before = len(asked)
+    encoder.encode(texts)
+    assert len(asked) == before
+
+
+def test_pieces_met_often_are_remembered(monkeypatch):
+    monkeypatch.setattr(token_file, "REMEMBERED", 40)
+    encoder, library = Encoder(BYTE_BPE), Library.from_file(BYTE_BPE)
+    for k in range(12):
+        texts = pa.array([None, "often met, these words", "", *(f"n{chr(97 + k)}{chr(97 + j)} w{k}.{j}" for j in range(8)), None, "<|endoftext|> met"]).slice(k % 3)
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+        ids, counts = encoder.encode(texts)
+        assert (ids.tolist(), counts.tolist()) == ([i for w in want for i in w], [len(w) for w in want])
+        assert k == 0 or k % 3 == 2 or " these" in encoder.place
+    assert len(encoder.place) < 12 * 16
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab'sZ \n\t,.1\x1c\x85\xa0\xaaé×÷ßĀȿɀ\u0301\u1680\u2003\u2028\u202f\u205f\u3000\u200b日😀", max_size=12), max_size=8))
+def test_pieces_of_many_texts(texts):
+    if not hasattr(test_pieces_of_many_texts, "pair"):
+        test_pieces_of_many_texts.pair = Library.from_file(BYTE_BPE), Encoder(BYTE_BPE)
+    library, own = test_pieces_of_many_texts.pair
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = own.encode(texts)
+    assert (ids.tolist(), counts.tolist()) == ([i for w in want for i in w], [len(w) for w in want])
+
+
 def test_token_file(spark, odd, none, tmp_path):
     library = Library.from_file(BYTE_BPE)
     extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(STRANGE)] + [(1000 + i, t) for i, t in corpus(7, 30)], "doc_id long, text string")
